@@ -33,11 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage with a reliable checkpoint in the shared folder."""
+    """Ends the lineage with a reliable checkpoint in the shared folder, and lets go of the shuffle files before it."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    context._jvm.System.gc()  # Spark removes a shuffle's files once the driver has collected its plan
+    return out
 
 
 def fold_ascii(text: str) -> str:

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
@@ -86,27 +86,40 @@ def phrases(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "start", "n", "trigger", "phrase"]
+    names = ["doc_id", "start", "n", "trigger", "phrase", "again"]
     for b in rows(batches, 256):
         out = []
         for i, t in zip(b.column("doc_id").to_pylist(), texts(b)):
-            for at, part in pieces(np.frombuffer(t.encode(), np.uint8)):
-                first, count, trigger, phrase = phrases(part)
-                out.append((np.full(len(first), i), first + at, count, trigger, phrase))
+            own = [(first + at, *more) for at, part in pieces(np.frombuffer(t.encode(), np.uint8)) for first, *more in [phrases(part)]]
+            if own:
+                start, count, trigger, phrase = map(np.concatenate, zip(*own))
+                out.append((np.full(len(start), i), start, count, trigger, phrase, repeated(trigger, phrase)))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)
+
+
+def repeated(*keys: np.ndarray) -> np.ndarray:
+    """Which of a document's rows, in order of start, have the keys of an earlier one."""
+    order = np.lexsort(keys)
+    same = np.logical_and.reduce([k[order][1:] == k[order][:-1] for k in keys])
+    out = np.zeros(len(order), bool)
+    out[order[1:][same]] = True
+    return out
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The strings of the opened phrases: trigger, string hash and start."""
     for b in rows(batches, 64):
         for i, t, opened in zip(b.column("doc_id").to_pylist(), texts(b), b.column("opened").to_pylist()):
-            data = np.frombuffer(t.encode(), np.uint8)
-            for x in opened:
+            data, own = np.frombuffer(t.encode(), np.uint8), []
+            for x in sorted(opened, key=lambda x: x["start"]):
                 part = data[x["start"] : x["start"] + x["n"] + LENGTH - 1]
                 total = prefix_hash(part)
                 h = mix((total[LENGTH:] - total[:-LENGTH]) * powers(len(part))[1][: x["n"]]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i), pa.int64()), pa.array(np.arange(x["start"], x["start"] + x["n"]), pa.int64()), pa.array(np.full(len(h), x["trigger"]), pa.int64()), pa.array(h, pa.int64())], ["doc_id", "start", "trigger", "string"])
+                own.append((np.arange(x["start"], x["start"] + x["n"]), np.full(len(h), x["trigger"]), h))
+            start, trigger, string = map(np.concatenate, zip(*own))
+            columns = [np.full(len(start), i), start, trigger, string, repeated(trigger, string)]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["doc_id", "start", "trigger", "string", "again"])
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,9 +164,8 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def later(found: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of which another with the same keys lies earlier in the corpus."""
-    first = found.groupBy(*keys).agg(F.min(F.struct("doc_id", "start")).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    here: Column = F.struct("doc_id", "start")
-    return found.join(first.drop("_n"), keys).where(here != F.col("_first")).drop("_first")
+    first = found.groupBy(*keys).agg(F.min("doc_id").alias("_low"), F.count("*").alias("_n")).where("_n > 1")
+    return found.join(first.drop("_n"), keys).where("again OR doc_id > _low").drop("_low", "again")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -163,14 +175,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     firsts = ids.groupBy("sha").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = cut(ids.join(firsts, "sha").where("doc_id != low").select("doc_id").distinct())
     once = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(copies, "doc_id", "left_anti")
-    parsed = once.mapInArrow(_phrases, "doc_id bigint, start bigint, n bigint, trigger bigint, phrase bigint")
+    parsed = once.mapInArrow(_phrases, "doc_id bigint, start bigint, n bigint, trigger bigint, phrase bigint, again boolean")
     shared = parsed.groupBy("trigger").agg(F.count("*").alias("k"), (F.min("phrase") != F.max("phrase")).alias("mixed")).where("k > 1").drop("k")
     found = cut(parsed.join(shared, "trigger"))
     whole = cut(later(found, ["trigger", "phrase"]))
     entries = found.where("mixed").join(whole.select("doc_id", "start"), ["doc_id", "start"], "left_anti")
     opened = entries.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "trigger")).alias("opened"))
-    strings = once.join(opened, "doc_id").mapInArrow(lambda b: _gathered(_strings(b)), "doc_id bigint, start bigint, trigger bigint, string bigint")
-    again = later(cut(strings), ["trigger", "string"])
+    strings = once.join(opened, "doc_id").mapInArrow(lambda b: _gathered(_strings(b)), "doc_id bigint, start bigint, trigger bigint, string bigint, again boolean")
+    again = later(strings, ["trigger", "string"])
     marks = whole.select("doc_id", F.col("start").alias("a"), (F.col("start") + F.col("n") + LENGTH - 1).alias("b"))
     marks = marks.union(again.select("doc_id", F.col("start").alias("a"), (F.col("start") + LENGTH).alias("b")))
     marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("_marks"))
