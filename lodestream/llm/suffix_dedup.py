@@ -7,8 +7,10 @@ starts and the bytes they reach. The dictionary is the set of distinct phrases.
 1. Exact copies of a document with a smaller id are resolved whole.
 2. Triggers (K bytes) seen once are unique, and so is every string through them.
 3. A phrase that equals an earlier one repeats it in all its strings.
-4. Where different phrases share a trigger, the first occurrence of each (the dictionary's entries) is opened, and its
-   strings are compared one by one.
+4. Where different phrases share a trigger, the first occurrence of each (the dictionary's entries) is cut into runs of
+   STEP starts, aligned to the trigger. All strings of a run share its core, of LENGTH - STEP + 1 bytes, which stands
+   for the trigger while steps 2 and 3 are repeated for the runs.
+5. Where different runs share a core, the strings of the first occurrence of each are compared one by one.
 
 Corpus order of equal strings is all the contract asks of the suffix order; grouping by hash gives it without a sort of
 suffixes, and each step is a grouped minimum with a map-side combine and a join, which Spark splits where it is skewed.
@@ -32,7 +34,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from lodestream.llm.common import cut, documents, mix, rows, texts
 
-LENGTH, K = 100, 32
+LENGTH, K, STEP = 100, 32, 8
 WINDOW = LENGTH - K + 1
 PIECE = 1 << 21
 _rng = np.random.default_rng(77)
@@ -66,8 +68,8 @@ def pieces(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield at, data[at : at + PIECE + LENGTH - 1]
 
 
-def phrases(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one piece: first start, number of starts, trigger hash and phrase hash of each phrase."""
+def phrases(data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of one piece: first start, number of starts, lead to the trigger, trigger hash and phrase hash of each phrase."""
     total, inverse = prefix_hash(data), powers(len(data))[1]
     grams = mix((total[K:] - total[:-K]) * inverse[: len(data) - K + 1])
     ranked = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
@@ -82,20 +84,59 @@ def phrases(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     at = trigger[first]
     whole = mix((total[first + count + LENGTH - 1] - total[first]) * inverse[first])
     whole = mix(whole + (count.astype(np.uint64) << np.uint64(16)) + (at - first).astype(np.uint64))
-    return first, count, grams[at].view(np.int64), whole.view(np.int64)
+    return first, count, at - first, grams[at].view(np.int64), whole.view(np.int64)
+
+
+def runs(data: np.ndarray, start: np.ndarray, n: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the phrases given by these: first start, number of starts, lead (0), core hash and hash of each run."""
+    total, inverse = prefix_hash(data), powers(len(data))[1]
+    low, high = (lead - n + 1) // STEP, lead // STEP
+    times = high - low + 1
+    of = np.repeat(np.arange(len(start)), times)
+    block = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times) + low[of]
+    far, near = np.minimum(lead[of], STEP * block + STEP - 1), np.maximum((lead - n + 1)[of], STEP * block)
+    first, count = (start + lead)[of] - far, far - near + 1
+    core = (start + lead)[of] - STEP * block
+    same = mix((total[core + LENGTH - STEP + 1] - total[core]) * inverse[core])
+    whole = mix((total[first + count + LENGTH - 1] - total[first]) * inverse[first])
+    whole = mix(whole + (count.astype(np.uint64) << np.uint64(16)) + (core - first + STEP).astype(np.uint64))
+    return first, count, np.zeros(len(of), np.int64), mix(same + block.astype(np.uint64)).view(np.int64), whole.view(np.int64)
 
 
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "start", "n", "trigger", "phrase", "again"]
     for b in rows(batches, 256):
         out = []
         for i, t in zip(b.column("doc_id").to_pylist(), texts(b)):
             own = [(first + at, *more) for at, part in pieces(np.frombuffer(t.encode(), np.uint8)) for first, *more in [phrases(part)]]
             if own:
-                start, count, trigger, phrase = map(np.concatenate, zip(*own))
-                out.append((np.full(len(start), i), start, count, trigger, phrase, repeated(trigger, phrase)))
+                out.append((i, *map(np.concatenate, zip(*own))))
+        if out:
+            yield _rows(out)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in rows(batches, 256):
+        out = []
+        for i, t, opened in zip(b.column("doc_id").to_pylist(), texts(b), b.column("opened").to_pylist()):
+            data = np.frombuffer(t.encode(), np.uint8)
+            given = np.array([(x["start"], x["n"], x["lead"]) for x in sorted(opened, key=lambda x: x["start"])], np.int64)
+            own = []
+            for at in np.unique(given[:, 0] // PIECE) * PIECE:
+                start, n, lead = given[given[:, 0] // PIECE * PIECE == at].T
+                first, *more = runs(data[at : at + PIECE + 2 * LENGTH], start - at, n, lead)
+                own.append((first + at, *more))
+            out.append((i, *map(np.concatenate, zip(*own))))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)
+            yield _rows(out)
+
+
+_PARSED = "doc_id bigint, start bigint, n bigint, lead bigint, trigger bigint, phrase bigint, again boolean"
+
+
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    """Rows of _PARSED from (doc_id, start, n, lead, trigger, phrase) of each document."""
+    columns = [(np.full(len(start), i), start, n, lead, trigger, phrase, repeated(trigger, phrase)) for i, start, n, lead, trigger, phrase in out]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*columns)], ["doc_id", "start", "n", "lead", "trigger", "phrase", "again"])
 
 
 def repeated(*keys: np.ndarray) -> np.ndarray:
@@ -168,6 +209,14 @@ def later(found: DataFrame, keys: list[str]) -> DataFrame:
     return found.join(first.drop("_n"), keys).where("again OR doc_id > _low").drop("_low", "again")
 
 
+def resolve(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows of _PARSED: those that repeat an earlier one, and the first of each where a trigger has several."""
+    shared = parsed.groupBy("trigger").agg(F.count("*").alias("k"), (F.min("phrase") != F.max("phrase")).alias("mixed")).where("k > 1").drop("k")
+    found = cut(parsed.join(shared, "trigger"))
+    repeats = cut(later(found.drop("mixed"), ["trigger", "phrase"]).select("doc_id", "start", "n"))
+    return repeats, found.where("mixed").join(repeats, ["doc_id", "start"], "left_anti")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The rows of docs with n_bytes, n_removed, n_spans and ``kept``, the bytes that stay."""
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
@@ -175,15 +224,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     firsts = ids.groupBy("sha").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = cut(ids.join(firsts, "sha").where("doc_id != low").select("doc_id").distinct())
     once = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(copies, "doc_id", "left_anti")
-    parsed = once.mapInArrow(_phrases, "doc_id bigint, start bigint, n bigint, trigger bigint, phrase bigint, again boolean")
-    shared = parsed.groupBy("trigger").agg(F.count("*").alias("k"), (F.min("phrase") != F.max("phrase")).alias("mixed")).where("k > 1").drop("k")
-    found = cut(parsed.join(shared, "trigger"))
-    whole = cut(later(found, ["trigger", "phrase"]))
-    entries = found.where("mixed").join(whole.select("doc_id", "start"), ["doc_id", "start"], "left_anti")
+    whole, entries = resolve(once.mapInArrow(_phrases, _PARSED))
+    opened = entries.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "lead")).alias("opened"))
+    part, entries = resolve(once.join(opened, "doc_id").mapInArrow(_runs, _PARSED))
     opened = entries.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "trigger")).alias("opened"))
     strings = once.join(opened, "doc_id").mapInArrow(lambda b: _gathered(_strings(b)), "doc_id bigint, start bigint, trigger bigint, string bigint, again boolean")
     again = later(strings, ["trigger", "string"])
-    marks = whole.select("doc_id", F.col("start").alias("a"), (F.col("start") + F.col("n") + LENGTH - 1).alias("b"))
+    marks = whole.union(part).select("doc_id", F.col("start").alias("a"), (F.col("start") + F.col("n") + LENGTH - 1).alias("b"))
     marks = marks.union(again.select("doc_id", F.col("start").alias("a"), (F.col("start") + LENGTH).alias("b")))
     marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("_marks"))
     marked = docs.join(copies.withColumn("_copy", F.lit(True)), "doc_id", "left").join(marks, "doc_id", "left").select(*docs.columns, "_copy", "_marks")
