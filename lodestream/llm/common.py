@@ -33,13 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage with a reliable checkpoint in the shared folder, and lets go of the shuffle files before it."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    out = df.checkpoint(eager=True)
-    context._jvm.System.gc()  # Spark removes a shuffle's files once the driver has collected its plan
-    return out
+    """Ends the lineage: df as a compressed table in the shared folder.
+
+    The plan that wrote it is not kept, so Spark removes its shuffle files once the driver has collected its garbage.
+    """
+    path = shared_dir(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fold_ascii(text: str) -> str:
