@@ -1,10 +1,11 @@
 """Document fingerprints by one-permutation MinHash, with DataFrame functions alone.
 
-The 64-bit hashes of a text's distinct 5-word shingles (lower-cased words; all words as one where there are fewer) are
-sorted once. The high bits of a hash name one of BINS bins, and a bin keeps its least hash. An empty bin takes the value
-of a bin chosen by optimal densification: hash (bin, attempt) until a filled bin is hit; after PROBES misses the filled
-bin of least hash (bin, filled bin) is taken, which is as uniform a choice and needs no further attempts. A fingerprint
-packs the low BITS bits of each bin, in hex; likeness corrects the matches for those of chance.
+The 64-bit hashes of a text's 5-word shingles (lower-cased words; all words as one where there are fewer) are sorted
+once, together with an end mark for each of BINS bins. The high bits of a hash name its bin, and a bin keeps its least
+hash; a bin led by its end mark is empty. An empty bin takes the value of a bin chosen by optimal densification: hash
+(bin, attempt) until a filled bin is hit; after PROBES misses the filled bin of least hash (bin, filled bin) is taken,
+which is as uniform a choice and needs no further attempts. A fingerprint packs the low BITS bits of each bin, in hex;
+likeness corrects the matches for those of chance.
 
 Null texts count as empty; texts without words have the empty fingerprint, alike (1) to one another and unlike (0) all
 others. The next document, in descending doc_id order, is that with the next smaller id; rows that share a doc_id stand
@@ -13,77 +14,95 @@ side by side, ordered by text. Rows with null ids follow each other likewise, at
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestream.llm.common import documents
 
-BINS, BITS, SHINGLE, PROBES = 256, 8, 5, 8
-_HIGH = BINS.bit_length() - 1
-#: Ids that share the part above these bits are ordered in one task; only each part's last document meets the next part's.
-BLOCK_BITS = 10
+BINS, BITS, SHINGLE, PROBES = 256, 8, 5, 16
+#: The bits of a hash below those that name its bin; all set in a bin's end mark.
+_BELOW = 64 - (BINS.bit_length() - 1)
+_END = (1 << _BELOW) - 1
+#: Neighbouring ids are ordered in blocks of at least so many ids, and in at most so many blocks.
+BLOCK_IDS, MAX_BLOCKS = 256, 65_536
+
+
+def turns() -> list[str]:
+    """For each attempt, the bin that each bin turns to, drawn by a generator seeded with both; as text, so it folds to one literal."""
+    return [" ".join(str(random.Random(f"{t}:{b}").randrange(BINS)) for b in range(BINS)) for t in range(PROBES)]
+
+
+def _bins(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds the bins of a text column: BINS numbers, or none for a text without words."""
+    n = F.size("_g")
+    words = F.filter(F.split(F.lower(F.col(text)), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    df = df.withColumn("_g", F.transform(words, lambda w: F.xxhash64(w)))
+    ends = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.shiftleft(b.cast("long"), _BELOW).bitwiseOR(F.lit(_END)))
+    hashes = F.transform(F.sequence(F.lit(1), F.greatest(n - SHINGLE + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("_g", i, F.lit(SHINGLE))))
+    df = df.withColumn("_h", F.when(n > 0, F.sort_array(F.concat(hashes, ends))))
+    # In ascending order the bins come in runs, each led by its least hash; every bin has a run.
+    bin_of = lambda h: F.shiftright(h, _BELOW)
+    lead = F.filter("_h", lambda h, i: (i == 0) | (bin_of(h) != bin_of(F.get("_h", i - 1))))
+    value = lambda h: F.when(h.bitwiseAND(F.lit(_END)) != _END, h.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int"))
+    df = df.withColumn("_slot", F.transform(lead, value))
+    df = df.withColumn("_filled", F.filter(F.transform("_slot", lambda v, b: F.struct(b.alias("b"), v.alias("v"))), lambda x: x.v.isNotNull()))
+    least = lambda b: F.array_min(F.transform("_filled", lambda x: F.struct(F.xxhash64(x.b, b).alias("h"), x.v.alias("v")))).v
+    turned = [F.split(F.lit(x), " ").cast("array<int>") for x in turns()]
+    filled = F.transform("_slot", lambda v, b: F.coalesce(v, *[F.get("_slot", F.get(to, b)) for to in turned], least(b)).cast("short"))
+    # _filled is named twice here, so Spark makes it once a row instead of within the loop over bins.
+    return df.withColumn(out, F.when(F.size("_filled") > 0, filled).otherwise(F.array().cast("array<smallint>"))).drop("_g", "_h", "_slot", "_filled")
 
 
-def _fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds the fingerprint of a text column."""
-    k, n = F.lit(SHINGLE), F.size("_w")
-    df = df.withColumn("_w", F.filter(F.split(F.lower(F.col(text)), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    span = F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1)))
-    df = df.withColumn("_h", F.when(n > 0, F.array_sort(F.transform(span, lambda i: F.xxhash64(F.slice("_w", i, k))))).otherwise(F.array().cast("array<bigint>")))
-    bin_of = lambda h: F.shiftrightunsigned(h, 64 - _HIGH).cast("int")
-    # In ascending order the bins come in runs, each led by its least hash.
-    lead = F.filter("_h", lambda h, i: (i == 0) | (bin_of(h) != bin_of(F.get("_h", i - 1))))
-    df = df.withColumn("_lead", F.transform(lead, lambda h: F.struct(bin_of(h).alias("b"), h.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int").alias("v"))))
-    df = df.withColumn("_at", F.map_from_entries("_lead"))
-    df = df.withColumn("_slot", F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.try_element_at("_at", b)))
-    probe = lambda b: F.transform(F.sequence(F.lit(1), F.lit(PROBES)), lambda t: F.get("_slot", F.pmod(F.xxhash64(b, t), F.lit(BINS)).cast("int")))
-    least = lambda b: F.array_min(F.transform("_lead", lambda x: F.struct(F.xxhash64(x.b, b).alias("h"), x.v.alias("v")))).v
-    filled = F.transform("_slot", lambda v, b: F.coalesce(v, F.get(F.filter(probe(b), lambda x: x.isNotNull()), F.lit(0)), least(b)))
-    packed = F.concat_ws("", F.transform(filled, lambda v: F.lpad(F.lower(F.hex(v)), BITS // 4, "0")))
-    return df.withColumn(out, F.when(F.size("_lead") > 0, packed).otherwise("")).drop("_w", "_h", "_lead", "_at", "_slot")
+def packed(bins: Column) -> Column:
+    """A fingerprint: the bins' low bits, in hex."""
+    digits = F.split(F.lit(" ".join(f"{v:0{BITS // 4}x}" for v in range(1 << BITS))), " ")
+    return F.array_join(F.transform(bins, lambda v: F.get(digits, v.cast("int"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated similarity of two fingerprints' shingle sets, 0 to 1, corrected for chance matches."""
-    x, y = (F.unhex(c) for c in (a, b))
-    same = F.size(F.filter(F.sequence(F.lit(1), F.lit(BINS)), lambda i: F.substring(a, 2 * i - 1, F.lit(2)) == F.substring(b, 2 * i - 1, F.lit(2))))
+    """Estimated similarity of the shingle sets behind two rows of bins, 0 to 1, corrected for chance matches."""
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
     chance = 2.0**-BITS
     corrected = F.greatest(F.lit(0.0), (same / F.lit(float(BINS)) - chance) / (1 - chance))
-    return F.when(a == b, F.lit(1.0)).when((F.length(x) == 0) | (F.length(y) == 0), F.lit(0.0)).otherwise(corrected)
+    return F.when(a == b, F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(corrected)
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds ``next_`` columns of the next document in descending doc_id order; after the last comes the first.
+def with_guests(docs: DataFrame) -> DataFrame:
+    """docs with ``_block``, and in each block a ``_guest``: the document that follows its smallest one.
 
-    Blocks of neighbouring ids are ordered apart. A block's smallest document meets the largest of the block below,
-    found from one row for each block; so no task holds more than a block's rows or one short row for each block.
+    Blocks cover equal ranges of ids. A block's guest is the largest document of the block below; the lowest block's is
+    the largest of all, and null ids are a block of their own, the lowest. At most MAX_BLOCKS + 1 short rows are broadcast
+    or ordered in one task.
     """
-    block = F.shiftright(F.col("doc_id"), BLOCK_BITS)
-    within = W.partitionBy("_block").orderBy("doc_id", "text")
-    docs = docs.withColumn("_block", block)
-    near = docs.withColumns({f"next_{c}": F.lag(c).over(within) for c in columns}).withColumn("_edge", F.row_number().over(within) == 1)
-    tops = docs.groupBy("_block").agg(F.max(F.struct("doc_id", *columns)).alias("_top"))
-    order = W.orderBy(F.col("_block").asc_nulls_first())
-    ids = docs.groupBy("_block").agg(F.count("*").alias("_n"))
-    above = ids.select("_block", F.lead("_block").over(order).alias("_up"), F.row_number().over(order).alias("_row"), F.row_number().over(W.orderBy(F.col("_block").desc_nulls_last())).alias("_end"), F.first("_block").over(order).alias("_lowest"))
-    target = F.when(F.col("_end") == 1, F.col("_lowest")).otherwise(F.col("_up"))
-    edges = above.select(F.col("_block").alias("_of"), target.alias("_to")).join(tops, F.col("_of").eqNullSafe(F.col("_block"))).drop("_block", "_of")
-    filled = near.join(edges, F.col("_edge") & F.col("_block").eqNullSafe(F.col("_to")), "left")
-    return filled.withColumns({f"next_{c}": F.when(F.col("_edge"), F.col(f"_top.{c}")).otherwise(F.col(f"next_{c}")) for c in columns}).drop("_block", "_edge", "_to", "_top")
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    low, high = low or 0, high or 0
+    width = max(BLOCK_IDS, -(-(high - low + 1) // MAX_BLOCKS))
+    docs = docs.withColumn("_block", F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / width), F.lit(-1)))
+    tops = docs.groupBy("_block").agg(F.max("doc_id").alias("_top"))
+    order = W.orderBy("_block")
+    to = F.coalesce(F.lead("_block").over(order), F.first("_block").over(order))
+    tops = tops.select(F.col("_block").alias("_of"), "_top", to.alias("_to"))
+    at_top = (F.col("_block") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_top"))
+    guests = docs.join(F.broadcast(tops), at_top).groupBy("doc_id", F.col("_to").alias("_block")).agg(F.max("text").alias("text"))
+    return docs.withColumn("_guest", F.lit(False)).unionByName(guests.withColumn("_guest", F.lit(True)))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, fingerprint, edited, edited_fingerprint, near_edited and near_next of each row."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = with_next(_fingerprint(docs, "text", "fingerprint"), ["text", "fingerprint"])
+    order = W.partitionBy("_block").orderBy(F.col("_guest").desc(), "doc_id", "text")
+    both = _bins(with_guests(docs), "text", "bins")
+    both = both.withColumns({f"next_{c}": F.lag(c).over(order) for c in ("text", "bins")}).where("NOT _guest")
     n = F.length("text")
     moved = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - moved), F.substring(F.col("next_text"), F.lit(1), moved))
-    both = _fingerprint(both.withColumn("edited", edited), "edited", "edited_fingerprint")
+    both = _bins(both.withColumn("edited", edited), "edited", "edited_bins")
     return both.select(
-        "doc_id", n.cast("bigint").alias("n_chars"), "fingerprint", "edited", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        "doc_id", n.cast("bigint").alias("n_chars"), packed(F.col("bins")).alias("fingerprint"), "edited", packed(F.col("edited_bins")).alias("edited_fingerprint"),
+        likeness(F.col("bins"), F.col("edited_bins")).alias("near_edited"), likeness(F.col("bins"), F.col("next_bins")).alias("near_next"),
     )
 
 
