@@ -26,8 +26,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes that a removal leaves of a split character are dropped; n_chars is that of what stays."""
     kept = suffix_dedup.remove_repeats(docs)
-    text = F.regexp_replace(F.decode(F.col("kept"), F.lit("UTF-8")), "�", "") if False else F.try_validate_utf8(F.col("kept").cast("string"))
-    text = F.coalesce(text, F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit("")))
+    text = F.coalesce(F.try_validate_utf8(F.col("kept").cast("string")), F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit("")))
     return kept.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
