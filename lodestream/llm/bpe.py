@@ -5,15 +5,19 @@ inside, from its first to its last sure split, is encoded once for all documents
 bounded size. A sure split lies between a letter and a space before a letter: the pre-tokenizer ends a token there
 whatever surrounds it, so encodings on both sides agree exactly with that of the whole text. The join between two
 insides is encoded anew; where a chunk has no sure split, the join grows over the next chunk until it reaches one.
+A segment that is not in the cache is put together from its pieces between single spaces, each of which a task encodes
+once: no token of these tokenizers goes over a space between two characters that are none, so this is exact as well.
 
 Null texts count as empty, and empty texts have no ids. Repeated rows are encoded alike; other columns are not read.
-The cache is each task's own, so a lost executor loses nothing but time.
+Chunks are kept for a task and pieces for a Python worker, which serves many tasks; a lost executor loses only time.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +28,12 @@ from lodestream.llm.common import documents, mix, rows, texts
 
 CONTEXT, MEAN_CHUNK = 12, 1024
 CACHE_CHARS = 24_000_000
+#: So many pieces of up to PIECE_CHARS characters are kept; longer ones are encoded whenever they occur.
+CACHE_PIECES, PIECE_CHARS = 1_000_000, 64
+_known: dict[str, dict[str, bytes]] = {}
+_PIECE = re.compile(r"(?<=\S)(?= \S)")
+_AFTER = re.compile(r" \s")
+_BEFORE = [f"{c} " for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,21 +69,46 @@ def segments(text: str) -> list[str]:
     return [text[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
-def encoded(batch: list[str], model, cache: dict[str, np.ndarray]) -> list[np.ndarray]:
+def pieces_of(name: str) -> dict[str, bytes]:
+    """This worker's ids of pieces under a tokenizer."""
+    return _known.setdefault(name, {})
+
+
+def pieces(text: str) -> list[str]:
+    """The text cut before each single space between two characters that are none."""
+    if "\0" in text or text[:1] == " " or text[-1:] == " " or _AFTER.search(text) or any(x in text for x in _BEFORE):
+        return _PIECE.split(text)
+    return text.replace(" ", "\0 ").split("\0")
+
+
+def from_pieces(batch: list[str], model, known: dict[str, bytes]) -> list[bytes]:
+    """Each text's ids, as bytes of 32-bit numbers; known holds those of pieces and is kept within its bound."""
+    parts = list(map(pieces, batch))
+    new = list(set().union(*parts).difference(known))
+    for at in range(0, len(new), 4096):
+        some = new[at : at + 4096]
+        known.update(zip(some, (array("I", e.ids).tobytes() for e in model.encode_batch_fast(some, add_special_tokens=False))))
+    out = [b"".join(map(known.__getitem__, p)) for p in parts]
+    if len(known) > CACHE_PIECES:
+        known.clear()
+    for x in new:
+        if len(x) > PIECE_CHARS:
+            known.pop(x, None)
+    return out
+
+
+def encoded(batch: list[str], model, cache: dict[str, bytes], known: dict[str, bytes]) -> list[np.ndarray]:
     parts = [segments(t) for t in batch]
     new = list(dict.fromkeys(s for p in parts for s in p if s not in cache))
-    for at in range(0, len(new), 512):
-        some = new[at : at + 512]
-        cache.update(zip(some, (np.array(e.ids, np.uint32) for e in model.encode_batch_fast(some, add_special_tokens=False))))
-    empty = np.empty(0, np.uint32)
-    return [np.concatenate([cache[s] for s in p]) if p else empty for p in parts]
+    cache.update(zip(new, from_pieces(new, model, known)))
+    return [np.frombuffer(b"".join(map(cache.__getitem__, p)), np.uint32) for p in parts]
 
 
 def _encoded(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = tokenizer(name), {}
+        model, cache, known = tokenizer(name), {}, pieces_of(name)
         for b in rows(batches, 128):
-            ids = encoded(texts(b), model, cache)
+            ids = encoded(texts(b), model, cache, known)
             decoded = model.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
             hashes = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]
             back = [hashlib.sha256(x.encode()).hexdigest() for x in decoded]
