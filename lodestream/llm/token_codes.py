@@ -24,13 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestream.llm.bpe import tokenizer
+from lodestream.llm.bpe import from_pieces, pieces_of, tokenizer
 from lodestream.llm.common import documents, rows, shared_dir, texts
 from lodestream.llm.warc import _store
 
 MARK = b"DACODES1"
 #: Fixed value: the id that ends every document.
 END_ID = 1
+END = np.array([END_ID], np.uint32).tobytes()
 #: A file takes documents until it has so many ids.
 FILE_IDS = 2_000_000
 NULL_ID = -(2**63)
@@ -102,7 +103,7 @@ def write_tokens(docs: DataFrame, folder: str, name: str = "word_bpe_49k.json",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = _store(folder)
-        model, held, n_held, file, part = tokenizer(name), [], 0, 0, 0
+        model, known, held, n_held, file, part = tokenizer(name), pieces_of(name), [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
             path = f"{top}/{uuid.uuid4().hex}.dac"
@@ -114,8 +115,8 @@ def write_tokens(docs: DataFrame, folder: str, name: str = "word_bpe_49k.json",
         for b in rows(batches, 256):
             if b.num_rows:
                 part = b.column("part")[0].as_py()
-            for i, e in zip(b.column("doc_id").to_pylist(), model.encode_batch_fast(texts(b), add_special_tokens=False)):
-                held.append((i, np.array([*e.ids, END_ID], np.uint32)))
+            for i, ids in zip(b.column("doc_id").to_pylist(), from_pieces(texts(b), model, known)):
+                held.append((i, np.frombuffer(ids + END, np.uint32)))
                 n_held += len(held[-1][1])
                 if n_held >= FILE_IDS:
                     yield flush()
