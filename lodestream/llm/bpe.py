@@ -6,7 +6,8 @@ bounded size. A sure split lies between a letter and a space before a letter: th
 whatever surrounds it, so encodings on both sides agree exactly with that of the whole text. The join between two
 insides is encoded anew; where a chunk has no sure split, the join grows over the next chunk until it reaches one.
 A segment that is not in the cache is put together from its pieces between single spaces, each of which a task encodes
-once: no token of these tokenizers goes over a space between two characters that are none, so this is exact as well.
+once: no token of these tokenizers goes over a space between two characters that are none, so this is exact as well. New
+pieces are cut again where a letter meets a mark or a line end, which no token goes over either.
 
 Null texts count as empty, and empty texts have no ids. Repeated rows are encoded alike; other columns are not read.
 Chunks are kept for a task and pieces for a Python worker, which serves many tasks; a lost executor loses only time.
@@ -28,10 +29,12 @@ from lodestream.llm.common import documents, mix, rows, texts
 
 CONTEXT, MEAN_CHUNK = 12, 1024
 CACHE_CHARS = 24_000_000
-#: So many pieces of up to PIECE_CHARS characters are kept; longer ones are encoded whenever they occur.
+#: So many pieces of one line and up to PIECE_CHARS characters are kept; others are encoded whenever they occur.
 CACHE_PIECES, PIECE_CHARS = 1_000_000, 64
 _known: dict[str, dict[str, bytes]] = {}
 _PIECE = re.compile(r"(?<=\S)(?= \S)")
+#: Between a letter and a mark or line end, and after a line end between two other characters; never at apostrophes.
+_PART = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-įı-ɏ])(?=[!-&(-/:-@\[-`{-~\n])|(?<=\S\n)(?=\S)")
 _AFTER = re.compile(r" \s")
 _BEFORE = [f"{c} " for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -85,14 +88,18 @@ def from_pieces(batch: list[str], model, known: dict[str, bytes]) -> list[bytes]
     """Each text's ids, as bytes of 32-bit numbers; known holds those of pieces and is kept within its bound."""
     parts = list(map(pieces, batch))
     new = list(set().union(*parts).difference(known))
-    for at in range(0, len(new), 4096):
-        some = new[at : at + 4096]
+    # Special tokens of both tokenizers begin with "<|" and are not cut.
+    finer = [[x] if "<|" in x else _PART.split(x) for x in new]
+    least = list(set().union(*finer).difference(known))
+    for at in range(0, len(least), 4096):
+        some = least[at : at + 4096]
         known.update(zip(some, (array("I", e.ids).tobytes() for e in model.encode_batch_fast(some, add_special_tokens=False))))
+    known.update((x, b"".join(map(known.__getitem__, p))) for x, p in zip(new, finer) if len(p) > 1)
     out = [b"".join(map(known.__getitem__, p)) for p in parts]
     if len(known) > CACHE_PIECES:
         known.clear()
-    for x in new:
-        if len(x) > PIECE_CHARS:
+    for x in (*new, *least):
+        if len(x) > PIECE_CHARS or "\n" in x[1:]:
             known.pop(x, None)
     return out
 

@@ -74,6 +74,20 @@ def test_bpe_and_codes_are_exact(spark, odd):
                 at += r["n_tokens"]
 
 
+#: Words, marks, spaces of all kinds, specials and characters whose lower case or composition changes their number.
+PARTS = ["a", "b", "Zß", " ", "  ", "\n", "'", "s", "'ll", "don't", "1", "é", "\u0301", "<|endoftext|>", "<|startoftext|>", "-", "漢", "\u00a0", "\t", "\x1c", "İ", "😀", " \u2028", ".", ",", "#", "<", "|", ">", "\0", "\r"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_encode_as_the_whole_text(name):
+    draw = random.Random(7)
+    odd = ["".join(draw.choices(PARTS, k=draw.randrange(30))) for _ in range(20_000)]
+    model = bpe.tokenizer(name)
+    found = bpe.from_pieces(odd, model, {})
+    wanted = model.encode_batch(odd, add_special_tokens=False)
+    assert [t for t, x, y in zip(odd, found, wanted) if np.frombuffer(x, np.uint32).tolist() != y.ids] == []
+
+
 def test_codes_random_access():
     class Held(io.BytesIO):
         def read_at(self, n, at):
