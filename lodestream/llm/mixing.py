@@ -7,6 +7,10 @@ often, and the copies are ordered by a hash: a global shuffle that is the same o
 Null sources form a source of their own; a null or repeated doc_id draws like any other, so repeated rows draw alike.
 Null and empty texts are carried along. A source without a weight gets none of the mix. An empty table stays empty.
 Columns that clash with the ones added here are replaced.
+
+Any rate is inverted: high ones, whose exp(-rate) would underflow, in a window about the mode beyond which less than
+1e-25 remains, and the copies of their documents are dealt out in blocks. ``copy`` is an int, which would bound the
+copies of one document at 2**31; without weights a rate stays below the square root of the number of rows.
 """
 
 from __future__ import annotations
@@ -14,12 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import documents
+from lodestream.llm.common import cut, documents
 
 #: At most so many sources are broadcast (their tables of the distribution take some kilobytes each).
 BROADCAST_SOURCES = 2000
-#: Mean number of copies above which a rate is not inverted exactly: exp(-rate) would underflow.
+#: Mean number of copies above which the distribution is taken from its mode: exp(-rate) would underflow.
 MAX_RATE = 500.0
+#: So many copies of a document with a high rate are made in one place.
+BLOCK = 1000
 
 
 def uniform(*parts: Column) -> Column:
@@ -48,17 +54,46 @@ def steps(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), start, add, lambda s: s.c)
 
 
+def window(rate: Column) -> Column:
+    """(low, p): the first count of a high rate's window and its probability, by ratios from the mode outwards."""
+    mode, reach = F.floor(rate), 12 * F.sqrt(rate) + 30
+    add = lambda ratio: lambda s, k: F.struct((s.q * ratio(k)).alias("q"), (s.sum + s.q * ratio(k)).alias("sum"))
+    none = F.struct(F.lit(1.0).alias("q"), F.lit(0.0).alias("sum"))
+    low = F.floor(rate - reach)
+    down = F.aggregate(F.sequence(mode, low + 1, F.lit(-1).cast("bigint")), none, add(lambda k: k / rate))
+    up = F.aggregate(F.sequence(mode + 1, F.ceil(rate + reach)), none, add(lambda k: rate / k))
+    return F.struct(low.alias("low"), (down["q"] / (1 + down["sum"] + up["sum"])).alias("p"))
+
+
+def drawn_high(rate: Column, first: Column, draw: Column) -> Column:
+    """The number of counts at which the distribution function is no more than the draw; no table of it is kept."""
+    start = F.struct(first["p"].alias("p"), F.lit(0.0).alias("c"), first["low"].alias("n"))
+    add = lambda s, k: F.struct((s.p * rate / (k + 1)).alias("p"), (s.c + s.p).alias("c"), (s.n + (s.c + s.p <= draw).cast("bigint")).alias("n"))
+    return F.aggregate(F.sequence(first["low"], F.ceil(rate + 12 * F.sqrt(rate) + 30)), start, add, lambda s: s.n)
+
+
 def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, flatten: float = 0.5, seed: int = 17) -> DataFrame:
     """The columns of docs, ``copy`` (from 1) and ``shuffle_key``, ordered by the key."""
-    table = rates(docs, weights, flatten)
-    if too_high := table.where(F.col("rate") > MAX_RATE).limit(1).collect():
-        raise ValueError(f"a source would be repeated more than {MAX_RATE:g} times: {too_high[0]['source']}")
-    table = table.select(F.col("source").alias("_of"), steps(F.col("rate")).alias("_steps"))
+    # Written once: sums of doubles may differ between runs, and each source must fall on one side of MAX_RATE.
+    table = cut(rates(docs, weights, flatten))
+    high = table.where(F.col("rate") > MAX_RATE)
+    any_high = not high.isEmpty()
+    table = table.where(F.col("rate") <= MAX_RATE).select(F.col("source").alias("_of"), steps(F.col("rate")).alias("_steps"))
     small = docs.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    joined = docs.drop("copy", "shuffle_key").join(F.broadcast(table) if small else table, F.col("source").eqNullSafe(F.col("_of")), "left")
     draw = uniform(F.lit(seed), F.col("doc_id"))
+
+    def joined(to: DataFrame) -> DataFrame:
+        return docs.drop("copy", "shuffle_key").join(F.broadcast(to) if small else to, F.col("source").eqNullSafe(F.col("_of")))
+
     n = F.size(F.filter("_steps", lambda c: c <= draw))
-    copies = joined.withColumn("_n", n).where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_of", "_steps", "_n")
+    copies = joined(table).withColumn("_n", n).where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_of", "_steps", "_n")
+    if any_high:
+        first = high.select(F.col("source").alias("_of"), F.col("rate").alias("_rate"), window(F.col("rate")).alias("_first"))
+        many = joined(first).withColumn("_n", drawn_high(F.col("_rate"), F.col("_first"), draw)).where("_n > 0")
+        many = many.withColumn("_at", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"), F.lit(BLOCK).cast("bigint")))).drop("_of", "_rate", "_first")
+        many = many.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        end = F.least(F.col("_n"), F.col("_at") + (BLOCK - 1))
+        copies = copies.unionByName(many.withColumn("copy", F.explode(F.sequence(F.col("_at").cast("int"), end.cast("int")))).drop("_n", "_at"))
     key = F.md5(F.concat_ws(":", F.lit(f"{seed}s"), F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.col("copy").cast("string")).cast("binary"))
     return copies.withColumn("shuffle_key", key).orderBy("shuffle_key", "doc_id", "copy")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import decimal
 import hashlib
 import io
 import random
@@ -193,6 +194,35 @@ def test_mix_rates(spark, odd):
     assert mixing.mix_sources(odd, {None: 1.0}).select("doc_id").distinct().count() <= 1
 
 
+def exact_draw(rate: float, doc_id: int | None) -> int:
+    """Inverts the distribution with 60 digits."""
+    with decimal.localcontext(prec=60):
+        u = decimal.Decimal(int(hashlib.md5(f"17:{'~' if doc_id is None else doc_id}".encode()).hexdigest()[:13], 16)) / 2**52
+        r, n = decimal.Decimal(rate), 0
+        p = c = (-r).exp()
+        while c <= u:
+            n += 1
+            p *= r / n
+            c += p
+        return n
+
+
+def test_mix_high_rates(spark):
+    skewed = lambda n: spark.range(n).selectExpr("id AS doc_id", "string(id) AS text", "'en' AS lang", "if(id = 77, null, 'hot') AS source", "id AS n_chars")
+    held = skewed(1_200_001)
+    [rate] = [r["rate"] for r in mixing.rates(held).where("source IS NULL").collect()]
+    found = mixing.mix_sources(held).where("source IS NULL").collect()
+    assert rate > 1000 and sorted(r["copy"] for r in found) == list(range(1, exact_draw(rate, 77) + 1))
+    assert all(r["doc_id"] == 77 and r["shuffle_key"] == hashlib.md5(f"17s:77:{r['copy']}".encode()).hexdigest() for r in found)
+    many = spark.range(40_000).selectExpr("if(id = 9, null, id) AS doc_id", "if(id < 10, 'rare', 'large') AS source")
+    found = {r["doc_id"]: r["count"] for r in mixing.mix_sources(many, {"rare": 3, "large": 1}).where("source = 'rare'").groupBy("doc_id").count().collect()}
+    assert found == {i: exact_draw(3000.0, i) for i in [*range(9), None]}
+    documents = skewed(300_001).toPandas()  # noqa: F841
+    theirs = duckdb.sql(f"SELECT source, count(*) AS n, max(copy) AS top FROM ({mixing.SQL}) GROUP BY source ORDER BY source").fetchall()
+    ours = mixing.mix_sources(skewed(300_001)).groupBy("source").agg({"*": "count", "copy": "max"}).toDF("source", "n", "top").collect()
+    assert {tuple(r) for r in ours} == set(theirs)
+
+
 def test_empty_tables(spark, empty):
     langs, table = language_id.train(empty)
     stats = empty.selectExpr("doc_id", "true AS held_out", "text").mapInArrow(quality_model._statistics, "doc_id bigint, held_out boolean, x array<double>")
