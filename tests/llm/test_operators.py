@@ -142,6 +142,20 @@ def test_near_duplicates_match_brute_force(spark, odd):
     assert len(found) == docs.count()
 
 
+def test_pipeline_links_from_eighty_percent(spark):
+    import corpus_pipeline
+
+    rows = []
+    for k, changed in enumerate([7, 8, 9, 12]):
+        words = [f"w{k}x{i}" for i in range(400)]
+        rows += [(10 * k, " ".join(words), "en", "a", 1), (10 * k + 1, " ".join("new" if i % 30 == 15 and i < 30 * changed else w for i, w in enumerate(words)), "en", "a", 1)]
+    sets = [set(minhash.shingles(r[1], {}).tolist()) for r in rows]
+    alike = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert all(0.79 < x < 0.85 for x in alike[:3]) and alike[3] < 0.79
+    found = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, COLUMNS), SF).collect())
+    assert found == sorted(r[0] for i, r in enumerate(rows) if i % 2 == 0 or alike[i // 2] < 0.8)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 50), (60, 100)]
     found = {r["id"]: r["component"] for r in minhash.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
