@@ -5,9 +5,9 @@ Two collections of SIDE sub-signatures, each of WIDTH minhashes, are combined in
 about 2 * (1 - s**WIDTH)**SIDE: 7e-5 at 0.80, 5e-6 at 0.85, below 1e-9 at 0.95.
 
 Equal sets are collapsed first. Within a bucket, each member is compared with the smallest and the largest member only;
-what these links leave in different components of a bucket is then compared in full, but for the bucket's largest
-component with itself, which is connected already. So no bucket is gathered, none is capped and no candidate link that
-could join two components is left out.
+what these links leave in different components of a bucket is then joined on rare shingles, but for the bucket's largest
+component with itself, which is connected already; only pairs whose sizes and places of a shared shingle allow a link
+are compared. So no bucket is gathered, none is capped and no candidate link that could join two components is left out.
 
 Texts without words (null, empty) are linked with nothing. Rows that share a doc_id count as one document; rows with a
 null doc_id are their own component (null) and kept. Other columns are not looked at. An empty table gives no rows.
@@ -99,16 +99,42 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "found"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def shingle_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, found): the full shingle sets of the documents in wanted."""
+    return cut(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, found array<bigint>"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = cut(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, found array<bigint>"))
     side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("found").alias(f"{k}_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
     union = F.size("a_set") + F.size("b_set") - both
     return pairs.join(side("a"), "a").join(side("b"), "b").where(100 * both >= percent * union).select("a", "b")
 
 
+def close_pairs(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of members (doc_id, component, outer) of two components, one of them outer, that can be similar enough.
+
+    All shingles are put into one order, those that no other component has first and then rare ones. Similar sets then
+    share one so early in both that enough follows it; only pairs that do are returned, and every similar pair does.
+    """
+    held = sets.join(members, "doc_id").withColumn("n", F.size("found").cast("bigint"))
+    each = held.select("doc_id", "component", "outer", F.explode("found").alias("h"))
+    common = each.groupBy("h").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high"), F.bool_or("outer").alias("outer"))
+    common = common.where("low < high AND outer").select("h", "df")
+    shared = each.select("doc_id", "h").join(common, "h").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
+    place = held.drop("found").join(shared, "doc_id").withColumn("first", F.col("n") - F.size("s"))
+    # A set of n needs percent * n / 100 in common with any other, and one no smaller 2 * percent * n / (100 + percent).
+    keep = F.expr(f"greatest(0L, n - ({percent}L * n + 99L) div 100L + 1L - first)").cast("int")
+    keys = place.withColumn("s", F.slice("s", F.lit(1), keep)).select("doc_id", "component", "outer", "n", "first", F.posexplode("s").alias("i", "x"))
+    keys = cut(keys.select("doc_id", "component", "outer", "n", (F.col("first") + F.col("i")).alias("at"), F.col("x.h").alias("h")))
+    short = keys.where(f"at <= n - ({2 * percent}L * n + {99 + percent}L) div {100 + percent}L")
+    side = lambda t, k: t.select("h", *[F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "component", "n", "at")])
+    enough = f"component_x != component_y AND n_x <= n_y AND {100 + percent} * least(n_x - at_x, n_y - at_y) >= {percent} * (n_x + n_y)"
+    meet = lambda x, y: side(x, "x").join(side(y, "y"), "h").where(enough).select(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b"))
+    return meet(short.where("outer"), keys).union(meet(short.where("NOT outer"), keys.where("outer"))).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id that links (a, b) reach, for all ids in links.
 
@@ -148,18 +174,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = cut(members.join(buckets, "bucket"))
     stars = members.select(F.col("doc_id").alias("b"), F.explode(F.array("low", "high")).alias("a")).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     stars = cut(stars)
-    linked = cut(verified(stars, docs, percent))
+    sets = shingle_sets(members.select("doc_id").distinct(), docs)
+    linked = cut(verified(stars, sets, percent))
     parts = components(linked)
     placed = members.join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     open_ = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("all")).where("parts > 1 AND all > 2")
-    rest = cut(placed.join(open_.select("bucket", "main"), "bucket"))
-    more = rest.where("component != main").select("bucket", F.col("doc_id").alias("x"), F.col("component").alias("cx"))
-    pairs = more.join(rest.select("bucket", F.col("doc_id").alias("y"), F.col("component").alias("cy")), "bucket").where("cx != cy")
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    pairs = cut(pairs)
-    if not pairs.isEmpty():
-        linked = linked.union(verified(pairs, docs, percent))
+    rest = placed.join(open_.select("bucket", "main"), "bucket")
+    rest = cut(rest.groupBy("doc_id", "component").agg(F.bool_or(F.col("component") != F.col("main")).alias("outer")))
+    if not rest.isEmpty():
+        linked = linked.union(verified(cut(close_pairs(rest, sets, percent).join(stars, ["a", "b"], "left_anti")), sets, percent))
         parts = components(linked)
     tops = classes.where("n > 1").select("same", "rep")
     placed = found.join(tops, "same", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))

@@ -165,6 +165,28 @@ def test_banding_misses_no_borderline_pair():
     assert missed <= 1
 
 
+def test_close_pairs_keep_every_link_and_few_others(spark):
+    draw = random.Random(3)
+    rows = []
+    for k in range(60):  # of a template, at a similarity of about 0.8
+        rows.append((k, [f"t{i}" for i in range(180)] + [f"o{k}x{i}" for i in range(16)]))
+    for k in range(60, 100):  # chains of copies, each cut and changed anew, in sizes apart
+        base = [f"c{k % 4}x{i}" for i in range(150 + 5 * (k % 3))]
+        at = draw.randrange(150)
+        rows.append((k, base[: 150 - draw.randrange(9)] if k % 2 else base[:at] + ["new", f"n{k}"] + base[at + 1 :]))
+    docs = spark.createDataFrame([(k, " ".join(w), k) for k, w in rows], "doc_id bigint, text string, component bigint")
+    sets = minhash.shingle_sets(docs.select("doc_id"), docs)
+    held = {r["doc_id"]: set(r["found"]) for r in sets.collect()}
+    for percent in (80, 85):
+        for outer in ("true", "doc_id % 3 = 0"):
+            found = {tuple(r) for r in minhash.close_pairs(docs.selectExpr("doc_id", "component", f"{outer} AS outer"), sets, percent).collect()}
+            links = {(a, b) for a in held for b in held if a < b and 100 * len(held[a] & held[b]) >= percent * len(held[a] | held[b])}
+            links = {p for p in links if outer == "true" or any(i % 3 == 0 for i in p)}
+            assert len(links) > 50 and links <= found
+            if percent == 85:
+                assert not any(b < 60 for _, b in found)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 50), (60, 100)]
     found = {r["id"]: r["component"] for r in minhash.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
