@@ -27,15 +27,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared one; a local one only where none is set (tests)."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new folder below the cluster's shared one. Where none is set, only a session on one machine gets a local one."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Ends the lineage: df as a compressed table in the shared folder.
 
-    The plan that wrote it is not kept, so Spark removes its shuffle files once the driver has collected its garbage.
+    The plan that wrote it is not kept. Its shuffle files go when the driver collects its garbage, which Spark itself
+    asks for every half hour only; a job of many cuts would hold all of its shuffles on disk until then, so it is asked here.
     """
     path = shared_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
@@ -65,3 +70,42 @@ def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(29))
     h = h * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(32))
+
+
+def utf8(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a text column, one text after the other, and where each begins and the last ends; null is empty."""
+    held = batch.column(column)
+    if held.null_count:
+        held = held.fill_null("")
+    if not len(held):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    held = held.cast(pa.string())
+    _, ends, data = held.buffers()
+    ends = np.frombuffer(ends, np.int32)[held.offset : held.offset + len(held) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.empty(0, np.uint8)
+    return data, ends - ends[0]
+
+
+_rng = np.random.default_rng(77)
+BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the base and of its inverse modulo 2**64."""
+    if not _powers or len(_powers[0]) < n:
+        size = 1 << max(16, n.bit_length())
+        _powers[:] = []
+        for base in (_BASE, pow(_BASE, -1, 2**64)):
+            x = np.full(size, base, np.uint64)
+            x[0] = 1
+            _powers.append(np.cumprod(x))
+    return _powers[0][:n], _powers[1][:n]
+
+
+def prefix_hash(data: np.ndarray) -> np.ndarray:
+    """Sums up to each place; a difference of two, times the inverse power at the first, is the hash of what lies between."""
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE[data] * powers(len(data))[0], out=out[1:])
+    return out

@@ -32,34 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from lodestream.llm.common import cut, documents, mix, rows, texts
+from lodestream.llm.common import cut, documents, mix, powers, prefix_hash, rows, texts
 
 LENGTH, K, STEP = 100, 32, 8
 WINDOW = LENGTH - K + 1
 PIECE = 1 << 21
-_rng = np.random.default_rng(77)
-_BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 24) - 1)
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of the base and of its inverse modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        size = 1 << max(16, n.bit_length())
-        _powers[:] = []
-        for base in (_BASE, pow(_BASE, -1, 2**64)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _powers.append(np.cumprod(x))
-    return _powers[0][:n], _powers[1][:n]
-
-
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers(len(data))[0], out=out[1:])
-    return out
 
 
 def pieces(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:

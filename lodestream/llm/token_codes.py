@@ -24,15 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestream.llm.bpe import from_pieces, pieces_of, tokenizer
-from lodestream.llm.common import documents, rows, shared_dir, texts
-from lodestream.llm.warc import _store
+from lodestream.llm.bpe import encoder
+from lodestream.llm.common import documents, rows, shared_dir, utf8
+from lodestream.llm.warc import _store, spread
 
 MARK = b"DACODES1"
 #: Fixed value: the id that ends every document.
 END_ID = 1
-END = np.array([END_ID], np.uint32).tobytes()
-#: A file takes documents until it has so many ids.
+#: A file takes documents until it has so many ids, by slices of the input.
 FILE_IDS = 2_000_000
 NULL_ID = -(2**63)
 
@@ -51,7 +50,7 @@ def pack(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     return levels
 
 
-def write_codes(out, doc_ids: list[int | None], ends: list[int], ids: np.ndarray) -> None:
+def write_codes(out, doc_ids: list[int | None], ends: np.ndarray, ids: np.ndarray) -> None:
     levels = pack(ids)
     out.write(MARK + np.array([len(doc_ids), len(ids), len(levels)], "<u8").tobytes())
     out.write(np.array([NULL_ID if x is None else x for x in doc_ids], "<i8").tobytes() + np.array(ends, "<u8").tobytes())
@@ -103,31 +102,35 @@ def write_tokens(docs: DataFrame, folder: str, name: str = "word_bpe_49k.json",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = _store(folder)
-        model, known, held, n_held, file, part = tokenizer(name), pieces_of(name), [], 0, 0, 0
+        enc, file, part = encoder(name), 0, 0
+        names, sizes, held = [], [], []
 
         def flush() -> pa.RecordBatch:
-            path = f"{top}/{uuid.uuid4().hex}.dac"
-            ids = np.concatenate([x for _, x in held])
+            path, ids = f"{top}/{uuid.uuid4().hex}.dac", np.concatenate(held)
             with store.open_output_stream(path) as out:
-                write_codes(out, [i for i, _ in held], np.cumsum([len(x) for _, x in held]).tolist(), ids)
-            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([part], pa.int32()), pa.array([file], pa.int32()), pa.array([len(held)], pa.int64()), pa.array([len(ids)], pa.int64())], ["path", "part", "file", "n_docs", "n_ids"])
-
-        for b in rows(batches, 256):
-            if b.num_rows:
-                part = b.column("part")[0].as_py()
-            for i, ids in zip(b.column("doc_id").to_pylist(), from_pieces(texts(b), model, known)):
-                held.append((i, np.frombuffer(ids + END, np.uint32)))
-                n_held += len(held[-1][1])
-                if n_held >= FILE_IDS:
-                    yield flush()
-                    held, n_held, file = [], 0, file + 1
-        if held:
+                write_codes(out, names, np.cumsum(np.concatenate(sizes)), ids)
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([part], pa.int32()), pa.array([file], pa.int32()), pa.array([len(names)], pa.int64()), pa.array([len(ids)], pa.int64())], ["path", "part", "file", "n_docs", "n_ids"])
+
+        for b in rows(batches):
+            if not b.num_rows:
+                continue
+            part = b.column("part")[0].as_py()
+            _, ends, ids = enc.encode(*utf8(b))
+            names += b.column("doc_id").to_pylist()
+            sizes.append(np.diff(ends) + 1)
+            held.append(np.insert(ids, ends[1:], END_ID))
+            if sum(map(len, held)) >= FILE_IDS:
+                yield flush()
+                names, sizes, held, file = [], [], [], file + 1
+        if names:
             yield flush()
 
     ordered.mapInArrow(run, "path string, part int, file int, n_docs bigint, n_ids bigint").write.parquet(f"{folder}/manifest")
-    # One short row for each file of FILE_IDS ids.
-    before = F.sum("n_ids").over(W.orderBy("part", "file").rowsBetween(W.unboundedPreceding, -1))
-    return spark.read.parquet(f"{folder}/manifest").withColumn("start", F.coalesce(before, F.lit(0)))
+    # First over the tasks, a row for each, then over the files within a task.
+    files = spark.read.parquet(f"{folder}/manifest")
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    tasks = files.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", before(W.orderBy("part")).alias("base"))
+    return files.join(tasks, "part").withColumn("start", F.col("base") + before(W.partitionBy("part").orderBy("file"))).drop("base")
 
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
@@ -149,8 +152,7 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                         columns = [pa.array(names, pa.int64()), pa.array(starts[some] + base, pa.int64()), pa.array([len(x) for x in each], pa.int64()), pa.array([x.astype(np.int32) for x in each], pa.list_(pa.int32())), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in each], pa.int64())]
                         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids", "ids_crc32"])
 
-    spread = manifest.select("path", "start").repartition(max(1, manifest.count()), "path")
-    return spread.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids array<int>, ids_crc32 bigint")
+    return spread(manifest.select("path", "start")).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids array<int>, ids_crc32 bigint")
 
 
 def op5_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

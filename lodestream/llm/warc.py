@@ -155,8 +155,8 @@ def normalise(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def spread(manifest: DataFrame) -> DataFrame:
-    """One archive a task."""
-    return manifest.repartition(max(1, manifest.count()), "path")
+    """One file a task: the names are random, so ranges of them part evenly, and few tasks get a second one."""
+    return manifest.repartitionByRange(max(1, manifest.count()), "path")
 
 
 def lines(stream, size: int = BLOCK) -> Iterator[bytes]:

@@ -11,10 +11,11 @@ import zlib
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from lodestream.llm import bpe, fingerprints, language_id, minhash, mixing, quality_model, quality_rules, suffix_dedup, token_codes, warc
-from lodestream.llm.common import shared_dir
+from lodestream.llm.common import shared_dir, utf8
 from lodestream.llm.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -80,13 +81,40 @@ PARTS = ["a", "b", "Zß", " ", "  ", "\n", "'", "s", "'ll", "don't", "1", "é",
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_pieces_encode_as_the_whole_text(name):
+def test_parts_and_chunks_encode_as_the_whole_text(name, monkeypatch):
     draw = random.Random(7)
     odd = ["".join(draw.choices(PARTS, k=draw.randrange(30))) for _ in range(20_000)]
-    model = bpe.tokenizer(name)
-    found = bpe.from_pieces(odd, model, {})
-    wanted = model.encode_batch(odd, add_special_tokens=False)
-    assert [t for t, x, y in zip(odd, found, wanted) if np.frombuffer(x, np.uint32).tolist() != y.ids] == []
+    odd += ["".join(draw.choices([" word", " and", ", x", "\nY", "\n\n", "!", "1", *PARTS[:3]], k=2000)) for _ in range(40)] + ["漢字" * 2000, " a" * 4000, "a" * 5000, "\n" * 3000, "<|endoftext|>" * 300]
+    enc = bpe.Encoder(name)
+    assert enc.by_parts and (enc.pieces is not None) == name.startswith("byte")
+    data, edges = utf8(pa.RecordBatch.from_arrays([pa.array(odd)], ["text"]))
+    wanted = [x.ids for x in enc.model.encode_batch(odd, add_special_tokens=False)]
+    _, ends, ids = enc.encode(data, edges)
+    assert [x.tolist() for x in np.split(ids, ends[1:-1])] == wanted
+    for bits in (4, 10):  # chunks of 16 and 1024 bytes
+        monkeypatch.setattr(bpe, "CHUNK_BITS", bits)
+        assert [x.tolist() for x in bpe.encoded(data, edges, enc, {})] == wanted
+    assert enc.decode(ids, ends) == enc.model.decode_batch(wanted, skip_special_tokens=False)
+
+
+def test_joins_grow_until_both_sides_agree():
+    enc = bpe.Encoder("byte_bpe_50k.json")
+    words = [f" w{k}" for k in range(40)]
+    chunks = []
+    for k in range(0, 40, 10):
+        data = "".join(words[k : k + 10]).encode()
+        at, ends, ids = enc.parts(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        chunks.append(bpe.Chunk(at, ends, ids))
+    asked = []
+
+    def encode(texts):  # an encoder that is wrong about narrow windows
+        asked.append(texts)
+        found = enc.model.encode_batch(texts, add_special_tokens=False)
+        return [x.ids if len(t) > 40 else [0, *x.ids[1:-1], 0] for t, x in zip(texts, found)]
+
+    [ids] = bpe.repaired([("".join(words).encode(), chunks)], encode)
+    assert ids.tolist() == enc.model.encode("".join(words), add_special_tokens=False).ids
+    assert len(asked) > 1 and max(map(len, asked[0])) < 40
 
 
 def test_codes_random_access():
@@ -96,7 +124,7 @@ def test_codes_random_access():
 
     ids = np.random.default_rng(5).choice([0, 1, 255, 256, 65_535, 70_000, 2**32 - 1], 5000).astype(np.uint32)
     out = Held()
-    token_codes.write_codes(out, [1, None], [2000, 5000], ids)
+    token_codes.write_codes(out, [1, None], np.array([2000, 5000]), ids)
     codes = token_codes.Codes(out)
     for a, b in [(0, 5000), (63, 65), (64, 64), (4999, 5000), *((i, i + 1) for i in range(0, 5000, 97))]:
         assert (codes.read(a, b) == ids[a:b]).all()
