@@ -2,7 +2,7 @@
 
 Two collections of SIDE sub-signatures, each of WIDTH minhashes, are combined in pairs: SIDE * SIDE tables with keys of
 2 * WIDTH minhashes out of 2 * SIDE * WIDTH minhashes computed. A pair of similarity s shares no key with probability of
-about 2 * (1 - s**WIDTH)**SIDE: 7e-5 at 0.80, 5e-6 at 0.85, below 1e-9 at 0.95.
+about 2 * (1 - s**WIDTH)**SIDE: 4e-4 at 0.80, 2e-5 at 0.85, 1e-7 at 0.90. Only sub-signatures that occur twice are combined.
 
 Equal sets are collapsed first. Within a bucket, each member is compared with the smallest and the largest member only;
 what these links leave in different components of a bucket is then joined on rare shingles, but for the bucket's largest
@@ -20,83 +20,119 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import WORD, cut, documents, fold_ascii, mix, rows, texts
+from lodestream.llm.common import cut, documents, mix, powers, prefix_hash, rows, utf8
 
-SIDE, WIDTH, SHINGLE = 10, 2, 5
+SIDE, WIDTH, SHINGLE = 12, 3, 5
 PERCENT = 85
+STRETCH = 1 << 21
+#: What parts words, the space and the ASCII controls from tab to carriage return.
+_GAP = np.isin(np.arange(256), [32, *range(9, 14)])
 _rng = np.random.default_rng(20240601)
 _STEP = _rng.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SEED = _rng.integers(1, 2**63, 2 * SIDE * WIDTH, dtype=np.uint64)
 _MUL = _rng.integers(1, 2**63, 2 * SIDE * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(text: str, known: dict[str, int]) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct 5-word shingles; of the whole sequence if there are fewer words."""
-    words = WORD.findall(fold_ascii(text))
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(known) > 500_000:
-        known.clear()
-    of = known.get
-    h = np.empty(len(words), np.uint64)
-    for i, w in enumerate(words):
-        x = of(w)
-        if x is None:
-            x = known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        h[i] = x
-    k = min(SHINGLE, len(h))
-    n = len(h) - k + 1
-    total = np.full(n, k, np.uint64)
-    for j in range(k):
-        total += mix(h[j : j + n] ^ _STEP[j]) * _STEP[j]
-    return np.unique(mix(total))
-
-
-def minhashes(found: np.ndarray) -> np.ndarray:
-    """The minhashes of a set; a set of millions is read in blocks."""
-    least = np.full(len(_SEED), 2**64 - 1, np.uint64)
-    for at in range(0, len(found), 1024):
-        x = (found[at : at + 1024] ^ _SEED[:, None]) * _MUL[:, None]
-        x ^= x >> np.uint64(31)
-        np.minimum(least, x.min(axis=1), out=least)
+def words(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the lower-cased words of the texts between the edges, and where each text's begin and the last end."""
+    data = np.where((data >= 65) & (data <= 90), data | 32, data).astype(np.uint8)
+    within = np.r_[~_GAP[data], False]
+    starts = within[:-1] & ~np.r_[False, within[:-2]]
+    begin = edges[:-1][edges[1:] > edges[:-1]]
+    starts[begin] = within[begin]
+    ends = within[:-1] & ~within[1:]
+    last = begin[1:] - 1
+    ends[last] = within[last]
+    starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    out = np.empty(len(starts), np.uint64)
+    k = 0
+    while k < len(starts):  # in stretches of whole words
+        m = max(k + 1, int(np.searchsorted(ends, starts[k] + STRETCH, "right")))
+        low = starts[k]
+        total, inverse = prefix_hash(data[low : ends[m - 1]]), powers(int(ends[m - 1] - low))[1]
+        out[k:m] = (total[ends[k:m] - low] - total[starts[k:m] - low]) * inverse[starts[k:m] - low]
+        k = m
+    return mix(out), np.searchsorted(starts, edges)
+
+
+def shingle_hashes(data: np.ndarray, edges: np.ndarray) -> list[np.ndarray]:
+    """For each text between the edges, the sorted 64-bit hashes of its distinct 5-word shingles; of the whole sequence if there are fewer words."""
+    h, ends = words(data, edges)
+    n = max(0, len(h) - SHINGLE + 1)
+    total = np.full(n, SHINGLE, np.uint64)
+    for j in range(SHINGLE):
+        total += h[j : j + n] * _STEP[j]
+    total = mix(total)
+    out = []
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        if 0 < b - a < SHINGLE:
+            out.append(mix(np.array([b - a], np.uint64) + (h[a:b] * _STEP[: b - a]).sum(dtype=np.uint64)))
+            continue
+        own = np.sort(total[a : b - SHINGLE + 1] if b > a else total[:0])
+        out.append(own[np.r_[True, own[1:] != own[:-1]]] if len(own) else own)
+    return out
+
+
+def shingles(text: str) -> np.ndarray:
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    return shingle_hashes(data, np.array([0, len(data)]))[0]
+
+
+def minhashes(found: list[np.ndarray]) -> np.ndarray:
+    """The minhashes of sets that are not empty, [set, minhash]; in blocks of sets, and large sets in pieces."""
+    least = np.full((len(found), len(_SEED)), 2**64 - 1, np.uint64)
+    at = 0
+    while at < len(found):
+        upto, n = at + 1, len(found[at])
+        while upto < len(found) and n + len(found[upto]) <= 32_768:
+            n += len(found[upto])
+            upto += 1
+        sizes = np.array([len(x) for x in found[at:upto]])
+        flat = np.concatenate(found[at:upto])
+        for low in range(0, n, 1 << 20):
+            part = flat[low : low + (1 << 20)]
+            starts = np.cumsum(sizes) - sizes if low == 0 else np.zeros(1, np.int64)
+            for k in range(len(_SEED)):
+                x = (part ^ _SEED[k]) * _MUL[k]
+                own = least[at:upto, k]
+                np.minimum(own, np.minimum.reduceat(x, starts), out=own)
+        at = upto
     return least
 
 
-def band_keys(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sub-signatures of the two collections; a table is a pair of them."""
-    m = minhashes(found).reshape(2 * SIDE, WIDTH)
-    keys = mix(m[:, 0] + mix(m[:, 1])).view(np.int64)
-    return keys[:SIDE], keys[SIDE:]
+def band_keys(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sub-signatures of the two collections, [set, sub-signature]; a table is a pair of them."""
+    m = minhashes(found).reshape(len(found), 2 * SIDE, WIDTH)
+    keys = m[:, :, 0]
+    for j in range(1, WIDTH):
+        keys = mix(keys) + m[:, :, j]
+    keys = mix(keys).view(np.int64)
+    return keys[:, :SIDE], keys[:, SIDE:]
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, int] = {}
     for b in rows(batches):
-        sizes, sets, left, right = [], [], [], []
-        for t in texts(b):
-            found = shingles(t, known)
-            sizes.append(len(found))
-            if not len(found):
-                sets.append(None), left.append(None), right.append(None)
-                continue
-            sets.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-            x, y = band_keys(found)
-            left.append(x.tolist()), right.append(y.tolist())
-        yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(left, pa.list_(pa.int64())), pa.array(right, pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "same", "left", "right"],
-        )
+        found = shingle_hashes(*utf8(b))
+        some = [x for x in found if len(x)]
+        left, right = band_keys(some) if some else (np.empty((0, SIDE), np.int64),) * 2
+        empty = pa.array([not len(x) for x in found], pa.bool_())
+        sets = pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in found], pa.binary())
+        lists = []
+        for side in (left, right):
+            ends = np.cumsum([0, *(SIDE if len(x) else 0 for x in found)])
+            lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(side.reshape(-1)), mask=empty))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([len(x) for x in found], pa.int64()), sets, *lists], ["doc_id", "n_shingles", "same", "left", "right"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, int] = {}
     for b in rows(batches):
-        found = [shingles(t, known).view(np.int64) for t in texts(b)]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "found"])
+        found = shingle_hashes(*utf8(b))
+        ends = np.cumsum([0, *map(len, found)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), lists], ["doc_id", "found"])
 
 
 def shingle_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
@@ -161,6 +197,22 @@ def components(links: DataFrame) -> DataFrame:
     return labels.select("id", F.col("to").alias("component"))
 
 
+def bucketed(reps: DataFrame) -> DataFrame:
+    """(doc_id, n, bucket) for each table's key of a document that may have company: both its sub-signatures occur twice."""
+    side = lambda name, at: F.transform(name, lambda x, i: F.struct((i + at).cast("tinyint").alias("k"), x.alias("x")))
+    keys = cut(reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode(F.concat(side("left", 0), side("right", SIDE))).alias("s")).select("doc_id", "n", "s.k", "s.x").distinct())
+    shared = keys.groupBy("k", "x").agg(F.count("*").alias("times")).where("times > 1").drop("times")
+    of = lambda right: F.transform(F.filter("s", lambda s: (s.k >= SIDE) == F.lit(right)), lambda s: F.struct(s.k, s.x))
+    held = keys.join(shared, ["k", "x"]).groupBy("doc_id", "n").agg(F.collect_list(F.struct("k", "x")).alias("s")).select("doc_id", "n", of(False).alias("left"), of(True).alias("right"))
+    tables: Column = F.flatten(F.transform("left", lambda a: F.transform("right", lambda b: F.xxhash64(a.k, b.k, a.x, b.x))))
+    return held.select("doc_id", "n", F.explode(tables).alias("bucket"))
+
+
+def can_link(a: str, b: str, percent: int) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs."""
     schema = "doc_id bigint, n_shingles bigint, same binary, left array<bigint>, right array<bigint>"
@@ -168,12 +220,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = found.where("same IS NOT NULL AND doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     classes = cut(classes)
     reps = found.join(classes.select("same", F.col("rep").alias("doc_id")), ["same", "doc_id"], "left_semi")
-    tables: Column = F.explode(F.flatten(F.transform("left", lambda x, i: F.transform("right", lambda y, j: F.xxhash64(i, j, x, y)))))
-    members = reps.select("doc_id", tables.alias("bucket")).distinct()
-    buckets = members.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    members = bucketed(reps)
+    end = F.struct("doc_id", "n")
+    buckets = members.groupBy("bucket").agg(F.min(end).alias("low"), F.max(end).alias("high")).where("low.doc_id < high.doc_id")
     members = cut(members.join(buckets, "bucket"))
-    stars = members.select(F.col("doc_id").alias("b"), F.explode(F.array("low", "high")).alias("a")).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    stars = cut(stars)
+    stars = members.select("doc_id", "n", F.explode(F.array("low", "high")).alias("end")).where(F.col("doc_id") != F.col("end.doc_id")).where(can_link("n", "end.n", percent))
+    stars = cut(stars.select(F.least("doc_id", "end.doc_id").alias("a"), F.greatest("doc_id", "end.doc_id").alias("b")).distinct())
     sets = shingle_sets(members.select("doc_id").distinct(), docs)
     linked = cut(verified(stars, sets, percent))
     parts = components(linked)

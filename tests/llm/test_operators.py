@@ -6,6 +6,7 @@ import decimal
 import hashlib
 import io
 import random
+import re
 import zlib
 
 import duckdb
@@ -155,7 +156,7 @@ def test_near_duplicates_match_brute_force(spark, odd):
     base = text(7, 120).split()
     near = [(1000 + k, " ".join(w if i % 97 != k else f"w{k}" for i, w in enumerate(base)), "en", "a", 1) for k in range(60)]
     docs = odd.union(spark.createDataFrame(near, COLUMNS))
-    sets = {i: set(minhash.shingles(t, {}).tolist()) for i, t in texts(docs)}
+    sets = {i: set(minhash.shingles(t).tolist()) for i, t in texts(docs)}
     top = {i: i for i in sets}
     for _ in sets:
         for a in sets:
@@ -177,7 +178,7 @@ def test_pipeline_links_from_eighty_percent(spark):
     for k, changed in enumerate([7, 8, 9, 12]):
         words = [f"w{k}x{i}" for i in range(400)]
         rows += [(10 * k, " ".join(words), "en", "a", 1), (10 * k + 1, " ".join("new" if i % 30 == 15 and i < 30 * changed else w for i, w in enumerate(words)), "en", "a", 1)]
-    sets = [set(minhash.shingles(r[1], {}).tolist()) for r in rows]
+    sets = [set(minhash.shingles(r[1]).tolist()) for r in rows]
     alike = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
     assert all(0.79 < x < 0.85 for x in alike[:3]) and alike[3] < 0.79
     found = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, COLUMNS), SF).collect())
@@ -185,12 +186,22 @@ def test_pipeline_links_from_eighty_percent(spark):
 
 
 def test_banding_misses_no_borderline_pair():
-    draw, missed = np.random.default_rng(11), 0
-    for _ in range(10_000):
-        x = draw.integers(0, 2**64, 108, dtype=np.uint64)
-        (a, b), (c, d) = minhash.band_keys(x[:100]), minhash.band_keys(np.r_[x[:92], x[100:]])  # 92 of 108: 0.852
-        missed += not ((a == c).any() and (b == d).any())
-    assert missed <= 1
+    draw = np.random.default_rng(11).integers(0, 2**64, (10_000, 108), dtype=np.uint64)
+    (a, b), (c, d) = minhash.band_keys(list(draw[:, :100])), minhash.band_keys(list(np.c_[draw[:, :92], draw[:, 100:]]))  # 92 of 108: 0.852
+    assert np.count_nonzero(~((a == c).any(axis=1) & (b == d).any(axis=1))) <= 1
+
+
+def test_shingles_are_those_of_the_words():
+    draw = random.Random(5)
+    odd = ["".join(draw.choices(["a", "B", "é", "\u00a0", "日", " ", "\t", "\n", "\x0b", "\x1c", "xyz ", "Q "], k=draw.randrange(60))) for _ in range(3000)] + ["", "w " * 5000, " ".join(map(str, range(200_000)))]
+    data, edges = utf8(pa.RecordBatch.from_arrays([pa.array(odd)], ["text"]))
+    names: dict[int, tuple] = {}
+    for t, own in zip(odd, minhash.shingle_hashes(data, edges)):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        wanted = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        assert len(own) == len(wanted) and own.tolist() == sorted(set(own.tolist())) and own.tolist() == minhash.shingles(t).tolist()
+        if len(wanted) == 1:
+            assert names.setdefault(int(own[0]), next(iter(wanted))) == next(iter(wanted))
 
 
 def test_close_pairs_keep_every_link_and_few_others(spark):
@@ -237,7 +248,7 @@ def test_fingerprints(spark, odd):
         m = len(t) // 3
         assert found[i]["n_chars"] == len(t) and found[i]["edited"] == t[: len(t) - m] + after[:m]
     true = lambda a, b: len(a & b) / len(a | b)
-    sets = {i: set(minhash.shingles(t.lower(), {}).tolist()) for i, t in order}
+    sets = {i: set(minhash.shingles(t.lower()).tolist()) for i, t in order}
     assert abs(found[3]["near_next"] - true(sets[3], sets[2])) < 0.1
 
 
