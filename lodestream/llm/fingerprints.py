@@ -9,7 +9,8 @@ likeness corrects the matches for those of chance.
 
 Null texts count as empty; texts without words have the empty fingerprint, alike (1) to one another and unlike (0) all
 others. The next document, in descending doc_id order, is that with the next smaller id; rows that share a doc_id stand
-side by side, ordered by text. Rows with null ids follow each other likewise, at the end. Other columns are not read.
+side by side, ordered by text. Rows with null ids come at the end, ordered by a hash of their text. Other columns are not
+read. Rows that share one id, or null ids of equal texts, are ordered in one task.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ BINS, BITS, SHINGLE, PROBES = 256, 8, 5, 16
 #: The bits of a hash below those that name its bin; all set in a bin's end mark.
 _BELOW = 64 - (BINS.bit_length() - 1)
 _END = (1 << _BELOW) - 1
-#: Neighbouring ids are ordered in blocks of at least so many ids, and in at most so many blocks.
-BLOCK_IDS, MAX_BLOCKS = 256, 65_536
+#: Ids are cut into so many stretches of about equally many rows, and each of these into so many blocks of equal width.
+STRETCHES, BLOCKS = 256, 256
 
 
 def turns() -> list[str]:
@@ -70,30 +71,46 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(corrected)
 
 
+def blocks(docs: DataFrame) -> DataFrame:
+    """docs with ``_at``, the number that orders a row, and ``_block``, a number for each block of them, in the same order.
+
+    The stretches' bounds are approximate quantiles of the ids, so that neither gaps nor dense places make large blocks.
+    """
+    q = [k / STRETCHES for k in range(STRETCHES + 1)]
+    found = docs.agg(F.percentile_approx("doc_id", q, 10_000)).first()[0]
+    lows = sorted(set(found or [0]))
+    widths = [max(1, -(-(b - a) // BLOCKS)) for a, b in zip(lows, [*lows[1:], lows[-1] + 1])]
+    at = F.greatest(F.size(F.filter(F.array(*map(F.lit, lows)), lambda x: x <= F.col("doc_id"))), F.lit(1))
+    # Exact numbers: the distance between two ids may pass 2**63.
+    exact = lambda c: c.cast("decimal(20,0)")
+    low, width = (F.element_at(F.array(*[exact(F.lit(str(x))) for x in xs]), at) for xs in (lows, widths))
+    within = F.floor((exact(F.col("doc_id")) - low) / width).cast("bigint")
+    null_at = F.xxhash64("text")
+    null_block = F.shiftright(null_at, 54) - (1 << 20)
+    own = at.cast("bigint") * (BLOCKS + 1) + F.least(F.greatest(within, F.lit(0)), F.lit(BLOCKS))
+    return docs.withColumns({"_at": F.coalesce("doc_id", null_at), "_block": F.when(F.col("doc_id").isNull(), null_block).otherwise(own)})
+
+
 def with_guests(docs: DataFrame) -> DataFrame:
-    """docs with ``_block``, and in each block a ``_guest``: the document that follows its smallest one.
+    """docs in blocks, and in each block a ``_guest``: the document that follows its smallest one.
 
-    Blocks cover equal ranges of ids. A block's guest is the largest document of the block below; the lowest block's is
-    the largest of all, and null ids are a block of their own, the lowest. At most MAX_BLOCKS + 1 short rows are broadcast
-    or ordered in one task.
+    A block's guest is the largest document of the block below; the lowest block's is the largest of all. A short row for
+    each of the blocks, of which there are STRETCHES * (BLOCKS + 1) + 1024 at most, is broadcast and ordered in one task.
     """
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, high = low or 0, high or 0
-    width = max(BLOCK_IDS, -(-(high - low + 1) // MAX_BLOCKS))
-    docs = docs.withColumn("_block", F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / width), F.lit(-1)))
-    tops = docs.groupBy("_block").agg(F.max("doc_id").alias("_top"))
+    docs = blocks(docs)
+    tops = docs.groupBy("_block").agg(F.max("_at").alias("_top"))
     order = W.orderBy("_block")
     to = F.coalesce(F.lead("_block").over(order), F.first("_block").over(order))
     tops = tops.select(F.col("_block").alias("_of"), "_top", to.alias("_to"))
-    at_top = (F.col("_block") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_top"))
-    guests = docs.join(F.broadcast(tops), at_top).groupBy("doc_id", F.col("_to").alias("_block")).agg(F.max("text").alias("text"))
+    at_top = (F.col("_block") == F.col("_of")) & (F.col("_at") == F.col("_top"))
+    guests = docs.join(F.broadcast(tops), at_top).groupBy("doc_id", "_at", F.col("_to").alias("_block")).agg(F.max("text").alias("text"))
     return docs.withColumn("_guest", F.lit(False)).unionByName(guests.withColumn("_guest", F.lit(True)))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, fingerprint, edited, edited_fingerprint, near_edited and near_next of each row."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    order = W.partitionBy("_block").orderBy(F.col("_guest").desc(), "doc_id", "text")
+    order = W.partitionBy("_block").orderBy(F.col("_guest").desc(), "_at", "text")
     both = _bins(with_guests(docs), "text", "bins")
     both = both.withColumns({f"next_{c}": F.lag(c).over(order) for c in ("text", "bins")}).where("NOT _guest")
     n = F.length("text")
