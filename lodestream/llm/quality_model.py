@@ -34,8 +34,8 @@ def statistics(text: str) -> list[float]:
     windows = list(zip(words, words[1:], words[2:]))
     again = sum(c for c in Counter(windows).values() if c > 1)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    code = np.frombuffer(text.encode("latin-1", "replace"), np.uint8)
-    seen = np.bincount(code, minlength=256)
+    # Of characters beyond ASCII, no byte is one of those that are counted here.
+    seen = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
     share = lambda k, of: math.sqrt(k / of)
     return [
         math.log1p(len(words)), math.log1p(lengths.mean() if len(words) else 0), share(int((lengths > 14).sum()), n),
