@@ -17,9 +17,9 @@ suffixes, and each step is a grouped minimum with a map-side combine and a join,
 Equality is by 64-bit phrase and string hashes within an equal 64-bit trigger hash.
 
 Null texts count as empty; texts shorter than LENGTH lose nothing. Rows that share a doc_id and text are the same
-document and get the same result; rows sharing a doc_id with different texts are ordered as if at the same place, so
-they do not remove from each other at equal starts. Rows with a null doc_id are passed on as they are. Clashing output
-columns are replaced.
+document and get the same result. Of different texts that share a doc_id, that of the least sha256 has the place of the
+id and the others come later, at a place that a hash of id and text gives them from 2**62 on. Rows with a null doc_id
+are passed on as they are. Clashing output columns are replaced.
 """
 
 from __future__ import annotations
@@ -188,20 +188,35 @@ def later(found: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def resolve(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of rows of _PARSED: those that repeat an earlier one, and the first of each where a trigger has several."""
-    shared = parsed.groupBy("trigger").agg(F.count("*").alias("k"), (F.min("phrase") != F.max("phrase")).alias("mixed")).where("k > 1").drop("k")
+    """Of rows of _PARSED: those that repeat an earlier one, and the first of each where a trigger has several.
+
+    The triggers that are shared are written first: a join with a table, not with an aggregate, is one that Spark can
+    split where a trigger is very common.
+    """
+    parsed = cut(parsed)
+    shared = cut(parsed.groupBy("trigger").agg(F.count("*").alias("k"), (F.min("phrase") != F.max("phrase")).alias("mixed")).where("k > 1").drop("k"))
     found = cut(parsed.join(shared, "trigger"))
     repeats = cut(later(found.drop("mixed"), ["trigger", "phrase"]).select("doc_id", "start", "n"))
     return repeats, found.where("mixed").join(repeats, ["doc_id", "start"], "left_anti")
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """docs with ``_place``, one number for each pair of doc_id and text; null for rows without a doc_id."""
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    several = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(sha).alias("_own"), F.max(sha).alias("_top")).where("_own < _top").drop("_top")
+    later = F.lit(1 << 62).bitwiseOR(F.xxhash64("doc_id", sha).bitwiseAND(F.lit((1 << 62) - 1)))
+    return docs.join(cut(several), "doc_id", "left").withColumn("_place", F.when(F.col("_own").isNull() | (F.col("_own") == sha), F.col("doc_id")).otherwise(later)).select(*docs.columns, "_place")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The rows of docs with n_bytes, n_removed, n_spans and ``kept``, the bytes that stay."""
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
-    ids = docs.where("doc_id IS NOT NULL").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    at_place = placed(docs)
+    own = at_place.where("_place IS NOT NULL").select(F.col("_place").alias("doc_id"), "text")
+    ids = own.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
     firsts = ids.groupBy("sha").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = cut(ids.join(firsts, "sha").where("doc_id != low").select("doc_id").distinct())
-    once = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(copies, "doc_id", "left_anti")
+    once = own.join(copies, "doc_id", "left_anti")
     whole, entries = resolve(once.mapInArrow(_phrases, _PARSED))
     opened = entries.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "lead")).alias("opened"))
     part, entries = resolve(once.join(opened, "doc_id").mapInArrow(_runs, _PARSED))
@@ -210,8 +225,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     again = later(strings, ["trigger", "string"])
     marks = whole.union(part).select("doc_id", F.col("start").alias("a"), (F.col("start") + F.col("n") + LENGTH - 1).alias("b"))
     marks = marks.union(again.select("doc_id", F.col("start").alias("a"), (F.col("start") + LENGTH).alias("b")))
-    marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("_marks"))
-    marked = docs.join(copies.withColumn("_copy", F.lit(True)), "doc_id", "left").join(marks, "doc_id", "left").select(*docs.columns, "_copy", "_marks")
+    marks = marks.groupBy(F.col("doc_id").alias("_place")).agg(F.collect_list(F.struct("a", "b")).alias("_marks"))
+    marked = at_place.join(copies.select(F.col("doc_id").alias("_place"), F.lit(True).alias("_copy")), "_place", "left").join(marks, "_place", "left").select(*docs.columns, "_copy", "_marks")
     schema = StructType([*docs.schema.fields, *(StructField(k, LongType()) for k in ("n_bytes", "n_removed", "n_spans")), StructField("kept", BinaryType())])
     return marked.mapInArrow(_removed, schema)
 
