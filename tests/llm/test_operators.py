@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import collections
 import decimal
 import hashlib
 import io
+import math
 import random
 import re
 import zlib
@@ -14,6 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lodestream.llm import bpe, fingerprints, language_id, minhash, mixing, quality_model, quality_rules, suffix_dedup, token_codes, warc
 from lodestream.llm.common import shared_dir, utf8
@@ -131,6 +134,65 @@ def test_codes_random_access():
         assert (codes.read(a, b) == ids[a:b]).all()
 
 
+def plain_scores(train: list[tuple[str | None, str | None]], text: str) -> dict[str, float]:
+    """Multinomial naive Bayes from its definition, over the same buckets."""
+    def buckets(t: str) -> list[int]:
+        out = []
+        for k in language_id.ORDERS:
+            for i in range(len(t) - k + 1):
+                h = k
+                for c in t[i : i + k]:
+                    h = (h * 0x100000001B3 + ord(c)) % 2**64
+                out.append(int(language_id.mix(np.array([h], np.uint64))[0] % np.uint64(language_id.BUCKETS)))
+        return out
+
+    counts: dict[str, collections.Counter] = {}
+    n = collections.Counter()
+    for t, lang in train:
+        if lang is not None and language_id.letters(t):
+            counts.setdefault(lang, collections.Counter()).update(buckets(language_id.letters(t)))
+            n[lang] += 1
+    out = {}
+    for lang, own in counts.items():
+        total = sum(own.values()) + language_id.ALPHA * language_id.BUCKETS
+        out[lang] = math.log(n[lang] / sum(n.values())) + sum(math.log((own[b] + language_id.ALPHA) / total) for b in buckets(language_id.letters(text)))
+    return out
+
+
+@pytest.mark.parametrize("block", [256, 2])
+def test_languages_match_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(language_id, "BLOCK", block)
+    draw = random.Random(8)
+    words = {"aa": "the of and to in", "bb": "der die und das", "cc": "le la les et", "dd": "и в не на", "und": "xq qx xx qq", None: "zz zy"}
+    rows = [(k, " ".join(draw.choices(words[lang].split(), k=draw.randrange(1, 30))), lang) for k, lang in enumerate(draw.choices(list(words), k=120))]
+    odd = [(200, None, "aa"), (201, "", "aa"), (202, "½ ² Ⅷ 12 _", "bb"), (203, "\u0301", "bb"), (204, "the Ünd  " * 3000, None), (205, "q", None), (206, "x", None), (206, "x", None)]
+    docs = spark.createDataFrame(rows + odd, "doc_id bigint, text string, lang string")
+    blocks = language_id.train(docs.where("doc_id < 200"))
+    assert len(blocks) == (1 if block == 256 else 3)
+    found = sorted(map(tuple, language_id.predict(docs.withColumn("score", F.lit("clash")), blocks).select("doc_id", "lang_pred", "score").collect()))
+    assert [r[0] for r in found] == sorted(r[0] for r in rows + odd)
+    train = [(t, lang) for i, t, lang in rows + odd if i < 200]
+    by_id = {i: t for i, t, _ in rows + odd}
+    for i, lang, score in found:
+        if not any(c.isalpha() for c in by_id[i] or ""):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        wanted = plain_scores(train, by_id[i])
+        top = max(wanted.values())
+        assert lang == min(x for x, v in wanted.items() if v > top - 1e-6)
+        assert abs(score - 1 / sum(math.exp(v - top) for v in wanted.values())) < 1e-6
+
+
+def test_texts_that_share_an_id_lose_no_text(spark):
+    a, b = text(70, 80), text(71, 80)
+    docs = spark.createDataFrame([(3, a, "en", "a", 1), (5, a, "en", "a", 1), (5, b, "en", "a", 1), (5, b, "en", "a", 1), (9, b, "en", "a", 1), (None, b, "en", "a", 1)], COLUMNS)
+    kept = collections.Counter((r["doc_id"], r["text"], bytes(r["kept"]).decode()) for r in suffix_dedup.remove_repeats(docs).collect())
+    own = [k for k in kept if k[2]]
+    # b stays once at least: at the id 5, or at 9 where its place at 5 is a later one.
+    assert (3, a, a) in own and (5, a, "") in kept and {k[1] for k in own} == {a, b} and (None, b, b) in own
+    assert kept[(5, b, b)] == 2 or kept[(9, b, b)] == 1
+
+
 def brute_removed(rows: list[tuple[int, str]]) -> dict[int, tuple]:
     seen, out = {}, {}
     for i, t in rows:
@@ -240,6 +302,25 @@ def test_rules_ledger(odd):
     assert quality_rules.measure("a#\na#\n\n b")[2:4] == (2, 1)
 
 
+def test_fingerprint_blocks_follow_each_other(spark):
+    """Ids over the whole range of numbers, dense and sparse, null and repeated: what is next is right across all blocks."""
+    ids = [-(2**63), -(2**62), *range(-50, 3000), 10**15, 2**62, 2**63 - 2, 2**63 - 1]
+    draw = random.Random(4)
+    rows = [(i, " ".join(draw.choices("abcdefgh", k=draw.randrange(0, 9)))) for i in ids] + [(7, "zz top"), (None, "n1"), (None, "n2"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert fingerprints.blocks(docs).select("_block").distinct().count() > 500
+    found = [(r["doc_id"], r["n_chars"], r["edited"]) for r in fingerprints.fingerprints(docs).where("doc_id IS NOT NULL").collect()]
+    held = sorted(((i, t) for i, t in rows if i is not None), reverse=True)
+    last = [t or "" for i, t in rows if i is None]
+    wanted = {}
+    for (i, t), (_, after) in zip(held, held[1:]):
+        m = len(t) // 3
+        wanted.setdefault((i, len(t), t[: len(t) - m] + after[:m]), 0)
+    i, t = held[-1]
+    ends = {(i, len(t), t[: len(t) - len(t) // 3] + x[: len(t) // 3]) for x in last}
+    assert len(found) == len(held) and {x for x in found if x[0] != i} == {x for x in wanted if x[0] != i} and any(x in ends for x in found)
+
+
 def test_fingerprints(spark, odd):
     found = {r["doc_id"]: r for r in fingerprints.fingerprints(odd.dropDuplicates(["doc_id"])).collect()}
     assert found[1]["fingerprint"] == found[2]["fingerprint"] and found[2]["near_next"] == 1 and found[4]["fingerprint"] == ""
@@ -308,10 +389,9 @@ def test_mix_high_rates(spark):
 
 
 def test_empty_tables(spark, empty):
-    langs, table = language_id.train(empty)
     stats = empty.selectExpr("doc_id", "true AS held_out", "text").mapInArrow(quality_model._statistics, "doc_id bigint, held_out boolean, x array<double>")
     made = [
-        language_id.predict(empty.select("doc_id", "text"), langs, table), quality_model.score(stats, {"share": 0.5}), quality_rules.ledger(empty), minhash.near_duplicates(empty), bpe.encode(empty),
+        language_id.predict(empty.select("doc_id", "text"), language_id.train(empty)), quality_model.score(stats, {"share": 0.5}), quality_rules.ledger(empty), minhash.near_duplicates(empty), bpe.encode(empty),
         suffix_dedup.remove_repeats(empty), fingerprints.fingerprints(empty), mixing.mix_sources(empty),
     ]
     assert [x.count() for x in made] == [0] * len(made)
