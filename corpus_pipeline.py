@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestream.llm import bpe, minhash, mixing, quality_rules, suffix_dedup
 from lodestream.llm.common import shared_dir
 
+ASIDE = "\uffff"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -27,7 +28,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes that a removal leaves of a split character are dropped; n_chars is that of what stays."""
     kept = suffix_dedup.remove_repeats(docs)
-    text = F.coalesce(F.try_validate_utf8(F.col("kept").cast("string")), F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit("")))
+    held = F.col("kept").cast("string")
+    # Genuine replacement characters wait as a character that XML and JSON forbid, unless the text has that as well.
+    aside = F.replace(F.make_valid_utf8(F.replace(held, F.lit("�"), F.lit(ASIDE))), F.lit("�"), F.lit(""))
+    text = F.coalesce(F.try_validate_utf8(held), F.when(F.contains(held, F.lit(ASIDE)), F.replace(F.make_valid_utf8(held), F.lit("�"), F.lit(""))).otherwise(F.replace(aside, F.lit(ASIDE), F.lit("�"))))
     return kept.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
