@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +42,15 @@ def cut(df: DataFrame) -> DataFrame:
     The plan that wrote it is not kept. Its shuffle files go when the driver collects its garbage, which Spark itself
     asks for every half hour only; a job of many cuts would hold all of its shuffles on disk until then, so it is asked here.
     """
-    path = shared_dir(df.sparkSession)
+    return scratch(df)[0]
+
+
+def scratch(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """df as such a table, and what empties it once all that reads it is written."""
+    path, schema = shared_dir(df.sparkSession), df.schema
     df.write.option("compression", "zstd").parquet(path)
     df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path), lambda: df.sparkSession.createDataFrame([], schema).write.mode("overwrite").parquet(path)
 
 
 def fold_ascii(text: str) -> str:

@@ -25,6 +25,7 @@ are passed on as they are. Clashing output columns are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from lodestream.llm.common import cut, documents, mix, powers, prefix_hash, rows, texts
+from lodestream.llm.common import cut, documents, mix, powers, prefix_hash, rows, scratch, texts
 
 LENGTH, K, STEP = 100, 32, 8
 WINDOW = LENGTH - K + 1
 PIECE = 1 << 21
+#: Triggers are resolved in so many slices, one after the other.
+SLICES = 4
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -181,22 +184,33 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(b.column(n) for n in carried), *new, pa.array(kept, pa.binary())], [*carried, "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def later(found: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of which another with the same keys lies earlier in the corpus."""
-    first = found.groupBy(*keys).agg(F.min("doc_id").alias("_low"), F.count("*").alias("_n")).where("_n > 1")
-    return found.join(first.drop("_n"), keys).where("again OR doc_id > _low").drop("_low", "again")
+def later(found: DataFrame, keys: list[str], first: DataFrame | None = None) -> DataFrame:
+    """The rows of which another with the same keys lies earlier in the corpus; first has the earliest of several, if known."""
+    first = earliest(found, keys) if first is None else first
+    return found.join(first, keys).where("again OR doc_id > _low").drop("_low", "again")
 
 
-def resolve(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def earliest(found: DataFrame, keys: list[str]) -> DataFrame:
+    return found.groupBy(*keys).agg(F.min("doc_id").alias("_low"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+
+
+def resolve(parsed: DataFrame, slices: int) -> tuple[DataFrame, DataFrame]:
     """Of rows of _PARSED: those that repeat an earlier one, and the first of each where a trigger has several.
 
-    The triggers that are shared are written first: a join with a table, not with an aggregate, is one that Spark can
-    split where a trigger is very common.
+    The triggers are taken in slices, so that the shuffles of one slice at a time lie on disk; what was parsed goes once
+    all are done. What triggers and phrases share is written before it is joined: Spark splits a very common key in a
+    join of tables, but not where one side is an aggregate.
     """
-    parsed = cut(parsed)
-    shared = cut(parsed.groupBy("trigger").agg(F.count("*").alias("k"), (F.min("phrase") != F.max("phrase")).alias("mixed")).where("k > 1").drop("k"))
-    found = cut(parsed.join(shared, "trigger"))
-    repeats = cut(later(found.drop("mixed"), ["trigger", "phrase"]).select("doc_id", "start", "n"))
+    parsed, release = scratch(parsed)
+    held = []
+    for k in range(slices):
+        own = parsed.where(F.pmod("trigger", F.lit(slices)) == k)
+        shared = cut(own.groupBy("trigger").agg(F.count("*").alias("k"), (F.min("phrase") != F.max("phrase")).alias("mixed")).where("k > 1").drop("k"))
+        held.append(cut(own.join(shared, "trigger")))
+    release()
+    found = reduce(DataFrame.union, held)
+    keys = ["trigger", "phrase"]
+    repeats = cut(later(found.drop("mixed"), keys, cut(earliest(found, keys))).select("doc_id", "start", "n"))
     return repeats, found.where("mixed").join(repeats, ["doc_id", "start"], "left_anti")
 
 
@@ -217,9 +231,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     firsts = ids.groupBy("sha").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = cut(ids.join(firsts, "sha").where("doc_id != low").select("doc_id").distinct())
     once = own.join(copies, "doc_id", "left_anti")
-    whole, entries = resolve(once.mapInArrow(_phrases, _PARSED))
+    whole, entries = resolve(once.mapInArrow(_phrases, _PARSED), SLICES)
     opened = entries.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "lead")).alias("opened"))
-    part, entries = resolve(once.join(opened, "doc_id").mapInArrow(_runs, _PARSED))
+    part, entries = resolve(once.join(opened, "doc_id").mapInArrow(_runs, _PARSED), 1)
     opened = entries.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "trigger")).alias("opened"))
     strings = once.join(opened, "doc_id").mapInArrow(lambda b: _gathered(_strings(b)), "doc_id bigint, start bigint, trigger bigint, string bigint, again boolean")
     again = later(strings, ["trigger", "string"])
