@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestream.operators.relational import keep_first
+from lodestream.functions.expr import capped, piece
+from lodestream.operators.relational import keep_first, top_k
 from lodestream.sources.tables import TIES
 
 
@@ -29,3 +30,21 @@ def leave_two_out(visits: DataFrame, least: int = 4) -> DataFrame:
 def train_only(visits: DataFrame, split: DataFrame) -> DataFrame:
     """All raw visits, repeats included, of pairs in train."""
     return visits.join(split.where("split = 'train'").select("user_id", "item_id"), ["user_id", "item_id"], "left_semi")
+
+
+def leave_one_out(visits: DataFrame, least: int = 3, allowed: DataFrame | None = None) -> DataFrame:
+    """The newest place is test, the others train; with ``allowed`` (item_id), tests of other places are left out."""
+    split = leave_two_out(visits, least).withColumn("split", F.when(F.col("split_rank") == 0, "test").otherwise("train"))
+    if allowed is None:
+        return split
+    return split.join(allowed.select("item_id").distinct().withColumn("_ok", F.lit(True)), "item_id", "left").where("split = 'train' OR _ok").drop("_ok")
+
+
+def corpora(texts: DataFrame, key: str, id_column: str, text: str, order: list, pieces: int, each: int, total: int) -> DataFrame:
+    """(key, corpus, ids) of the first texts in the order, bounded in number and characters; blank texts are left out first."""
+    held = top_k(texts.where(F.trim(F.regexp_replace(text, r"\s+", " ")) != ""), [key], order, pieces)
+    held = held.withColumn("_k", F.row_number().over(W.partitionBy(key).orderBy(*order)))
+    rows = F.sort_array(F.collect_list(F.struct("_k", F.col(id_column).alias("id"), piece(F.col(text), each).alias("t"))))
+    grouped = held.groupBy(key).agg(rows.alias("_r"))
+    grouped = grouped.withColumn("_parts", capped(F.transform("_r", lambda r: r.t), total))
+    return grouped.select(key, F.array_join("_parts", "\n---\n").alias("corpus"), F.transform(F.slice("_r", F.lit(1), F.size("_parts")), lambda r: r.id).alias("ids"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,11 +9,9 @@ from pyspark.sql import functions as F
 from lodestream.functions import expr
 from lodestream.operators import relational as R
 from lodestream.operators import split as S
+from lodestream.plans.registry import QUERIES, SQL, query  # noqa: F401
 from lodestream.sources.tables import TIES, VISITS_SQL, table, visits
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
 SPLIT_SQL = f"""{VISITS_SQL},
 once AS (SELECT * FROM visits QUALIFY row_number() OVER (PARTITION BY user_id, item_id ORDER BY ts DESC NULLS LAST, {", ".join(TIES)}) = 1),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, item_id) - 1 AS split_rank FROM once QUALIFY count(*) OVER (PARTITION BY user_id) >= 4),
@@ -23,16 +19,6 @@ split AS (SELECT *, CASE split_rank WHEN 0 THEN 'test' WHEN 1 THEN 'validation'
 COORDS_SQL = "points AS (SELECT vec_id, label, embedding[1]::DOUBLE * 10 AS lat, embedding[2]::DOUBLE * 10 AS lng FROM embeddings)"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("embedding")
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", (e[0].cast("double") * 10).alias("lat"), (e[1].cast("double") * 10).alias("lng"))
@@ -241,3 +227,6 @@ def sf7_sf8_codes(spark, d):
 @query("SELECT s_suppkey AS key, s_acctbal AS balance, NULL::VARCHAR AS segment FROM supplier UNION ALL SELECT c_custkey, c_acctbal, c_mktsegment FROM customer")
 def so1_union_aligned(spark, d):
     return R.union_all(table(spark, d, "supplier").selectExpr("s_suppkey AS key", "s_acctbal AS balance"), table(spark, d, "customer").selectExpr("c_custkey AS key", "c_acctbal AS balance", "c_mktsegment AS segment")).select("key", "balance", "segment")
+
+
+from lodestream.plans import evaluation, features, parsing  # noqa: E402, F401

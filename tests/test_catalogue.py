@@ -28,8 +28,8 @@ def test_matches_sql(spark, name):
 
 
 def test_parsing(spark):
-    one = spark.createDataFrame([("$10–20", "2 years ago"), ("$100+", "a month ago"), ("$100", "yesterday"), ("$1,000", "a day ago"), (None, None)], "p string, a string")
-    assert [tuple(r) for r in one.select(expr.price_midpoint(F.col("p")), expr.age_days(F.col("a"))).collect()] == [(15.0, 730), (100.0, 30), (None, 1), (0.5, None), (None, None)]
+    one = spark.createDataFrame([("$10–20", "2 years ago"), ("$100+", "a month ago"), ("$100", "yesterday"), ("$1,000", "a day ago"), (None, None), ("", "Today"), ("$5 ", "a  week ago"), ("x", "just now"), ("$1-3 or $9", "2 years"), ("9", "5 hours ago")], "p string, a string")
+    assert [tuple(r) for r in one.select(expr.price_midpoint(F.col("p")), expr.age_days(F.col("a"))).collect()] == [(15.0, 730), (100.0, 30), (None, 1), (0.5, None), (None, None), (None, 0), (5.0, 7), (None, 0), (2.0, 730), (None, None)]
 
 
 def test_split_ignores_row_order(spark):
