@@ -124,3 +124,9 @@ def ndcg(rank: Column) -> Column:
 def zero_pad(text: Column, width: int) -> Column:
     """Pads, and never cuts, as lpad alone would."""
     return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
+
+
+def retry(message: Column, outcome_asked: Column, old_enough: Column) -> Column:
+    """Whether to try again: only outcomes that are asked for; lost resources always, others when long enough ago."""
+    lost = F.lower(message).rlike("too many open files|cannot allocate memory")
+    return F.when(~outcome_asked, F.lit(False)).when(lost, F.lit(True)).otherwise(F.coalesce(old_enough, F.lit(True)))

@@ -51,7 +51,9 @@ def ag12_category_entropy(spark, d):
 @query(f"WITH {VISITS_SQL} SELECT item_id, count(*) AS n, round(avg(rating), 6) AS mean, median(rating) AS median, round(coalesce(stddev_samp(rating), 0), 6) AS std, min(rating) AS low, max(rating) AS high, count(DISTINCT CASE WHEN rating >= 4 THEN user_id END) AS fans FROM visits GROUP BY item_id")
 def ag1_item_profile(spark, d):
     fans = F.count_distinct(F.when(F.col("rating") >= 4, F.col("user_id")))
-    return visits(spark, d).groupBy("item_id").agg(F.count("*").alias("n"), F.round(F.avg("rating"), 6).alias("mean"), F.median("rating").alias("median"), F.round(F.coalesce(F.stddev_samp("rating"), F.lit(0.0)), 6).alias("std"), F.min("rating").alias("low"), F.max("rating").alias("high"), fans.alias("fans"))
+    v = visits(spark, d)
+    middle = R.quantiles(v, ["item_id"], "rating", {"median": 0.5}).drop("n")
+    return middle.join(v.groupBy("item_id").agg(F.count("*").alias("n"), F.round(F.avg("rating"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("rating"), F.lit(0.0)), 6).alias("std"), F.min("rating").alias("low"), F.max("rating").alias("high"), fans.alias("fans")), "item_id")
 
 
 @query(f"WITH {VISITS_SQL} SELECT user_id, {', '.join(f'round(avg(CAST(rating = {k} AS INTEGER)), 6) AS share_{k}' for k in range(1, 6))} FROM visits GROUP BY user_id")
@@ -81,8 +83,8 @@ def ag21_pickiness(spark, d):
 
 @query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.05), 4) AS p05, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95 FROM lineitem GROUP BY l_returnflag")
 def ag6_quantiles(spark, d):
-    q = lambda p: F.round(F.percentile("l_extendedprice", p), 4)
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(q(0.05).alias("p05"), q(0.5).alias("p50"), q(0.95).alias("p95"))
+    q = R.quantiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p05": 0.05, "p50": 0.5, "p95": 0.95})
+    return q.select("l_returnflag", *[F.round(c, 4).alias(c) for c in ("p05", "p50", "p95")])
 
 
 @query("WITH t AS (SELECT c_custkey, c_acctbal, min(c_acctbal) OVER () AS lo, max(c_acctbal) OVER () AS hi FROM customer) SELECT c_custkey, round(CASE WHEN hi = lo THEN 0.5 ELSE (c_acctbal - lo) / (hi - lo) END, 6) AS scaled FROM t")
@@ -100,11 +102,6 @@ def tk15_hash_sample(spark, d):
     return R.hash_sample(table(spark, d, "customer"), ["c_mktsegment"], "c_custkey", 5).select("c_custkey", "c_mktsegment")
 
 
-@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
-def jn6_anti(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_nationkey")
-
-
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
 def flt3_semi(spark, d):
     rich = table(spark, d, "orders").where("o_totalprice > 200000")
@@ -117,12 +114,6 @@ def jn1_dimensions(spark, d):
     return j.groupBy("r_name", "n_name").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("spend"))
 
 
-@query("SELECT event_id, user_id, CASE WHEN value >= 50 THEN 'high' WHEN value >= 10 THEN 'mid' ELSE 'low' END AS band, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-def prj4_banding(spark, d):
-    band = F.when(F.col("value") >= 50, "high").when(F.col("value") >= 10, "mid").otherwise("low")
-    return table(spark, d, "events").select("event_id", "user_id", band.alias("band"), F.from_json("props", "k bigint").k.alias("k"))
-
-
 @query("WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events), g AS (SELECT *, sum(CASE WHEN p IS NULL OR t - p >= 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, event_id) AS s FROM e) SELECT user_id, min(t) AS start_us, count(*) AS n FROM g GROUP BY user_id, s")
 def ext_sessions(spark, d):
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -149,30 +140,6 @@ def ext_asof(spark, d):
     return table(spark, d, "events").withColumn("click_id", click).where("event_type <> 'click'").select("event_id", "click_id")
 
 
-@query(f"WITH {COORDS_SQL} SELECT a.vec_id, count(b.vec_id) AS near FROM points a LEFT JOIN points b ON a.vec_id <> b.vec_id AND 2 * 6371 * asin(sqrt(greatest(0.0, least(1.0, sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lng - a.lng) / 2) ** 2)))) <= 20 GROUP BY a.vec_id")
-def jn9_radius_count(spark, d):
-    """Points within 20 km: an equi-join on grid cells of that height and its neighbours, then the exact distance.
-
-    Latitudes here stay within 10 degrees, where a cell of 0.2 degrees is wider than the radius.
-    """
-    cell = 0.2
-    p = points(spark, d).withColumns({"x": F.floor(F.col("lat") / cell), "y": F.floor(F.col("lng") / cell)})
-    around = F.explode(F.expr("flatten(transform(array(-1, 0, 1), i -> transform(array(-1, 0, 1), j -> struct(x + i AS x, y + j AS y))))"))
-    a = p.select(F.col("vec_id").alias("a"), F.col("lat").alias("la"), F.col("lng").alias("ga"), around.alias("c")).select("a", "la", "ga", "c.x", "c.y")
-    b = p.select(F.col("vec_id").alias("b"), F.col("lat").alias("lb"), F.col("lng").alias("gb"), "x", "y")
-    hits = a.join(b, ["x", "y"]).where((F.col("a") != F.col("b")) & (expr.haversine(F.col("la"), F.col("ga"), F.col("lb"), F.col("gb")) <= 20)).groupBy("a").agg(F.count("*").alias("k"))
-    return p.join(hits, F.col("vec_id") == F.col("a"), "left").select("vec_id", F.coalesce("k", F.lit(0)).cast("bigint").alias("near"))
-
-
-@query("SELECT q.vec_id AS query_id, c.vec_id, round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) DESC, c.vec_id) <= 10")
-def jn13_full_ranking(spark, d):
-    """Ten best items for the stated query set: every row whose id is divisible by 100."""
-    e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", expr.dot(F.col("q"), F.col("embedding")).alias("score"))
-    return R.top_k(scored, ["query_id"], [F.col("score").desc(), F.col("vec_id").asc()], 10).withColumn("score", F.round("score", 6))
-
-
 @query(f"WITH {SPLIT_SQL}, p AS (SELECT item_id, count(*) AS n FROM split WHERE split = 'train' GROUP BY item_id), t AS (SELECT item_id, row_number() OVER (ORDER BY n DESC, item_id) AS rank FROM p), e AS (SELECT CASE WHEN rank <= 10 THEN rank END AS rank FROM split LEFT JOIN t USING (item_id) WHERE split = 'test') SELECT round(avg(CAST(rank IS NOT NULL AS INTEGER)), 6) AS hit, round(avg(coalesce(1 / log2(rank + 1), 0)), 6) AS ndcg, count(*) AS users FROM e")
 def dm18_popularity_metrics(spark, d):
     """Hit@10 and NDCG@10 of ranking by popularity in train."""
@@ -197,25 +164,29 @@ def dm13_adjacency(spark, d):
     return e.join(degree("user_id", "du"), "user_id").join(degree("item_id", "di"), "item_id").select("user_id", "item_id", F.round(1 / F.sqrt(F.col("du") * F.col("di")), 8).alias("weight"))
 
 
-@query("WITH c AS (SELECT c_mktsegment, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey), s AS (SELECT c_mktsegment AS g, count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v FROM c GROUP BY 1), p AS (SELECT a.g AS a, b.g AS b, a.n AS n1, b.n AS n2, a.m - b.m AS diff, a.v / a.n AS x, b.v / b.n AS y, a.v AS v1, b.v AS v2 FROM s a JOIN s b ON a.g < b.g) SELECT a, b, round(diff / sqrt(x + y), 4) AS t, round((x + y) ** 2 / (x ** 2 / (n1 - 1) + y ** 2 / (n2 - 1)), 2) AS df, round(diff / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)), 6) AS d FROM p")
+@query("WITH c AS (SELECT c_mktsegment, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey), s AS (SELECT c_mktsegment AS g, count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v FROM c GROUP BY 1), p AS (SELECT a.g AS a, b.g AS b, a.n AS n1, b.n AS n2, a.m - b.m AS diff, a.v / a.n AS x, b.v / b.n AS y, a.v AS v1, b.v AS v2 FROM s a JOIN s b ON a.g < b.g) SELECT a, b, round(diff / sqrt(x + y), 4) AS t, round(diff - 1.96 * sqrt(x + y), 2) AS low, round(diff + 1.96 * sqrt(x + y), 2) AS high, round((x + y) ** 2 / (x ** 2 / (n1 - 1) + y ** 2 / (n2 - 1)), 2) AS df, round(diff / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)), 6) AS d FROM p")
 def ag35_welch(spark, d):
     c = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     s = c.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("m"), F.var_samp("o_totalprice").alias("v"))
     a, b = s.toDF("a", "n1", "m1", "v1"), s.toDF("b", "n2", "m2", "v2")
-    p = a.join(b, F.col("a") < F.col("b")).selectExpr("a", "b", "n1", "n2", "v1", "v2", "m1 - m2 AS diff", "v1 / n1 AS x", "v2 / n2 AS y")
-    return p.selectExpr("a", "b", "round(diff / sqrt(x + y), 4) AS t", "round(power(x + y, 2) / (power(x, 2) / (n1 - 1) + power(y, 2) / (n2 - 1)), 2) AS df", "round(diff / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)), 6) AS d")
+    # One row for each of the few groups.
+    p = a.join(F.broadcast(b), F.col("a") < F.col("b")).selectExpr("a", "b", "n1", "n2", "v1", "v2", "m1 - m2 AS diff", "v1 / n1 AS x", "v2 / n2 AS y")
+    return p.selectExpr("a", "b", "round(diff / sqrt(x + y), 4) AS t", "round(diff - 1.96D * sqrt(x + y), 2) AS low", "round(diff + 1.96D * sqrt(x + y), 2) AS high", "round(power(x + y, 2) / (power(x, 2) / (n1 - 1) + power(y, 2) / (n2 - 1)), 2) AS df", "round(diff / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)), 6) AS d")
 
 
 _AUDIT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS name, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS kinds, count(DISTINCT {c}) <= 1 AS constant FROM documents" for c in _AUDIT))
+@query(" UNION ALL ".join(f"SELECT '{c}' AS name, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS kinds, count(DISTINCT {c}) <= 1 AS constant, count({c}) - count(DISTINCT {c}) AS repeats, {f'count(*) FILTER (isinf({c}::DOUBLE))' if c in ('doc_id', 'n_chars') else '0'}::BIGINT AS infinite FROM documents" for c in _AUDIT))
 def ag30_column_audit(spark, d):
-    """One pass over the table; the long texts count by hash."""
+    """Nulls, kinds, constants, repeats and infinities of every column: values are counted by hash, one short row each, with a map-side combine."""
     docs = table(spark, d, "documents")
-    docs = docs.withColumn("text", F.sha2("text", 256))
-    one = docs.agg(*[f.alias(f"{c}_{k}") for c in _AUDIT for k, f in (("nulls", F.count_if(F.col(c).isNull())), ("kinds", F.count_distinct(c)))])
-    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"{c}_nulls").alias("nulls"), F.col(f"{c}_kinds").alias("kinds"), (F.col(f"{c}_kinds") <= 1).alias("constant")) for c in _AUDIT])))
+    number = {c: c in ("doc_id", "n_chars") for c in _AUDIT}
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.when(F.col(c).isNotNull(), F.md5(F.col(c).cast("string").cast("binary"))).alias("h"), (F.abs(F.col(c).cast("double")) == float("inf") if number[c] else F.lit(False)).alias("inf")) for c in _AUDIT]))
+    kinds = docs.select(cells.alias("x")).select("x.*").groupBy("name", "h").agg(F.count("*").alias("n"), F.count_if("inf").alias("i"))
+    known = F.col("h").isNotNull()
+    a = kinds.groupBy("name").agg(F.sum(F.when(known, 0).otherwise(F.col("n"))).alias("nulls"), F.count_if(known).alias("kinds"), F.sum(F.when(known, F.col("n") - 1).otherwise(0)).alias("repeats"), F.sum("i").alias("infinite"))
+    return a.select("name", "nulls", "kinds", (F.col("kinds") <= 1).alias("constant"), "repeats", "infinite")
 
 
 @query("SELECT n_nationkey, CASE WHEN length(n_nationkey::VARCHAR) < 12 THEN lpad(n_nationkey::VARCHAR, 12, '0') ELSE n_nationkey::VARCHAR END AS code, substr(md5(n_name || '::' || n_nationkey), 1, 12) AS short_id FROM nation")
@@ -229,4 +200,4 @@ def so1_union_aligned(spark, d):
     return R.union_all(table(spark, d, "supplier").selectExpr("s_suppkey AS key", "s_acctbal AS balance"), table(spark, d, "customer").selectExpr("c_custkey AS key", "c_acctbal AS balance", "c_mktsegment AS segment")).select("key", "balance", "segment")
 
 
-from lodestream.plans import evaluation, features, parsing  # noqa: E402, F401
+from lodestream.plans import evaluation, evidence, features, parsing, selecting, streams  # noqa: E402, F401
