@@ -399,18 +399,43 @@ def test_empty_tables(spark, empty):
     assert token_codes.read_tokens(token_codes.write_tokens(empty, folder), folder).count() == 0
 
 
-def test_pipeline_stages(spark):
+def plain_pipeline(rows: list[tuple]) -> dict[int, tuple[int, list[int]]]:
+    """The five stages in plain Python: {doc_id: (copies, ids)}."""
+    held = []
+    for i, t, *more in rows:
+        n_words, chars, symbols, dup_lines, repeats, lines = quality_rules.measure(t or "")
+        if not (n_words < 50 or 100 * repeats > 50 * n_words or 10 * symbols > n_words or 10 * dup_lines > 3 * lines or chars < 2 * n_words or chars > 20 * n_words):
+            held.append((i, t, *more))
+    sets = {r[0]: set(minhash.shingles(r[1]).tolist()) for r in held}
+    top = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    top[a] = top[b] = min(top[a], top[b])
+    held = sorted(r for r in held if top[r[0]] == r[0])
+    left = {i: x[3] for i, x in brute_removed([r[:2] for r in held]).items()}
+    n = collections.Counter(r[3] for r in held)
+    total = sum(math.sqrt(v) for v in n.values())
+    model, out = bpe.tokenizer("byte_bpe_50k.json"), {}
+    for i, _, _, source, _ in held:
+        copies = exact_draw(math.sqrt(n[source]) * len(held) / (total * n[source]), i)
+        if copies:
+            out[i] = (copies, model.encode(left[i].decode("utf-8", "ignore"), add_special_tokens=False).ids)
+    return out
+
+
+def test_pipeline_matches_plain_stages(spark, tmp_path):
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    sizes = []
-    for _, stage in corpus_pipeline.STAGES[:3]:
-        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema)
-        assert docs.columns == corpus_pipeline.COLUMNS
-        sizes.append(docs.count())
-    assert sizes[0] >= sizes[1] == sizes[2] > 0
-    out = corpus_pipeline.run(spark, SF).collect()
-    plain, cut = bpe.tokenizer("byte_bpe_50k.json"), dict(texts(docs))
-    for r in out[:20]:
-        assert r["ids"] == plain.encode(cut[r["doc_id"]], add_special_tokens=False).ids
-        assert r["decoded_sha256"] == hashlib.sha256(cut[r["doc_id"]].encode()).hexdigest()
+    base, shared = text(40, 200), text(41, 60)
+    rows = [(k, f"{text(300 + k, 80)} {shared if k % 3 == 0 else ''} {text(400 + k, 60)}.\n" + ("\ufffd é日" if k % 2 else "end"), "en", ["hot", "hot", "hot", "b", None][k % 5], k) for k in range(30)]
+    rows += [(100 + k, " ".join(w if i % 90 != 2 * k else f"x{k}" for i, w in enumerate(base.split())), "de", "hot", None) for k in range(6)]
+    rows += [(200, None, "en", "b", 0), (201, "", "en", "b", 0), (202, "too few", None, "b", 7), (203, "# $ % " * 40, "en", "b", 1), (204, text(50, 9000), "fr", "b", 1)]
+    spark.createDataFrame(rows, COLUMNS).withColumn("bits", F.lit("clash")).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    wanted = plain_pipeline(rows)
+    assert len(wanted) > 15 and collections.Counter(r["doc_id"] for r in found) == {i: n for i, (n, _) in wanted.items()}
+    assert all(r["ids"] == wanted[r["doc_id"]][1] and r["n_tokens"] == len(r["ids"]) for r in found)
+    spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
