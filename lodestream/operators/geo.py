@@ -18,7 +18,7 @@ def cells(points: DataFrame, km: float, lat: str = "lat", lng: str = "lng") -> D
     height = math.degrees(km / EARTH_KM)
     y = F.floor(F.col(lat) / height)
     # The widest reach in longitude, by the ring's edge nearest to a pole, one ring further out.
-    edge = F.least(F.lit(89.9), (F.abs(y.cast("double") + 0.5) + 2) * height)
+    edge = F.least(F.lit(90.0), (F.abs(y.cast("double") + 0.5) + 2) * height)
     wide = F.greatest(F.lit(1), F.floor(F.lit(360.0) * F.cos(F.radians(edge)) / height)).cast("bigint")
     return points.withColumns({"_y": y, "_wide": wide}).withColumn("_x", F.pmod(F.floor((F.col(lng) + 180) / 360 * F.col("_wide")), F.col("_wide")))
 
@@ -33,7 +33,7 @@ def near_pairs(a: DataFrame, b: DataFrame, km: float, keys: list[str] | None = N
     height = math.degrees(km / EARTH_KM)
     own = cells(b, km).select(*keys, F.col("id").alias("other"), F.col("lat").alias("_lat"), F.col("lng").alias("_lng"), "_x", "_y", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("_s"))
     rings = a.withColumn("_y", F.explode(F.sequence(F.floor(F.col("lat") / height) - 1, F.floor(F.col("lat") / height) + 1)))
-    edge = F.least(F.lit(89.9), (F.abs(F.col("_y").cast("double") + 0.5) + 2) * height)
+    edge = F.least(F.lit(90.0), (F.abs(F.col("_y").cast("double") + 0.5) + 2) * height)
     wide = F.greatest(F.lit(1), F.floor(F.lit(360.0) * F.cos(F.radians(edge)) / height)).cast("bigint")
     at = F.floor((F.col("lng") + 180) / 360 * wide)
     around: Column = F.array_distinct(F.transform(F.array(F.lit(-2), F.lit(-1), F.lit(0), F.lit(1), F.lit(2)), lambda j: F.pmod(at + j, wide)))

@@ -35,7 +35,7 @@ def best_items(items: DataFrame, queries: DataFrame, k: int, item: str = "vec_id
     for b in range(n_blocks):
         own = ids if n_blocks == 1 else ids.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
         held = own.toPandas()
-        sent = spark.sparkContext.broadcast((held["query_id"].to_numpy(np.int64), unit(np.array(held["q"].tolist(), float).reshape(len(held), -1))))
+        sent = spark.sparkContext.broadcast((held["query_id"].to_numpy(np.int64), unit(np.array(held["q"].tolist(), float).reshape(len(held), size))))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, q = sent.value

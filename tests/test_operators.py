@@ -1,0 +1,78 @@
+"""Rules of single operators, by hand and by brute force."""
+
+import math
+import random
+
+from pyspark.sql import functions as F
+
+from lodestream.functions import expr
+from lodestream.operators import geo, ranking, relational, selection, split
+
+
+def test_alignment_policy(spark):
+    cases = [("value", 0.9, 0.8, "strict", True), ("value", 0.2, 0.2, "strict", False), ("noise", 0.2, 0.3, "strict", True), ("wait", 0.8, 0.8, "strict", False), ("value", 1.0, 0.6, "strict", False), ("value", 1.0, 0.6, "legacy", True)]
+    for attribute, u, i, policy, wanted in cases:
+        got = spark.range(1).select(expr.aligned(F.lit(attribute), F.lit(u), F.lit(i), ["value"], ["noise"], policy)).first()[0]
+        assert got is wanted, (attribute, u, i, policy)
+
+
+def test_bounded_text(spark):
+    texts = ["  a  b\n", " ", "x" * 2000, "y" * 50, "z", None]
+    df = spark.createDataFrame([(texts,)], "t array<string>")
+    assert df.select(expr.bounded_text(F.col("t"), 5, 900, 930)).first()[0] == ["a b", "x" * 900, "y" * 27]
+
+
+def test_corpora_ignore_row_order(spark):
+    rows = [(k % 3, k, " ".join(["w"] * (k % 7))) for k in range(60)]
+    docs = spark.createDataFrame(rows, "g int, id int, t string")
+    made = [sorted(map(str, split.corpora(x, "g", "id", "t", [F.length("t").desc(), F.col("id").asc()], 8, 900, 40).collect())) for x in (docs, docs.orderBy(F.rand(2)).repartition(5))]
+    assert made[0] == made[1]
+
+
+def test_quantile_cut_is_not_ntile(spark):
+    df = spark.createDataFrame([(k,) for k in range(1, 7)], "rank int")
+    assert [r["bin"] for r in selection.quantile_cut(df, 4, F.lit(6)).orderBy("rank").collect()] == [1, 1, 2, 3, 4, 4]
+
+
+def test_near_pairs_on_the_globe(spark):
+    draw = random.Random(6)
+    rows = [(k, draw.uniform(-90, 90), draw.uniform(-180, 180)) for k in range(150)] + [(200, 89.9, 10.0), (201, 89.9, -170.0), (202, -90.0, 0.0), (203, -89.99, 99.0), (204, 10.0, 179.99), (205, 10.0, -179.99), (206, 0.0, 180.0), (207, 0.0, -180.0)]
+
+    def km(a, b):
+        x = math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return 2 * expr.EARTH_KM * math.asin(math.sqrt(min(1.0, x)))
+
+    points = spark.createDataFrame(rows, "id int, lat double, lng double")
+    for reach in (5.0, 300.0, 2500.0):
+        found = {(r["id"], r["other"]) for r in geo.near_pairs(points, points, reach).collect()}
+        assert found == {(a[0], b[0]) for a in rows for b in rows if a[0] != b[0] and km(a, b) <= reach}
+
+
+def test_best_items_in_blocks(spark, monkeypatch):
+    draw = random.Random(9)
+    rows = [(k, [draw.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(4)]) for k in range(300)]
+    items = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(5)
+    monkeypatch.setattr(ranking, "BLOCK_BYTES", 8 * 4 * 3)
+    found = {}
+    for r in ranking.best_items(items, items.where("vec_id % 25 = 0"), 7).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    for k in range(0, 300, 25):
+        wanted = sorted((i for i in range(300) if i != k), key=lambda i: (-sum(x * y for x, y in zip(rows[k][1], rows[i][1])), i))[:7]
+        assert [i for _, i in sorted(found[k])] == wanted
+
+
+def test_numbers_over_ranges(spark):
+    df = spark.range(0, 5000, 1, 7).selectExpr("id % 1000 AS k", "id AS v")
+    assert sorted(map(tuple, relational.dense_encoder(df, "k").collect())) == [(k, k) for k in range(1000)]
+    ranked = selection.global_rank(df, [F.col("k").desc(), F.col("v").asc()]).collect()
+    order = sorted(ranked, key=lambda r: (-r["k"], r["v"]))
+    assert [r["rank"] for r in order] == list(range(1, 5001))
+
+
+def test_quantiles(spark):
+    draw = random.Random(1)
+    values = [draw.choice([None, 1.0, 2.5, 7.0, draw.random()]) for _ in range(501)]
+    df = spark.createDataFrame([(k % 2, v) for k, v in enumerate(values)] + [(5, None)], "g int, x double")
+    found = {r["g"]: (r["a"], r["b"]) for r in relational.quantiles(df, ["g"], "x", {"a": 0.05, "b": 0.5}).collect()}
+    wanted = {r["g"]: tuple(r["p"]) for r in df.groupBy("g").agg(F.percentile("x", F.array(F.lit(0.05), F.lit(0.5))).alias("p")).collect() if r["p"]}
+    assert found.keys() == wanted.keys() and all(abs(a - b) < 1e-12 for g in found for a, b in zip(found[g], wanted[g]))
