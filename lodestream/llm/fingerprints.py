@@ -27,8 +27,9 @@ BINS, BITS, SHINGLE, PROBES = 256, 8, 5, 16
 #: The bits of a hash below those that name its bin; all set in a bin's end mark.
 _BELOW = 64 - (BINS.bit_length() - 1)
 _END = (1 << _BELOW) - 1
-#: Ids are cut into so many stretches of about equally many rows, and each of these into so many blocks of equal width.
-STRETCHES, BLOCKS = 256, 256
+#: Ids are cut into up to so many stretches of about equally many rows, and each of these into up to so many blocks of
+#: equal width, of BLOCK_ROWS rows or more on average: each block repeats one row of another.
+STRETCHES, BLOCKS, BLOCK_ROWS = 256, 256, 256
 
 
 def turns() -> list[str]:
@@ -77,9 +78,11 @@ def blocks(docs: DataFrame) -> DataFrame:
     The stretches' bounds are approximate quantiles of the ids, so that neither gaps nor dense places make large blocks.
     """
     q = [k / STRETCHES for k in range(STRETCHES + 1)]
-    found = docs.agg(F.percentile_approx("doc_id", q, 10_000)).first()[0]
-    lows = sorted(set(found or [0]))
-    widths = [max(1, -(-(b - a) // BLOCKS)) for a, b in zip(lows, [*lows[1:], lows[-1] + 1])]
+    found, n = docs.agg(F.percentile_approx("doc_id", q, 10_000), F.count("*")).first()
+    wanted = max(1, n // BLOCK_ROWS)
+    lows = sorted(set((found or [0])[:: -(-STRETCHES // min(STRETCHES, wanted))]))
+    parts = min(BLOCKS, -(-wanted // STRETCHES))
+    widths = [max(1, -(-(b - a) // parts)) for a, b in zip(lows, [*lows[1:], max(found or [0]) + 1])]
     at = F.greatest(F.size(F.filter(F.array(*map(F.lit, lows)), lambda x: x <= F.col("doc_id"))), F.lit(1))
     # Exact numbers: the distance between two ids may pass 2**63.
     exact = lambda c: c.cast("decimal(20,0)")

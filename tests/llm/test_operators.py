@@ -302,13 +302,16 @@ def test_rules_ledger(odd):
     assert quality_rules.measure("a#\na#\n\n b")[2:4] == (2, 1)
 
 
-def test_fingerprint_blocks_follow_each_other(spark):
+@pytest.mark.parametrize("least", [1, 100, 10_000])
+def test_fingerprint_blocks_follow_each_other(spark, monkeypatch, least):
     """Ids over the whole range of numbers, dense and sparse, null and repeated: what is next is right across all blocks."""
     ids = [-(2**63), -(2**62), *range(-50, 3000), 10**15, 2**62, 2**63 - 2, 2**63 - 1]
     draw = random.Random(4)
     rows = [(i, " ".join(draw.choices("abcdefgh", k=draw.randrange(0, 9)))) for i in ids] + [(7, "zz top"), (None, "n1"), (None, "n2"), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert fingerprints.blocks(docs).select("_block").distinct().count() > 500
+    monkeypatch.setattr(fingerprints, "BLOCK_ROWS", least)
+    n_blocks = fingerprints.blocks(docs).select("_block").distinct().count()
+    assert n_blocks > 500 if least == 1 else n_blocks <= 3060 / least + 8
     found = [(r["doc_id"], r["n_chars"], r["edited"]) for r in fingerprints.fingerprints(docs).where("doc_id IS NOT NULL").collect()]
     held = sorted(((i, t) for i, t in rows if i is not None), reverse=True)
     last = [t or "" for i, t in rows if i is None]
