@@ -19,4 +19,10 @@ QUERIES = {
         mixing.op10_mix_sources,
     )
 }
-SQL = {"op4_quality_rules": quality_rules.SQL, "op6_minhash_dedup": minhash.SQL, "op10_mix_sources": mixing.SQL}
+SQL = {
+    "op2_warc": warc.SQL,
+    "op4_quality_rules": quality_rules.SQL,
+    "op6_minhash_dedup": minhash.SQL,
+    "op8_suffix_dedup": suffix_dedup.SQL,
+    "op10_mix_sources": mixing.SQL,
+}

@@ -248,3 +248,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every string of 100 bytes by its md5; texts are cut into blocks first, so that no substring is far from a beginning.
+SQL = r"""WITH h AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, length(hex(encode(coalesce(text, '')))) // 2 AS n FROM documents),
+b AS (SELECT doc_id, n, x, unnest(range(0, n - 99, 500)) AS o FROM h),
+c AS (SELECT doc_id, o, substring(x, 2 * o + 1, 1198) AS x, least(500, n - 99 - o) AS m FROM b),
+s AS (SELECT doc_id, o, x, unnest(range(0, m)) AS a FROM c),
+k AS (SELECT doc_id, o + a AS a, md5_number(substring(x, 2 * a + 1, 200)) AS k FROM s),
+r AS (SELECT doc_id, a FROM k QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, a) > 1),
+i AS (SELECT doc_id, a, sum(fresh) OVER (PARTITION BY doc_id ORDER BY a) AS span FROM (SELECT doc_id, a, (a > coalesce(lag(a) OVER (PARTITION BY doc_id ORDER BY a), -101) + 100)::INT AS fresh FROM r)),
+g AS (SELECT doc_id, min(a) AS a, max(a) + 100 AS b FROM i GROUP BY doc_id, span),
+p AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS e FROM g),
+q AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS gone, max(b) AS upto, string_agg(substring(x, 2 * e + 1, 2 * (a - e)), '' ORDER BY a) AS head FROM p JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(head, '') || substring(x, 2 * coalesce(upto, 0) + 1))) AS kept_sha256 FROM h LEFT JOIN q USING (doc_id)"""

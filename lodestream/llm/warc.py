@@ -209,3 +209,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     found = read_archives(normalise(write_archives(pages, folder), folder), folder)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Five hexadecimal digits of the digest make four of its base32 form.
+SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS x, sha1(coalesce(html, '')) AS s FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS low FROM p)
+SELECT page_id, strlen(x)::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda j: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substring(s, 5 * (j // 4) + 1, 5))::INT >> (15 - 5 * (j % 4))) & 31), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id > low THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > low THEN low END AS refers_to FROM f"""

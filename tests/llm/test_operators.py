@@ -55,12 +55,14 @@ def texts(df) -> list[tuple[int, str]]:
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    ours, theirs = QUERIES[name](spark, SF).toPandas(), con.sql(SQL[name]).df()
+    for t in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    ours, theirs = QUERIES[name](spark, SF), con.sql(SQL[name])
     columns = sorted(ours.columns)
     assert columns == sorted(theirs.columns)
-    frames = [x[columns].astype(str).sort_values(columns).reset_index(drop=True) for x in (ours, theirs)]
-    pd.testing.assert_frame_equal(*frames)
+    # Values as Python has them: pandas writes a null of an integer column in several ways.
+    found = [sorted((repr(tuple(r[k] for k in map(names.index, columns))) for r in rows)) for names, rows in ((ours.columns, ours.collect()), (theirs.columns, theirs.fetchall()))]
+    assert found[0] == found[1]
 
 
 def test_bpe_and_codes_are_exact(spark, odd):
