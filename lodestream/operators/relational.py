@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestream.operators.ranges import numbered, quantiles
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return top_k(df, keys, order, 1)
@@ -73,26 +75,6 @@ def numeric_columns(df: DataFrame, but: list[str]) -> list[str]:
     return [f.name for f in df.schema if f.name not in but and f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "decimal")]
 
 
-def quantiles(df: DataFrame, keys: list[str], column: str, points: dict[str, float]) -> DataFrame:
-    """Exact quantiles with linear interpolation, and n, without a group in one buffer.
-
-    Equal values are counted first, with a partial count in every task; ranks are running counts over the distinct values
-    of a group, and a quantile is read off the two values whose ranks enclose it.
-    """
-    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("_c"))
-    own = W.partitionBy(*keys)
-    upto = F.sum("_c").over(own.orderBy(column).rowsBetween(W.unboundedPreceding, 0))
-    ranked = counts.withColumns({"_upto": upto, "_n": F.sum("_c").over(own)}).withColumn("_from", F.col("_upto") - F.col("_c"))
-    out = []
-    for name, p in points.items():
-        place = F.lit(p) * (F.col("_n") - 1)
-        at = lambda k: F.max(F.when((F.col("_from") <= k) & (k < F.col("_upto")), F.col(column)))  # noqa: B023, E731
-        low, high = at(F.floor(place)), at(F.ceil(place))
-        part = F.max(place - F.floor(place))
-        out.append((low + (high - low) * part).alias(name))
-    return ranked.groupBy(*keys).agg(F.max("_n").alias("n"), *out)
-
-
 def medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Exact medians of several columns; n counts the rows of a group."""
     out = df.groupBy(*keys).agg(F.count("*").alias("n"))
@@ -102,12 +84,5 @@ def medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
 
 
 def dense_encoder(df: DataFrame, key: str, out: str = "idx") -> DataFrame:
-    """(key, idx): the distinct keys in order, numbered from 0.
-
-    Keys are dealt out by range; each partition numbers its own, and the partitions' sizes, a row each, give the offsets.
-    """
-    held = df.select(key).where(F.col(key).isNotNull()).distinct().repartitionByRange(key).withColumn("_p", F.spark_partition_id())
-    own = held.withColumn("_k", F.row_number().over(W.partitionBy("_p").orderBy(key)) - 1)
-    sizes = own.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return own.join(F.broadcast(sizes.select("_p", before.alias("_b"))), "_p").select(key, (F.col("_b") + F.col("_k")).alias(out))
+    """(key, idx): the distinct keys in order, numbered from 0; null has no number."""
+    return numbered(df.select(key).where(F.col(key).isNotNull()).distinct(), [F.col(key)], out, 0)

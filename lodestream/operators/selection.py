@@ -6,18 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestream.operators.ranges import numbered, running
 from lodestream.operators.relational import top_k
 
 
-def global_rank(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:
-    """Ranks over all rows from 1: rows are dealt out by range of the order, and the partitions' sizes, a row each, are summed up."""
-    held = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    own = held.withColumn("_k", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
-    sizes = own.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return own.join(F.broadcast(sizes.select("_p", before.alias("_b"))), "_p").withColumn(out, F.col("_b") + F.col("_k")).drop("_p", "_k", "_b")
-
-
 def quantile_cut(ranked: DataFrame, bins: int, n: Column, rank: str = "rank", out: str = "bin") -> DataFrame:
     """Bins by linear quantile edges of the ranks 1..n: bin k holds ranks up to 1 + (n - 1) * k / bins."""
     return ranked.withColumn(out, F.greatest(F.lit(1), F.ceil((F.col(rank) - 1) * bins / F.greatest(n - 1, F.lit(1)))).cast("int"))
@@ -46,23 +38,27 @@ def quotas(df: DataFrame, group: str, k: int) -> DataFrame:
 
 
 def interleave(first: DataFrame, second: DataFrame, order: list[Column], share: int) -> DataFrame:
-    """Both ranked lists in turns, ``share`` of the first and one of the second; ``slot`` is the place from 1. What is left over of either follows."""
-    a = global_rank(first, order, "_r").withColumns({"_turn": F.floor((F.col("_r") - 1) / share), "_side": F.lit(0)})
-    b = global_rank(second, order, "_r").withColumns({"_turn": F.col("_r") - 1, "_side": F.lit(1)})
-    return global_rank(a.unionByName(b), [F.col("_turn"), F.col("_side"), F.col("_r")], "slot").drop("_turn", "_side", "_r")
+    """Both ranked lists with ``turn`` from 0, ``side`` and ``place``: ``share`` of the first and one of the second a turn; what is left over of either follows."""
+    a = numbered(first, order, "place").withColumns({"turn": F.floor((F.col("place") - 1) / share), "side": F.lit(0)})
+    b = numbered(second, order, "place").withColumns({"turn": F.col("place") - 1, "side": F.lit(1)})
+    return a.unionByName(b)
 
 
-def running_fill(df: DataFrame, slot: str, cost: str, limit: float) -> DataFrame:
-    """Rows in the order of slot until their summed cost reaches the limit; the row that crosses it is in.
+def budget_fill(first: DataFrame, second: DataFrame, group: str, order: list[Column], cost: str, share: int, limit: float) -> DataFrame:
+    """What a budget takes of two lists, with ``slot`` from 1 and ``before``, the cost of all slots before.
 
-    Costs are summed for ranges of slots first, then within a range.
+    The best row of each group comes first, of the first list and then of the second, whatever it costs; the rest follows
+    in turns. The budget is looked at between turns, so a turn that begins below the limit is in as a whole.
     """
-    held = df.withColumn("_p", F.floor(F.col(slot) / 4096))
-    sums = held.groupBy("_p").agg(F.sum(cost).alias("_s"))
-    base = F.coalesce(F.sum("_s").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    held = held.join(F.broadcast(sums.select("_p", base.alias("_b"))), "_p")
-    before = F.col("_b") + F.coalesce(F.sum(cost).over(W.partitionBy("_p").orderBy(slot).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return held.withColumn("before", before).where(F.col("before") < limit).drop("_p", "_b")
+    seeds, rest = [], []
+    for side, df in enumerate((first, second)):
+        held = df.withColumn("_top", F.row_number().over(W.partitionBy(group).orderBy(*order)) == 1)
+        seeds.append(held.where("_top").drop("_top").withColumns({"turn": F.lit(-1).cast("bigint"), "side": F.lit(side), "place": F.lit(0).cast("bigint")}))
+        rest.append(held.where("NOT _top").drop("_top"))
+    every = seeds[0].unionByName(seeds[1]).unionByName(interleave(*rest, order, share))
+    summed = running(every, [F.col("turn"), F.col("side"), F.col("place"), F.col(group)], cost, rank="slot")
+    began = F.min("before").over(W.partitionBy("turn"))
+    return summed.withColumn("_began", began).where((F.col("turn") < 0) | (F.col("_began") < limit)).drop("_began", "turn", "side", "place")
 
 
 def stop_after(df: DataFrame, keys: list[str], order: list[Column], empty: Column, n: int) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,8 +9,10 @@ from lodestream.functions import expr
 from lodestream.operators import graph as G
 from lodestream.operators import relational as R
 from lodestream.operators import split as S
+from lodestream.operators.ranges import numbered
 from lodestream.plans.registry import query
 from lodestream.sources import files
+from lodestream.sources.shared import shared_dir
 from lodestream.sources.tables import TIES, VISITS_SQL, table, visits
 
 SPLIT_SQL = f"""{VISITS_SQL},
@@ -21,12 +21,6 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NU
 train AS (SELECT * FROM ranked WHERE split_rank >= 2)"""
 
 
-def scratch(spark) -> str:
-    """A new folder of the shared one, or of the warehouse."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 _WORDS = {"patio": "the", "vegan": "der", "quiet": "que"}
 
 
@@ -173,9 +167,8 @@ def dm17_negatives(spark, d):
     """Four draws a user, half of them from the most popular quarter (100 at least), positives rejected; draws hash the user, so they depend on no partitioning."""
     t = S.leave_two_out(visits(spark, d)).where("split_rank >= 2").select("user_id", "item_id")
     n = t.groupBy("item_id").agg(F.count("*").alias("n"))
-    from lodestream.operators.selection import global_rank
 
-    pop = global_rank(n, [F.col("n").desc(), F.col("item_id").asc()]).select("item_id", (F.col("rank") - 1).alias("r"))
+    pop = numbered(n, [F.col("n").desc(), F.col("item_id").asc()]).select("item_id", (F.col("rank") - 1).alias("r"))
     m = n.agg(F.count("*").alias("all"))
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("n"), F.col("user_id").cast("string"), F.col("k").cast("string")).cast("binary")), 1, 12), 16, 10).cast("bigint")
     q = t.select("user_id").distinct().withColumn("k", F.explode(F.array(*map(F.lit, range(4))))).crossJoin(F.broadcast(m))
@@ -196,7 +189,7 @@ def tk12_tk14_samples(spark, d):
 @query("SELECT c_custkey AS id, substr(lpad(c_nationkey::VARCHAR, 12, '0'), 1, 12) AS code, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal END AS value FROM customer WHERE c_custkey % 2 = 0")
 def src5_src6_csv(spark, d):
     """Written and read back as CSV with text codes, and as a pipe-delimited file with prefixed codes and numbers that may be none (SNK2)."""
-    top = scratch(spark)
+    top = shared_dir(spark)
     c = table(spark, d, "customer").selectExpr("string(c_custkey) AS id", "lpad(string(c_nationkey), 12, '0') AS code", "CASE WHEN c_custkey % 5 = 0 THEN 'n/a' ELSE string(c_acctbal) END AS value", "c_custkey % 2 AS odd")
     c.select("id", "code").write.option("header", True).csv(f"{top}/codes")
     c.selectExpr("concat(CASE odd WHEN 0 THEN '1500US' ELSE '9900XX' END, id) AS id", "value").write.option("header", True).option("sep", "|").csv(f"{top}/counts")
@@ -207,7 +200,7 @@ def src5_src6_csv(spark, d):
 @query("SELECT conv_id::VARCHAR AS place, turn, coalesce(CASE WHEN turn % 3 <> 0 THEN role END, 'none') AS who, length(coalesce(text, '')) AS n FROM conversations WHERE conv_id % 9 <> 0")
 def src7_nested_json(spark, d):
     """A folder of JSON documents with an array in each, broken ones among them: a row for each member."""
-    top = scratch(spark)
+    top = shared_dir(spark)
     c = table(spark, d, "conversations").select("conv_id", F.struct("turn", F.when(F.col("turn") % 3 != 0, F.col("role")).alias("who"), F.length(F.coalesce("text", F.lit(""))).alias("n")).alias("x"))
     docs = c.groupBy("conv_id").agg(F.collect_list("x").alias("reviews"))
     # A file for each document: partitioned by a column that the reader does not ask for.
@@ -219,7 +212,7 @@ def src7_nested_json(spark, d):
 @query("WITH l AS (SELECT o_custkey AS id, o_orderkey AS seq, CASE WHEN o_orderkey % 7 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 2 END AS version FROM orders WHERE o_orderkey % 13 <> 0) SELECT id, seq FROM l WHERE status = 'ok' AND version = 2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1")
 def src8_checkpoint(spark, d):
     """A log of JSON lines, broken ones among them: done, of this version, the last of each key (SNK3)."""
-    path = f"{scratch(spark)}/log"
+    path = f"{shared_dir(spark)}/log"
     o = table(spark, d, "orders")
     line = F.to_json(F.struct(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderkey") % 7 == 0, "failed").otherwise("ok").alias("status"), F.when(F.col("o_orderkey") % 11 == 0, 1).otherwise(2).alias("version")))
     for half in (0, 1):
@@ -236,7 +229,7 @@ def src3_pushed_in(spark, d):
 @query("SELECT count(*) AS n, count(DISTINCT c_custkey) AS keys, 1500 - count(*) AS missing, true AS same_hash, count(*) FILTER (c_custkey % 3 <> 0) AS open FROM customer")
 def src10_src11_snk1_tables(spark, d):
     """Shards make up the whole; a table replaced and read back has the same hash; done keys are an anti-join (SNK4)."""
-    c, path = table(spark, d, "customer"), f"{scratch(spark)}/customer"
+    c, path = table(spark, d, "customer"), f"{shared_dir(spark)}/customer"
     files.replace_table(R.union_all(*[files.shard(c, "c_custkey", 3, k) for k in range(3)]), path)
     again = spark.read.parquet(path)
     done = c.where("c_custkey % 3 = 0").select("c_custkey")

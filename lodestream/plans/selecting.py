@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestream.functions import expr
 from lodestream.operators import geo
+from lodestream.operators import ranges as N
 from lodestream.operators import ranking as K
 from lodestream.operators import relational as R
 from lodestream.operators import selection as X
@@ -124,7 +125,7 @@ def dm30_jn19_worklist(spark, d):
 def wn8_wn9_global_rank(spark, d):
     """A rank over all rows, and four bins by linear quantile edges, which are not those of ntile."""
     c = table(spark, d, "customer").select("c_custkey", "c_acctbal")
-    r = X.global_rank(c, [F.col("c_acctbal").desc(), F.col("c_custkey").asc()]).crossJoin(F.broadcast(c.agg(F.count("*").alias("n"))))
+    r = N.numbered(c, [F.col("c_acctbal").desc(), F.col("c_custkey").asc()]).crossJoin(F.broadcast(c.agg(F.count("*").alias("n"))))
     return X.quantile_cut(r, 4, F.col("n")).select("c_custkey", "rank", "bin")
 
 
@@ -145,15 +146,21 @@ def tk9_quotas(spark, d):
     return held.withColumn("_k", k).where(F.col("_k") <= F.col("quota")).select("c_custkey", "c_nationkey", "quota")
 
 
-_SLOTS = "hi AS (SELECT c_custkey, c_nationkey % 3 + 1 AS cost, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer WHERE c_nationkey % 2 = 0), lo AS (SELECT c_custkey, c_nationkey % 3 + 1 AS cost, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer WHERE c_nationkey % 2 = 1), s AS (SELECT c_custkey, cost, (r - 1) // 4 AS t, 0 AS side, r FROM hi UNION ALL SELECT c_custkey, cost, r - 1, 1, r FROM lo), o AS (SELECT c_custkey, cost, row_number() OVER (ORDER BY t, side, r) AS slot FROM s)"
+_FILL = """WITH c AS (SELECT c_custkey, c_nationkey, c_nationkey % 2 AS side, c_nationkey % 3 + 1 AS cost, c_acctbal,
+  row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) = 1 AS top FROM customer),
+r AS (SELECT c_custkey, cost, side, row_number() OVER (PARTITION BY side ORDER BY c_acctbal DESC, c_custkey) AS place FROM c WHERE NOT top),
+t AS (SELECT c_custkey, cost, -1 AS turn, side, c_nationkey AS place FROM c WHERE top
+  UNION ALL SELECT c_custkey, cost, CASE side WHEN 0 THEN (place - 1) // 4 ELSE place - 1 END, side, place FROM r),
+s AS (SELECT *, row_number() OVER o AS slot, coalesce(sum(cost) OVER (ORDER BY turn, side, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM t WINDOW o AS (ORDER BY turn, side, place))
+SELECT c_custkey, slot, before FROM s QUALIFY turn < 0 OR min(before) OVER (PARTITION BY turn) < 700"""
 
 
-@query(f"WITH {_SLOTS}, f AS (SELECT c_custkey, slot, coalesce(sum(cost) OVER (ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM o) SELECT * FROM f WHERE before < 700")
+@query(_FILL)
 def wn17_wn18_budget_fill(spark, d):
-    """Two ranked lists, four of one to one of the other, taken until a budget is spent; the row that crosses it is in."""
+    """The best of each nation, then two ranked lists, four of one to one of the other, until a budget is spent; a turn that began is finished."""
     c = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey", (F.col("c_nationkey") % 3 + 1).alias("cost"))
     order = [F.col("c_acctbal").desc(), F.col("c_custkey").asc()]
-    return X.running_fill(X.interleave(c.where("c_nationkey % 2 = 0"), c.where("c_nationkey % 2 = 1"), order, 4), "slot", "cost", 700).select("c_custkey", "slot", "before")
+    return X.budget_fill(c.where("c_nationkey % 2 = 0"), c.where("c_nationkey % 2 = 1"), "c_nationkey", order, "cost", 4, 700).select("c_custkey", "slot", "before")
 
 
 @query("WITH e AS (SELECT user_id, event_id, value < 8 AS empty, row_number() OVER (PARTITION BY user_id ORDER BY abs(value - 10), event_id) AS k FROM events), l AS (SELECT *, k - coalesce(max(CASE WHEN NOT empty THEN k END) OVER (PARTITION BY user_id ORDER BY k), 0) AS run FROM e), s AS (SELECT *, min(CASE WHEN run >= 3 THEN k END) OVER (PARTITION BY user_id) AS stop FROM l) SELECT user_id, event_id FROM s WHERE stop IS NULL OR k <= stop")

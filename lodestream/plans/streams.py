@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestream.plans.evidence import scratch
 from lodestream.plans.registry import query
+from lodestream.sources.shared import shared_dir
 from lodestream.streaming import windows as T
 
 
@@ -13,14 +13,14 @@ from lodestream.streaming import windows as T
 def ext_stream_tumbling(spark, d):
     e = T.table_stream(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     sums = T.tumbling(e, "ts", ["event_type"], "1 hour", "400 days", F.count("*").alias("n"), F.sum("value").alias("total"))
-    rows = T.latest(T.drain(sums.select("event_type", F.unix_micros("w.start").alias("hour_us"), "n", "total"), scratch(spark), "update"), ["event_type", "hour_us"])
+    rows = T.latest(T.drain(sums.select("event_type", F.unix_micros("w.start").alias("hour_us"), "n", "total"), shared_dir(spark), "update"), ["event_type", "hour_us"])
     return rows.select("event_type", "hour_us", "n", F.round("total", 4).alias("total"))
 
 
 @query("SELECT user_id, event_type, count(*) > 0 AS seen FROM events GROUP BY ALL")
 def ext_stream_dedupe(spark, d):
     e = T.table_stream(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).select("user_id", "event_type", "ts")
-    rows = T.drain(T.once_within(e, "ts", ["user_id", "event_type"], "400 days"), scratch(spark), "append")
+    rows = T.drain(T.once_within(e, "ts", ["user_id", "event_type"], "400 days"), shared_dir(spark), "append")
     return rows.groupBy("user_id", "event_type").agg((F.count("*") == 1).alias("seen"))
 
 

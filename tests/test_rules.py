@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from lodestream.functions import expr
-from lodestream.operators import geo, ranking, relational, selection, split
+from lodestream.operators import geo, ranges, ranking, relational, selection, split
 
 
 def test_alignment_policy(spark):
@@ -64,7 +64,7 @@ def test_best_items_in_blocks(spark, monkeypatch):
 def test_numbers_over_ranges(spark):
     df = spark.range(0, 5000, 1, 7).selectExpr("id % 1000 AS k", "id AS v")
     assert sorted(map(tuple, relational.dense_encoder(df, "k").collect())) == [(k, k) for k in range(1000)]
-    ranked = selection.global_rank(df, [F.col("k").desc(), F.col("v").asc()]).collect()
+    ranked = ranges.numbered(df, [F.col("k").desc(), F.col("v").asc()]).collect()
     order = sorted(ranked, key=lambda r: (-r["k"], r["v"]))
     assert [r["rank"] for r in order] == list(range(1, 5001))
 
@@ -76,3 +76,39 @@ def test_quantiles(spark):
     found = {r["g"]: (r["a"], r["b"]) for r in relational.quantiles(df, ["g"], "x", {"a": 0.05, "b": 0.5}).collect()}
     wanted = {r["g"]: tuple(r["p"]) for r in df.groupBy("g").agg(F.percentile("x", F.array(F.lit(0.05), F.lit(0.5))).alias("p")).collect() if r["p"]}
     assert found.keys() == wanted.keys() and all(abs(a - b) < 1e-12 for g in found for a, b in zip(found[g], wanted[g]))
+
+
+def test_numbers_and_sums_of_two_million_rows(spark):
+    """A wide column beside the order, so that no plan can share what deals the rows out."""
+    df = spark.range(0, 2_000_000, 1, 8).selectExpr("pmod(xxhash64(id), 1000000007) AS k", "id", "repeat(string(id), 6) AS pad", "id % 7 AS v")
+    order = [F.col("k").asc(), F.col("id").asc()]
+    got = ranges.running(df, order, "v", rank="n")
+    assert got.agg(F.count_distinct("n"), F.min("n"), F.max("n")).first()[:] == (2_000_000, 1, 2_000_000)
+    spread = got.withColumn("o", F.struct("k", "id")).withColumn("p", F.floor(F.col("n") / 1000)).groupBy("p").agg(F.min("n").alias("a"), F.max("n").alias("b"), F.min("o").alias("lo"), F.max("o").alias("hi"), F.min("before").alias("s"), F.sum("v").alias("v")).orderBy("p").collect()
+    assert all(x["hi"] < y["lo"] and x["b"] + 1 == y["a"] and x["s"] + x["v"] == y["s"] for x, y in zip(spread, spread[1:]))
+
+
+def test_quantiles_of_one_group_of_many_values(spark):
+    n = 500_000
+    df = spark.range(0, n, 1, 8).selectExpr("cast(null AS int) AS g", "cast((id * 7919) % 500009 AS double) AS x")
+    held = ranges.ranged(df.groupBy("g", "x").count(), [F.col("g"), F.col("x")]).groupBy("_p").count().collect()
+    assert max(r["count"] for r in held) < 2 * n / len(held) + 1 and len(held) > 1
+    got = ranges.quantiles(df, ["g"], "x", {"a": 0.0, "b": 0.3337, "c": 1.0}).collect()
+    wanted = df.agg(F.percentile("x", F.array(*map(F.lit, (0.0, 0.3337, 1.0))))).first()[0]
+    assert [tuple(r) for r in got] == [(None, n, *wanted)]
+
+
+def test_budget_is_looked_at_between_turns(spark):
+    draw = random.Random(4)
+    first = [(k, draw.randint(0, 5), draw.random(), draw.randint(1, 4)) for k in range(60)]
+    second = [(100 + k, draw.randint(0, 7), draw.random(), draw.randint(1, 4)) for k in range(23)]
+    for limit in (0, 25, 60, 10_000):
+        lists = [sorted(x, key=lambda r: (-r[2], r[0])) for x in (first, second)]
+        taken = [next(r for r in x if r[1] == g) for x in lists for g in sorted({r[1] for r in x})]
+        left = [[r for r in x if r not in taken] for x in lists]
+        while sum(r[3] for r in taken) < limit and (left[0] or left[1]):
+            taken += left[0][:4] + left[1][:1]
+            left = [left[0][4:], left[1][1:]]
+        a, b = (spark.createDataFrame(x, "id int, g int, s double, cost int") for x in (first, second))
+        got = selection.budget_fill(a, b, "g", [F.col("s").desc(), F.col("id").asc()], "cost", 4, limit).orderBy("slot").collect()
+        assert [r["id"] for r in got] == [r[0] for r in taken] and [r["slot"] for r in got] == list(range(1, len(got) + 1))
