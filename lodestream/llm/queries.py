@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestream.llm import bpe, fingerprints, language_id, minhash, mixing, quality_model, quality_rules, suffix_dedup, token_codes, warc
+from lodestream.llm import bpe, conversations, fingerprints, language_id, minhash, mixing, quality_model, quality_rules, suffix_dedup, token_codes, warc
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         suffix_dedup.op8_suffix_dedup,
         fingerprints.op9_fingerprints,
         mixing.op10_mix_sources,
+        conversations.op11_conversation_repair,
     )
 }
 SQL = {
@@ -25,4 +26,5 @@ SQL = {
     "op6_minhash_dedup": minhash.SQL,
     "op8_suffix_dedup": suffix_dedup.SQL,
     "op10_mix_sources": mixing.SQL,
+    "op11_conversation_repair": conversations.SQL,
 }

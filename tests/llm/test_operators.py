@@ -55,7 +55,7 @@ def texts(df) -> list[tuple[int, str]]:
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     ours, theirs = QUERIES[name](spark, SF), con.sql(SQL[name])
     columns = sorted(ours.columns)
