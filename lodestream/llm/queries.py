@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestream.llm import bpe, conversations, fingerprints, language_id, minhash, mixing, quality_model, quality_rules, suffix_dedup, token_codes, url_filters, warc
+from lodestream.llm import bpe, conversations, fingerprints, importance, language_id, minhash, mixing, quality_model, quality_rules, suffix_dedup, token_codes, url_filters, warc
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,7 @@ QUERIES = {
         fingerprints.op9_fingerprints,
         mixing.op10_mix_sources,
         conversations.op11_conversation_repair,
+        importance.op12_importance_resampling,
         url_filters.op13_url_filters,
     )
 }

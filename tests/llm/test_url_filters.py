@@ -111,11 +111,9 @@ def test_sql_agrees_on_odd_urls(spark, tmp_path):
     assert ours == sorted(map(str, con.sql(U.SQL).fetchall()))
 
 
-def test_models_tell_held_out_urls_apart(spark):
-    """Rules for a third of the pages; what they say of the others is what the models should find."""
+def test_models_judge_hosts_that_no_rule_has(spark):
+    """Rules know languages below .com and .org only; the models should find the same below .net."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
-    host, path = U.host_and_path(F.col("url"))
-    bad = F.contains(host, F.lit("pills")) | F.contains(host, F.lit("spam")) | F.contains(host, F.lit("casino"))
-    rules = [("block", h, "/") for h in ("cheap-pills.example.com", "spam-farm.example.org")] + [("allow", "example.org", "/en/"), ("allow", "example.com", "/fr/")]
-    rows = U.judge(pages, rules).where("rule IS NULL").select(bad.alias("bad"), (F.col("verdict") == "block").alias("found")).collect()
-    assert sum(r["bad"] == r["found"] for r in rows) / len(rows) > 0.9
+    language = F.regexp_extract("path", "^/(fr|de|es)/", 1)
+    rows = U.judge(pages).where(F.endswith(F.col("host"), F.lit(".net")) & (language != "")).select(language.alias("l"), "verdict").collect()
+    assert len(rows) > 300 and sum((r["l"] == "fr") == (r["verdict"] == "allow") for r in rows) / len(rows) > 0.9
