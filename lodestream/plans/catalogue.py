@@ -200,4 +200,4 @@ def so1_union_aligned(spark, d):
     return R.union_all(table(spark, d, "supplier").selectExpr("s_suppkey AS key", "s_acctbal AS balance"), table(spark, d, "customer").selectExpr("c_custkey AS key", "c_acctbal AS balance", "c_mktsegment AS segment")).select("key", "balance", "segment")
 
 
-from lodestream.plans import evaluation, evidence, features, parsing, selecting, streams  # noqa: E402, F401
+from lodestream.plans import evaluation, evidence, features, parsing, places, selecting, streams  # noqa: E402, F401
