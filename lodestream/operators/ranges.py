@@ -38,6 +38,16 @@ def numbered(df: DataFrame, order: list[Column], out: str = "rank", first: int =
     return held.join(F.broadcast(sizes), "_p").withColumn(out, F.col("_before") + F.col("_k") + first).drop("_p", "_k", "_before")
 
 
+def numbered_within(df: DataFrame, keys: list[str], order: list[Column], out: str = "place") -> DataFrame:
+    """df with the rows' numbers from 1 within their keys, whose rows lie in several ranges if they are many."""
+    held = ranged(df, [*map(F.col, keys), *order])
+    parts = before_range(held.groupBy(*keys, "_p").agg(F.count("*").alias("_n"), F.min("_k").alias("_first")), "_n", keys)
+    h, p = held.alias("h"), parts.select(*keys, "_p", "_first", "_before").alias("p")
+    same = [F.col(f"h.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys]
+    number = (F.col("p._before") + F.col("h._k") - F.col("p._first") + 1).alias(out)
+    return h.join(p, [*same, F.col("h._p") == F.col("p._p")]).select(*[F.col(f"h.{c}") for c in df.columns if c != out], number)
+
+
 def running(df: DataFrame, order: list[Column], value: str, out: str = "before", rank: str | None = None) -> DataFrame:
     """df with the sum of value over all rows before each in the order, and the rows' numbers from 1; null counts as 0."""
     held = ranged(df, order)

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestream.operators.ranges import numbered, running
+from lodestream.operators.ranges import numbered, numbered_within, running
 from lodestream.operators.relational import top_k
+from lodestream.sources.shared import written
 
 
 def quantile_cut(ranked: DataFrame, bins: int, n: Column, rank: str = "rank", out: str = "bin") -> DataFrame:
@@ -69,3 +70,58 @@ def stop_after(df: DataFrame, keys: list[str], order: list[Column], empty: Colum
     held = held.withColumn("_run", F.col("_k") - last)
     stop = F.min(F.when(F.col("_run") >= n, F.col("_k"))).over(W.partitionBy(*keys))
     return held.withColumn("_stop", stop).where(F.col("_stop").isNull() | (F.col("_k") <= F.col("_stop"))).drop("_e", "_k", "_run", "_stop")
+
+
+def coverage_fill(rows: DataFrame, groups: DataFrame, key: str, group: str, order: list[Column], cost: str, budget: float, floor: float = 0.25, ceiling: float = 0.5) -> DataFrame:
+    """The rows that a budget takes, with ``slot`` from 1, so that the groups of least coverage come first.
+
+    groups (group, total, covered) has what there is and what is covered already. First each group gets its first rows in
+    the order until ``floor`` of it is covered; if these cost too much, nothing is taken (ValueError). Then the group of
+    least coverage below ``ceiling`` (ties: the least group) gets the first of its rows that the rest of the budget allows,
+    again and again.
+
+    A group's k-th pick has a coverage before it that is known at once, so the picks of all groups have one global order;
+    what they cost is one running sum. Where a row does not fit, it and all that cost as much or more are out for good and
+    the order is made anew, so there is one round for each distinct cost at most.
+    """
+    groups = groups.select(F.col(group), "total", "covered")
+    ranked = numbered_within(rows, [group], order, "_place").join(groups, group)
+    needed = F.greatest(F.lit(0), F.ceil(F.lit(floor) * F.col("total")) - F.col("covered"))
+    first = numbered(ranked.where(F.col("_place") <= needed), [F.col(group), F.col("_place")], "slot").drop("total", "covered", "_place")
+    spent, n = first.agg(F.coalesce(F.sum(cost), F.lit(0)), F.count("*")).first()
+    if spent > budget:
+        raise ValueError(f"the floor costs {spent}, the budget is {budget}")
+    taken, rest = [written(first)], ranked.where(F.col("_place") > needed).drop("total", "covered", "_place")
+    while budget > spent:
+        counts = taken[-1].groupBy(group).agg(F.count("*").alias("_more"))
+        groups = written(groups.join(counts, group, "left").select(group, "total", (F.col("covered") + F.coalesce("_more", F.lit(0))).alias("covered")))
+        rest = written(rest.where(F.col(cost) <= budget - spent))
+        able = numbered_within(rest, [group], order, "_place").join(groups, group).withColumn("_cover", (F.col("covered") + F.col("_place") - 1) / F.col("total")).where(F.col("_cover") < ceiling)
+        summed = written(running(able, [F.col("_cover"), F.col(group)], cost, "_spent", rank="_turn"))
+        over = F.min(F.when((F.col("_spent") + F.col(cost) > budget - spent) | (F.col("_spent") >= budget - spent), F.col("_turn")))
+        stop, every = summed.agg(over, F.count("*")).first()
+        got = summed if stop is None else summed.where(F.col("_turn") < stop)
+        got = written(got.withColumn("slot", F.col("_turn") + n).select(*rows.columns, "slot"))
+        taken.append(got)
+        if stop is None or not every:
+            break
+        more, k = got.agg(F.coalesce(F.sum(cost), F.lit(0)), F.count("*")).first()
+        spent, n = spent + more, n + k
+        rest = rest.join(got.select(key), key, "left_anti")
+    out = taken[0]
+    for t in taken[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def budget_guard(calls: DataFrame, logged: DataFrame, monthly: int, run_ceiling: float, unit: float, order: list[Column]) -> DataFrame:
+    """calls (month, run, ...) with ``allowed``: while the run's calls cost no more than its ceiling and the month's, those
+    logged before (month, n) included, are no more than ``monthly``. Calls that are let through count whether they succeed or not.
+
+    A month that is full stays full, so a run's allowed calls are its first ones, and a month's the first of these.
+    """
+    most = int((run_ceiling + 1e-9) // unit)
+    asked = numbered_within(calls, ["month", "run"], order, "_in_run")
+    first = numbered_within(asked.where(F.col("_in_run") <= most), ["month"], order, "_in_month").join(logged.select("month", F.col("n").alias("_logged")), "month", "left")
+    passed = first.withColumn("allowed", F.col("_in_month") + F.coalesce("_logged", F.lit(0)) <= monthly)
+    return passed.select(*calls.columns, "allowed").unionByName(asked.where(F.col("_in_run") > most).select(*calls.columns, F.lit(False).alias("allowed")))
