@@ -170,12 +170,36 @@ def dm37_stop_after_empties(spark, d):
     return X.stop_after(e, ["user_id"], [F.abs(F.col("value") - 10).asc(), F.col("event_id").asc()], F.col("value") < 8, 3).select("user_id", "event_id")
 
 
-@query("WITH e AS (SELECT event_id, strftime(ts, '%Y-%m') AS month, ts, 0.032::DOUBLE AS cost FROM events WHERE event_type = 'click'), r AS (SELECT event_id, month, row_number() OVER (PARTITION BY month ORDER BY ts, event_id) AS k FROM e) SELECT event_id, month, (k - 1) * 0.032 + 0.032 <= 1.6 + 1e-9 AS allowed FROM r")
+@query("""WITH l AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1),
+c AS (SELECT o_orderkey AS seq, strftime(o_orderdate, '%Y-%m') AS month, (o_custkey % 10)::VARCHAR AS run, o_orderdate AS ts FROM orders),
+k AS (SELECT *, row_number() OVER (PARTITION BY month, run ORDER BY ts, seq) AS in_run FROM c),
+m AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY ts, seq) AS in_month FROM k WHERE in_run <= 15)
+SELECT c.seq, c.month, c.run, coalesce(in_month + coalesce(n, 0) <= 120, false) AS allowed FROM c LEFT JOIN m USING (seq) LEFT JOIN l ON l.month = c.month""")
 def dm36_budget_guard(spark, d):
-    """Calls of a month, each let through while the month's cost and its own stay within the ceiling."""
-    e = table(spark, d, "events").where("event_type = 'click'").withColumn("month", F.date_format("ts", "yyyy-MM"))
-    k = F.row_number().over(W.partitionBy("month").orderBy("ts", "event_id"))
-    return e.select("event_id", "month", (k * 0.032 <= 1.6 + 1e-9).alias("allowed"))
+    """Calls of a month and a run, each let through while both have room; a ledger's earlier calls of the month count as well."""
+    o = table(spark, d, "orders").withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
+    logged = o.where("o_orderstatus = 'P'").groupBy("month").agg(F.count("*").alias("n"))
+    calls = o.select(F.col("o_orderkey").alias("seq"), "month", (F.col("o_custkey") % 10).cast("string").alias("run"), F.col("o_orderdate").alias("ts"))
+    return X.budget_guard(calls, logged, 120, 0.48, 0.032, [F.col("ts").asc(), F.col("seq").asc()]).select("seq", "month", "run", "allowed")
+
+
+@query("""WITH RECURSIVE t AS (SELECT c_nationkey AS g, count(*) AS total, count(*) FILTER (c_mktsegment = 'BUILDING') AS had FROM customer GROUP BY 1),
+r AS (SELECT c_custkey AS id, c_nationkey AS g, 1 + c_custkey % 4 AS cost, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer WHERE c_mktsegment <> 'BUILDING'),
+f AS (SELECT r.*, total, had, place <= greatest(0, ceil(0.25::DOUBLE * total) - had) AS floor FROM r JOIN t USING (g)),
+b AS (SELECT 2 * count(*) // 3 AS budget FROM customer),
+s AS (SELECT id, g, cost, place, total, had + count(*) FILTER (floor) OVER (PARTITION BY g) AS held, (SELECT budget FROM b) - coalesce(sum(cost) FILTER (floor) OVER (), 0) AS rest,
+  CASE WHEN floor THEN row_number() OVER (ORDER BY NOT floor, g, place) END AS slot, count(*) FILTER (floor) OVER () AS n FROM f),
+picks AS (SELECT * FROM s UNION ALL
+  SELECT id, g, cost, place, total, held + (g = pick.g)::INT, rest - pick.cost, CASE WHEN id = pick.id THEN n + 1 ELSE slot END, n + 1 FROM (
+  SELECT *, min({'cover': held / total, 'g': g, 'place': place, 'id': id, 'cost': cost}) FILTER (slot IS NULL AND cost <= rest AND held / total < 0.5) OVER () AS pick FROM picks WHERE rest > 0) WHERE pick IS NOT NULL)
+SELECT id, g, cost, slot FROM picks WHERE slot IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY n) = 1""")
+def tk10_lowest_coverage_first(spark, d):
+    """A budget for customers not covered yet: a quarter of each nation first, then the nation of least coverage, up to a half."""
+    c = table(spark, d, "customer")
+    groups = c.groupBy(F.col("c_nationkey").alias("g")).agg(F.count("*").alias("total"), F.count_if(F.col("c_mktsegment") == "BUILDING").alias("covered"))
+    rows = c.where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("g"), (1 + F.col("c_custkey") % 4).alias("cost"), "c_acctbal")
+    budget = 2 * c.count() // 3
+    return X.coverage_fill(rows, groups, "id", "g", [F.col("c_acctbal").desc(), F.col("id").asc()], "cost", budget).select("id", "g", "cost", "slot")
 
 
 @query("WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM orders), l AS (SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last FROM o GROUP BY o_custkey) SELECT o_custkey, last FROM l")

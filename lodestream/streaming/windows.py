@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +20,24 @@ def tumbling(events: DataFrame, ts: str, keys: list[str], width: str, late: str,
     return events.withWatermark(ts, late).groupBy(*keys, F.window(ts, width).alias("w")).agg(*sums)
 
 
+def sliding(events: DataFrame, ts: str, keys: list[str], width: str, step: str, late: str, *sums: Column) -> DataFrame:
+    """Sums for each key and each window of so much width that begins at every step, so that a row counts in several.
+
+    A row is left out of the windows that end ``late`` or more before the newest time of the batches before its own.
+    """
+    return events.withWatermark(ts, late).groupBy(*keys, F.window(ts, width, step).alias("w")).agg(*sums)
+
+
+def arriving(parts: list[DataFrame], path: str, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """What the stream that build makes gives when parts arrive one after the other; the query stops and starts again
+    between them, and goes on from its checkpoint with the watermark of all that it has seen."""
+    out = None
+    for part in parts:
+        part.write.mode("append").parquet(f"{path}/in")
+        out = drain(build(table_stream(part.sparkSession, f"{path}/in")), path, mode)
+    return out
+
+
 def once_within(events: DataFrame, ts: str, keys: list[str], late: str) -> DataFrame:
     """The first row of each key within the watermark; state of older keys is given up."""
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
