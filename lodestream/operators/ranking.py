@@ -12,21 +12,53 @@ from pyspark.sql import functions as F
 
 from lodestream.functions import expr
 from lodestream.operators.relational import top_k
+from lodestream.sources.shared import written
 
-#: So many bytes of query vectors are sent at once; more of them take further passes over the items.
+#: So many bytes of query vectors are sent at once; more of them take further passes over the items. And so many scores
+#: are held at once by a task.
 BLOCK_BYTES = 64 << 20
-
-
-def best_items(items: DataFrame, queries: DataFrame, k: int, item: str = "vec_id", vector: str = "embedding", skip_self: bool = True, normalise: bool = False) -> DataFrame:
-    """(query_id, item, score): the k best items of each query by inner product, ties by item; exact.
-
-    Queries go out in blocks of a fixed size. A task multiplies its items with a block and keeps the k best of each
-    query, so only k rows a query and task are shuffled, whatever the number of items.
+SCORES = 1 << 22
+
+
+def matrix(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of a list column that are there and whole, and which rows these are."""
+    ends = column.offsets.to_numpy().astype(np.int64)
+    flat = column.flatten() if column.null_count else column.values[ends[0] : ends[-1]]
+    length = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(ends), 0)
+    flat = flat.to_numpy(zero_copy_only=False).astype(float)
+    at = np.cumsum(length) - length
+    rows = np.flatnonzero(length == size)
+    x = flat[at[rows][:, None] + np.arange(size)] if len(rows) else np.empty((0, size))
+    good = np.isfinite(x).all(axis=1)
+    return x[good], rows[good]
+
+
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row of scores, ties by id."""
+    if scores.shape[1] > 4 * k:
+        # All that are no worse than the k-th, so that ties are kept for the sort below.
+        least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+        width = max(k, int((scores >= least).sum(axis=1).max()))
+        at = np.argpartition(-scores, min(width, scores.shape[1] - 1), axis=1)[:, :width]
+        scores, ids = np.take_along_axis(scores, at, 1), np.take_along_axis(ids, at, 1)
+    order = np.lexsort((ids, -scores), axis=1)[:, :k]
+    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+
+
+def best_items(items: DataFrame, queries: DataFrame, k: int, item: str = "vec_id", vector: str = "embedding", skip_self: bool = True, normalise: bool = False, seen: DataFrame | None = None) -> DataFrame:
+    """(query_id, item, score, rank): the k best items of each query by inner product, ties by item; exact.
+
+    Queries go out in blocks of a fixed size, one after the other. A task multiplies its items with a block and keeps the k
+    best of each query, so only k rows a query and task are shuffled, whatever the number of items. ``seen`` (query_id,
+    item) is left out before the best are kept: each item carries those queries of the block that have seen it. Null
+    vectors, and those of another length than the queries' or with a number that is not finite, are passed over.
     """
     spark, size = items.sparkSession, max(1, queries.agg(F.max(F.size(vector))).first()[0] or 1)
     step = max(1, BLOCK_BYTES // (8 * size))
-    ids = queries.select(F.col(item).alias("query_id"), F.col(vector).alias("q"))
-    n_blocks = -(-ids.count() // step)
+    ids = queries.where(F.col(vector).isNotNull()).select(F.col(item).alias("query_id"), F.col(vector).alias("q"))
+    n_blocks = max(1, -(-ids.count() // step))
+
+    masked = seen is not None
 
     def unit(x: np.ndarray) -> np.ndarray:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if normalise else x
@@ -34,36 +66,50 @@ def best_items(items: DataFrame, queries: DataFrame, k: int, item: str = "vec_id
     found = []
     for b in range(n_blocks):
         own = ids if n_blocks == 1 else ids.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
-        held = own.toPandas()
-        sent = spark.sparkContext.broadcast((held["query_id"].to_numpy(np.int64), unit(np.array(held["q"].tolist(), float).reshape(len(held), size))))
+        held = own.toArrow().combine_chunks()
+        q, kept = matrix(held.column("q").combine_chunks(), size)
+        names = held.column("query_id").to_numpy()[kept].astype(np.int64)
+        order = np.argsort(names)
+        sent = spark.sparkContext.broadcast((names[order], unit(q[order])))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, q = sent.value
             best_score, best_id = np.full((len(q), 0), -np.inf), np.zeros((len(q), 0), np.int64)
+            width = max(1, SCORES // max(1, len(q)))
             for batch in batches:
                 if not batch.num_rows or not len(q):
                     continue
-                own_ids = batch.column(item).to_numpy(zero_copy_only=False).astype(np.int64)
-                x = unit(np.array(batch.column(vector).to_pylist(), float))
-                for at in range(0, len(x), 1024):
-                    s = q @ x[at : at + 1024].T
-                    i = np.broadcast_to(own_ids[at : at + 1024], s.shape)
+                x, kept = matrix(batch.column(vector), size)
+                own_ids = batch.column(item).to_numpy(zero_copy_only=False)[kept].astype(np.int64)
+                x = unit(x)
+                known = batch.column("_seen").take(pa.array(kept)) if masked else None
+                for at in range(0, len(x), width):
+                    s = q @ x[at : at + width].T
+                    i = np.broadcast_to(own_ids[at : at + width], s.shape)
                     if skip_self:
                         s = np.where(i == names[:, None], -np.inf, s)
-                    best_score, best_id = np.hstack([best_score, s]), np.hstack([best_id, i])
-                    order = np.lexsort((best_id, -best_score), axis=1)[:, :k]
-                    best_score, best_id = np.take_along_axis(best_score, order, 1), np.take_along_axis(best_id, order, 1)
+                    if known is not None:
+                        part = known.slice(at, width)
+                        by = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                        s[np.searchsorted(names, by), np.repeat(np.arange(len(part)), part.value_lengths().fill_null(0).to_numpy())] = -np.inf
+                    best_score, best_id = best_of(np.hstack([best_score, s]), np.hstack([best_id, i]), k)
             ok = np.isfinite(best_score)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, ok.sum(axis=1)), pa.int64()), pa.array(best_id[ok], pa.int64()), pa.array(best_score[ok])], ["query_id", item, "score"])
 
-        found.append(items.select(item, vector).mapInArrow(run, f"query_id bigint, {item} bigint, score double"))
-    if not found:
-        return spark.createDataFrame([], f"query_id bigint, {item} bigint, score double, rank int")
+        asked = items.select(item, vector)
+        if seen is not None:
+            by = seen.join(F.broadcast(spark.createDataFrame(pa.table({"query_id": names}))), "query_id").groupBy(item).agg(F.collect_set("query_id").alias("_seen"))
+            asked = asked.join(by, item, "left")
+        top = asked.mapInArrow(run, f"query_id bigint, {item} bigint, score double")
+        top = top.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(item).asc()))).where(F.col("rank") <= k)
+        if n_blocks == 1:
+            return top
+        found.append(written(top))
+        sent.destroy()
     every = found[0]
     for f in found[1:]:
         every = every.union(f)
-    every = every.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(item).asc())))
-    return every.where(F.col("rank") <= k)
+    return every
 
 
 def row_minmax(column: str, keys: list[str], equal: float) -> Column:

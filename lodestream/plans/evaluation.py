@@ -29,10 +29,7 @@ def candidates(spark, d):
     e = table(spark, d, "embeddings")
     q = e.where("vec_id % 100 = 0")
     seen = q.select(F.col("vec_id").alias("query_id"), "label").join(e.where("vec_id % 2 = 0").select("vec_id", "label"), "label").select("query_id", "vec_id")
-    # The 40 best unseen lie among the best 40 and as many as any user has seen.
-    most = seen.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
-    best = K.best_items(e, q, 40 + most).drop("rank").join(seen, ["query_id", "vec_id"], "left_anti")
-    best = best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))).where("rank <= 40")
+    best = K.best_items(e, q, 40, seen=seen)
     x, y = F.col("embedding")[0].cast("double") * 10, F.col("embedding")[1].cast("double") * 10
     at = e.select("vec_id", x.alias("lat"), y.alias("lng"))
     both = best.join(at, "vec_id").join(F.broadcast(at.where("vec_id % 100 = 0").toDF("query_id", "ulat", "ulng")), "query_id")
