@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestream.functions import expr
 from lodestream.operators import graph as G
+from lodestream.operators import negatives, neighbours
 from lodestream.operators import relational as R
 from lodestream.operators import split as S
 from lodestream.operators.ranges import numbered
@@ -176,6 +177,22 @@ def dm17_negatives(spark, d):
     return q.join(pop, "r").join(t, ["user_id", "item_id"], "left_anti").select("user_id", "k", "item_id")
 
 
+@query()
+def dm17_neighbour_pool(spark, d):
+    """One negative for each item pair of a training table, half of them from the positive's 50 nearest; no SQL, as the index is fitted."""
+    e = table(spark, d, "embeddings")
+    pool = neighbours.neighbours(e, 50).select(F.col("vec_id").alias("item_id"), "other", "rank")
+    # What users have met: vectors, by the label as the user and the hundred of the id as a session.
+    met = e.select((F.col("label") * 1000 + F.floor(F.col("vec_id") / 100) % 1000).cast("bigint").alias("user_id"), F.col("vec_id").alias("item_id"))
+    return negatives.negatives(met, pool)
+
+
+@query()
+def jn12_neighbour_index(spark, d):
+    """The 50 nearest of every row by an index of cells; no SQL, as the index is fitted: the tests measure its recall."""
+    return neighbours.neighbours(table(spark, d, "embeddings"), 50)
+
+
 @query("WITH d AS (SELECT doc_id, source, n_chars FROM documents), s AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY source ORDER BY substr(sha256('s:' || doc_id), 1, 16), doc_id) <= 5), t AS (SELECT doc_id, 'long' AS side FROM (FROM d ORDER BY n_chars DESC, doc_id LIMIT 3) UNION ALL SELECT doc_id, 'short' FROM (FROM d ORDER BY n_chars, doc_id LIMIT 3)) SELECT doc_id, 'sample' AS side FROM s UNION ALL FROM t")
 def tk12_tk14_samples(spark, d):
     """Five of each group in the order of a seeded hash (TK13, TK14), and the three longest and shortest (TK12)."""
