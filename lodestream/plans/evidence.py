@@ -243,14 +243,25 @@ def src3_pushed_in(spark, d):
     return files.pushed_in(rows, "l_orderkey", [1, 2, 3, 7, 33, 100, 1001], [F.col("l_linenumber").asc()]).select("l_orderkey", F.col("l_linenumber").alias("line"))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT c_custkey) AS keys, 1500 - count(*) AS missing, true AS same_hash, count(*) FILTER (c_custkey % 3 <> 0) AS open FROM customer")
+@query("""SELECT count(*) AS n, count(DISTINCT c_custkey) AS keys, 0::BIGINT AS missing, true AS same_hash, count(*) AS manifest_rows,
+  count(*) FILTER (c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey % 2 = 0)) AS open, count(*) FILTER (c_acctbal < 0) AS logged FROM customer""")
 def src10_src11_snk1_tables(spark, d):
-    """Shards make up the whole; a table replaced and read back has the same hash; done keys are an anti-join (SNK4)."""
-    c, path = table(spark, d, "customer"), f"{shared_dir(spark)}/customer"
-    files.replace_table(R.union_all(*[files.shard(c, "c_custkey", 3, k) for k in range(3)]), path)
-    again = spark.read.parquet(path)
-    done = c.where("c_custkey % 3 = 0").select("c_custkey")
+    """Shards make up the whole; a table is replaced at once and read by its manifest (SNK1, SNK2, SNK4); what is done is
+    known by files' names (SRC10); rows are appended to a log with headers (SNK3)."""
+    c, top = table(spark, d, "customer"), shared_dir(spark)
+    files.replace_table(c.limit(1), f"{top}/customer")
+    made = files.replace_table(R.union_all(*[files.shard(c, "c_custkey", 3, k) for k in range(3)]), f"{top}/customer")
+    files.drop_versions(spark, f"{top}/customer")
+    again = files.current_table(spark, f"{top}/customer")
+    odd = [str(r[0]) for r in table(spark, d, "region").where("r_regionkey % 2 = 1").select("r_regionkey").collect()]  # five regions
+    files.mark_done(spark, f"{top}/done", odd)
+    done = files.done_stems(spark, f"{top}/done").select(F.col("stem").cast("int").alias("n_regionkey"))
+    open_ = table(spark, d, "nation").join(done, "n_regionkey", "left_anti").select(F.col("n_nationkey").alias("c_nationkey"))
+    for sign in (0, 1):
+        files.append_csv(c.where((F.col("c_acctbal") < 0) & (F.col("c_custkey") % 2 == sign)).select("c_custkey", "c_acctbal"), f"{top}/log")
+    log = files.csv_strings(spark, f"{top}/log", ["c_custkey", "c_acctbal"]).agg(F.count("*").alias("logged"))
     both = files.content_hash(c, c.columns).crossJoin(files.content_hash(again.repartition(7), c.columns).toDF("n2", "digest2"))
     totals = again.agg(F.count("*").alias("n"), F.count_distinct("c_custkey").alias("keys"))
-    open_ = again.join(done, "c_custkey", "left_anti").agg(F.count("*").alias("open"))
-    return totals.crossJoin(F.broadcast(both.select((F.col("digest") == F.col("digest2")).alias("same_hash"), F.col("n").alias("had")))).crossJoin(F.broadcast(open_)).select("n", "keys", (F.col("had") - F.col("n")).alias("missing"), "same_hash", "open")
+    left = again.join(open_, "c_nationkey", "left_semi").agg(F.count("*").alias("open"))
+    out = totals.crossJoin(F.broadcast(both.select((F.col("digest") == F.col("digest2")).alias("same_hash"), F.col("n").alias("had")))).crossJoin(F.broadcast(left)).crossJoin(F.broadcast(log))
+    return out.select("n", "keys", (F.col("had") - F.col("n")).alias("missing"), "same_hash", F.lit(made["rows"]).cast("bigint").alias("manifest_rows"), "open", "logged")

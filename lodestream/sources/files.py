@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from urllib.parse import unquote
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,13 +47,78 @@ def shard(df: DataFrame, key: str, shards: int, which: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(key), F.lit(shards)) == which)
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Writes the table anew; readers see whole files only, by Spark's commit protocol."""
-    df.write.mode("overwrite").parquet(path)
+def _fs(spark: SparkSession, path: str):
+    """Hadoop's file context of a path, and the path, as Spark's own writers have them."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    return hadoop.FileContext.getFileContext(hadoop.Path(path).toUri(), spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file under another name and renames it: who reads the path sees the old text or the new one."""
+    files, hadoop = _fs(spark, path)
+    jvm, aside = spark.sparkContext._jvm, hadoop.Path(f"{path}.{uuid.uuid4().hex}")
+    files.mkdir(aside.getParent(), hadoop.permission.FsPermission.getDirDefault(), True)
+    flags = jvm.java.util.EnumSet.of(hadoop.CreateFlag.CREATE)
+    out = files.create(aside, flags, spark.sparkContext._gateway.new_array(hadoop.Options.CreateOpts, 0))
+    out.write(bytearray(text.encode()))
+    out.close()
+    how = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    how[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    files.rename(aside, hadoop.Path(path), how)
+
+
+POINTER = "current.json"
+
+
+def replace_table(df: DataFrame, path: str) -> dict:
+    """Replaces a table at once: a new version is written beside the old one, and then one small file is renamed that names it.
+
+    Returns that file's text, the manifest (version, rows, columns). A write that fails leaves the old version in place;
+    who has read the manifest goes on with its version. Versions stay until ``drop_versions``. The rename is atomic on
+    local disks' metadata and HDFS; on object stores it is as good as their overwrite of one object.
+    """
+    spark, version = df.sparkSession, uuid.uuid4().hex
+    df.write.option("compression", "zstd").parquet(f"{path}/{version}")
+    held = spark.read.parquet(f"{path}/{version}")
+    manifest = {"version": version, "rows": held.count(), "columns": held.columns}
+    _put(spark, f"{path}/{POINTER}", json.dumps(manifest))
+    return manifest
+
+
+def manifest(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/{POINTER}", wholetext=True).first()[0])
+
+
+def current_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/{manifest(spark, path)['version']}")
+
+
+def drop_versions(spark: SparkSession, path: str) -> None:
+    """Removes all versions but the current one; for when no job reads them any more."""
+    files, hadoop = _fs(spark, path)
+    keep, found = {manifest(spark, path)["version"], POINTER}, files.listStatus(hadoop.Path(path))
+    while found.hasNext():
+        own = found.next().getPath()
+        if own.getName() not in keep:
+            files.delete(own, True)
+
+
+def append_csv(df: DataFrame, path: str) -> None:
+    """Adds rows to a CSV log: each part has the header once, and parts of several writers never mix."""
+    df.write.mode("append").option("header", True).csv(path)
+
+
+def mark_done(spark: SparkSession, path: str, stems: list[str]) -> None:
+    """An empty ``<stem>.done`` file for each of a few stems."""
+    for stem in stems:
+        _put(spark, f"{path}/{stem}.done", "")
 
 
-def append_rows(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def done_stems(spark: SparkSession, path: str) -> DataFrame:
+    """(stem) of the ``*.done`` files of a folder, empty ones included: of the list of files that Spark makes of any folder."""
+    names = spark.read.option("pathGlobFilter", "*.done").text(path).inputFiles()
+    stems = [unquote(n.rsplit("/", 1)[1]).removesuffix(".done") for n in names]
+    return spark.createDataFrame(pa.table({"stem": pa.array(stems, pa.string())}))
 
 
 def content_hash(df: DataFrame, columns: list[str]) -> DataFrame:
