@@ -174,21 +174,6 @@ def ag40_ag41_paired_design(spark, d):
     return p.agg(F.round(F.avg(delta), 4).alias("mean_delta"), F.round(F.stddev_samp(delta), 4).alias("sd_delta"), F.count(delta).alias("pairs")).crossJoin(F.broadcast(missing))
 
 
-@query()
-def ag39_bootstrap(spark, d):
-    """A 95 % interval of a mean by 1,000 resamples: hash-seeded Poisson counts for each row and resample, summed with a map-side combine; no SQL, as draws are hashes."""
-    x = table(spark, d, "labels").where("quality IS NOT NULL").select("doc_id", F.col("quality").cast("double").alias("x"))
-    u = F.pmod(F.xxhash64(F.lit(7), "doc_id", "b"), F.lit(1 << 52)) / float(1 << 52)
-    steps, p, c = [], 0.36787944117144233, 0.0
-    for k in range(12):
-        c += p
-        steps.append(c)
-        p /= k + 1
-    times = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
-    b = x.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(1000)))).withColumn("w", times).groupBy("b").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("m"))
-    return R.quantiles(b.withColumn("g", F.lit(1)), ["g"], "m", {"low": 0.025, "high": 0.975}).select("low", "high", "n")
-
-
 @query("WITH k AS (SELECT l_suppkey AS u, count(*) AS requests FROM lineitem GROUP BY l_suppkey), t(low, high, rate) AS (VALUES (100, 300, 32.0), (300, 600, 25.6), (600, 1000000000, 19.2)) SELECT u, round(sum(greatest(0, least(requests, high) - low) * rate / 1000)::DOUBLE, 6) AS cost, round(least(1.0, greatest(0.0, max(requests) - 100) / max(requests))::DOUBLE, 6) AS paid FROM k CROSS JOIN t GROUP BY u")
 def ag42_ag43_tiered_cost(spark, d):
     """Requests beyond a free allowance, priced by tier; and the paid share, clipped."""
