@@ -28,6 +28,7 @@ from lodestream.llm.common import cut, documents, mix, powers, prefix_hash, rows
 SIDE, WIDTH, SHINGLE = 12, 3, 5
 PERCENT = 85
 STRETCH = 1 << 21
+LONG = 256
 #: What parts words, the space and the ASCII controls from tab to carriage return.
 _GAP = np.isin(np.arange(256), [32, *range(9, 14)])
 _rng = np.random.default_rng(20240601)
@@ -54,10 +55,23 @@ def words(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low = starts[k]
         total, inverse = prefix_hash(data[low : ends[m - 1]]), powers(int(ends[m - 1] - low))[1]
         out[k:m] = (total[ends[k:m] - low] - total[starts[k:m] - low]) * inverse[starts[k:m] - low]
+        for i in k + np.flatnonzero(ends[k:m] - starts[k:m] > LONG):
+            out[i] = long_word(total, inverse, int(starts[i] - low), int(ends[i] - low))
         k = m
     return mix(out), np.searchsorted(starts, edges)
 
 
+def long_word(total: np.ndarray, inverse: np.ndarray, start: int, end: int) -> np.uint64:
+    """The hash of a word in blocks of LONG bytes, each mixed before the next. A polynomial modulo 2**64 takes crafted
+    texts of some thousand letters for one another, whatever its base; none as short as a block."""
+    at = np.arange(start, end, LONG)
+    blocks = mix((total[np.minimum(at + LONG, end)] - total[at]) * inverse[at])
+    held = np.array([end - start], np.uint64)
+    for b in blocks:
+        held = mix(held + b) * np.uint64(0x9E3779B97F4A7C15)
+    return held[0]
+
+
 def shingle_hashes(data: np.ndarray, edges: np.ndarray) -> list[np.ndarray]:
     """For each text between the edges, the sorted 64-bit hashes of its distinct 5-word shingles; of the whole sequence if there are fewer words."""
     h, ends = words(data, edges)
@@ -222,7 +236,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     reps = found.join(classes.select("same", F.col("rep").alias("doc_id")), ["same", "doc_id"], "left_semi")
     members = bucketed(reps)
     end = F.struct("doc_id", "n")
-    buckets = members.groupBy("bucket").agg(F.min(end).alias("low"), F.max(end).alias("high")).where("low.doc_id < high.doc_id")
+    members = cut(members)
+    # What Spark can split where it is skewed: a join of tables, not of an aggregate.
+    buckets = cut(members.groupBy("bucket").agg(F.min(end).alias("low"), F.max(end).alias("high")).where("low.doc_id < high.doc_id"))
     members = cut(members.join(buckets, "bucket"))
     stars = members.select("doc_id", "n", F.explode(F.array("low", "high")).alias("end")).where(F.col("doc_id") != F.col("end.doc_id")).where(can_link("n", "end.n", percent))
     stars = cut(stars.select(F.least("doc_id", "end.doc_id").alias("a"), F.greatest("doc_id", "end.doc_id").alias("b")).distinct())
@@ -232,7 +248,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     placed = members.join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     open_ = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("all")).where("parts > 1 AND all > 2")
-    rest = placed.join(open_.select("bucket", "main"), "bucket")
+    rest = placed.join(cut(open_.select("bucket", "main")), "bucket")
     rest = cut(rest.groupBy("doc_id", "component").agg(F.bool_or(F.col("component") != F.col("main")).alias("outer")))
     if not rest.isEmpty():
         linked = linked.union(verified(cut(close_pairs(rest, sets, percent).join(stars, ["a", "b"], "left_anti")), sets, percent))

@@ -444,3 +444,12 @@ def test_pipeline_matches_plain_stages(spark, tmp_path):
     assert all(r["ids"] == wanted[r["doc_id"]][1] and r["n_tokens"] == len(r["ids"]) for r in found)
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/empty/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_crafted_long_words_are_told_apart(spark):
+    """Complementary Thue-Morse words, which polynomials modulo 2**64 take for one another; and equal long words."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(4096))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"one two three four {word}"), (2, f"one two three four {other}"), (3, f"ONE two three four {word}"), (4, word + "x"), (5, other + "x")]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
