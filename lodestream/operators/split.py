@@ -48,3 +48,23 @@ def corpora(texts: DataFrame, key: str, id_column: str, text: str, order: list,
     grouped = held.groupBy(key).agg(rows.alias("_r"))
     grouped = grouped.withColumn("_parts", capped(F.transform("_r", lambda r: r.t), total))
     return grouped.select(key, F.array_join("_parts", "\n---\n").alias("corpus"), F.transform(F.slice("_r", F.lit(1), F.size("_parts")), lambda r: r.id).alias("ids"))
+
+
+def safe_reviews(reviews: DataFrame, split: DataFrame, train: bool = False, least: int = 20) -> DataFrame:
+    """Reviews with a text of ``least`` characters that no held-out pair has; with ``train``, of training pairs alone.
+
+    Reviews of users without a split are auxiliary and may be used for items.
+    """
+    pairs = split.select("user_id", "item_id", "split")
+    held = reviews.where(F.length("text") >= least)
+    if train:
+        return held.join(pairs.where("split = 'train'"), ["user_id", "item_id"], "left_semi")
+    return held.join(pairs.where("split <> 'train'"), ["user_id", "item_id"], "left_anti")
+
+
+def review_corpora(reviews: DataFrame, key: str, first: list, pieces: int, each: int, total: int) -> DataFrame:
+    """(key, corpus, ids) of each key's reviews, a review_id once, in the order of ``first``, then the longest, then by id."""
+    ties = [F.col("text").asc(), F.col("rating").asc()]
+    once = keep_first(reviews, [key, "review_id"], ties)
+    order = [*first, F.length("text").desc(), F.col("review_id").asc()]
+    return corpora(once, key, "review_id", "text", order, pieces, each, total)

@@ -6,15 +6,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestream.functions import expr
+from lodestream.operators import bundles, negatives, neighbours
 from lodestream.operators import graph as G
-from lodestream.operators import negatives, neighbours
 from lodestream.operators import relational as R
 from lodestream.operators import split as S
 from lodestream.operators.ranges import numbered
+from lodestream.plans.features import SAFE_SQL, corpora_sql, item_corpora
 from lodestream.plans.registry import query
 from lodestream.sources import files
-from lodestream.sources.shared import shared_dir
-from lodestream.sources.tables import TIES, VISITS_SQL, table, visits
+from lodestream.sources.shared import shared_dir, written
+from lodestream.sources.tables import TIES, VISITS_SQL, reviews, table, visits
 
 SPLIT_SQL = f"""{VISITS_SQL},
 once AS (SELECT * FROM visits QUALIFY row_number() OVER (PARTITION BY user_id, item_id ORDER BY ts DESC NULLS LAST, {", ".join(TIES)}) = 1),
@@ -35,39 +36,83 @@ def dm28_dm29_evidence_gate(spark, d):
     return e.groupBy("source", "tag").agg(F.round(F.avg(F.col("known").cast("int")), 6).alias("before"), F.round(F.avg((F.col("known") & F.col("found")).cast("int")), 6).alias("after"), F.count_if("found").alias("positives"))
 
 
-_BUNDLE_SQL = f"""{SPLIT_SQL}, h AS (SELECT user_id, item_id, rating, row_number() OVER (PARTITION BY user_id ORDER BY rating DESC, split_rank) AS k FROM train),
-  u AS (SELECT user_id, count(*) AS n, avg(rating) AS m FROM train GROUP BY user_id), t AS (SELECT user_id, item_id FROM ranked WHERE split_rank = 0),
-  nodes AS (SELECT user_id, 'H' || k AS id, 'history' AS kind, 'part ' || item_id AS entity, 'rated part ' || item_id || ' ' || rating AS fact FROM h WHERE k <= 3
-    UNION ALL SELECT user_id, 'U1', 'user', 'user ' || user_id, 'user ' || user_id || ' rated ' || n || ' parts' FROM u
-    UNION ALL SELECT t.user_id, 'R1', 'item', 'part ' || item_id, CASE WHEN item_id % 50 = 0 THEN 'no name' ELSE 'part ' || item_id || ' is ' || p_brand END FROM t JOIN part ON p_partkey = item_id
-    UNION ALL SELECT t.user_id, 'R1', 'item', '', 'repeated' FROM t WHERE user_id % 40 = 0)"""
+ATTRIBUTES = ["value", "noise", "wait", "spice", "quiet", "price"]
+HIGH_ONLY, BOTH_WAYS = ["value", "spice"], ["noise", "quiet", "price"]
 
 
-def bundle_nodes(spark, d):
-    """(user_id, id, kind, entity, fact): history, user and item nodes; nothing of the held-out visit but the item that is explained."""
-    s = S.leave_two_out(visits(spark, d)).select("user_id", "item_id", "rating", "split_rank")
-    train, t = s.where("split_rank >= 2"), s.where("split_rank = 0").select("user_id", "item_id")
-    h = train.withColumn("k", F.row_number().over(W.partitionBy("user_id").orderBy(F.col("rating").desc(), "split_rank"))).where("k <= 3")
-    nodes = h.selectExpr("user_id", "concat('H', k) AS id", "'history' AS kind", "concat('part ', item_id) AS entity", "concat('rated part ', item_id, ' ', rating) AS fact")
-    nodes = nodes.union(train.groupBy("user_id").agg(F.count("*").alias("n")).selectExpr("user_id", "'U1'", "'user'", "concat('user ', user_id)", "concat('user ', user_id, ' rated ', n, ' parts')"))
-    p = table(spark, d, "part").selectExpr("p_partkey AS item_id", "p_brand")
-    nodes = nodes.union(t.join(p, "item_id").selectExpr("user_id", "'R1'", "'item'", "concat('part ', item_id)", "CASE WHEN item_id % 50 = 0 THEN 'no name' ELSE concat('part ', item_id, ' is ', p_brand) END"))
-    return nodes.union(t.where("user_id % 40 = 0").selectExpr("user_id", "'R1'", "'item'", "''", "'repeated'"))
-
-
-@query(f"WITH {_BUNDLE_SQL} SELECT user_id, count(*) AS n, string_agg(id || '=' || fact, '; ' ORDER BY id, fact) AS bundle FROM nodes GROUP BY user_id")
-def dm26_evidence_bundles(spark, d):
-    """The nodes of each user's bundle, in order."""
-    b = bundle_nodes(spark, d).groupBy("user_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("id", "fact"))).alias("x"))
-    return b.select("user_id", "n", F.array_join(F.transform("x", lambda x: F.concat(x.id, F.lit("="), x.fact)), "; ").alias("bundle"))
+def _values_sql(key: str, source: str, a: int, b: int) -> str:
+    each = ", ".join(f"({k}, '{n}')" for k, n in enumerate(ATTRIBUTES))
+    return f"""SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY abs(score - 50) DESC, attribute DESC) AS place FROM (
+  SELECT {key}, attribute, ({key} * (k + {a}) + {b} * k) % 101 AS score FROM ({source}), (VALUES {each}) t(k, attribute) WHERE ({key} + k) % 4 <> 0) QUALIFY place <= 4"""
+
+
+def values(df, key, a, b):
+    """Scores of 0 to 100 of the attributes, some of them unknown."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("attribute")) for k, n in enumerate(ATTRIBUTES)]))
+    score = F.when((F.col(key) + F.col("x.k")) % 4 != 0, (F.col(key) * (F.col("x.k") + a) + b * F.col("x.k")) % 101)
+    return df.select(key, each.alias("x")).select(key, F.col("x.attribute").alias("attribute"), score.alias("score"))
 
 
-@query(f"WITH {_BUNDLE_SQL}, v AS (SELECT user_id, count(*) - count(DISTINCT id) AS repeated, count(*) FILTER (entity = '') AS nameless, count(*) FILTER (entity <> '' AND NOT contains(fact, entity)) AS silent FROM nodes GROUP BY user_id) SELECT user_id, repeated, nameless, silent, repeated + nameless + silent = 0 AS valid FROM v")
+_LOW = f"least(u.score, i.score) / 100.0 >= 0.65 AND i.attribute IN ({', '.join(repr(x) for x in HIGH_ONLY + BOTH_WAYS)}) OR greatest(u.score, i.score) / 100.0 <= 0.35 AND i.attribute IN ({', '.join(repr(x) for x in BOTH_WAYS)})"
+_BUNDLE_SQL = f"""{SAFE_SQL}, {corpora_sql("safe", "item_id", "reviewer_reviews DESC,")},
+items AS (SELECT p_partkey AS item_id, p_name || ' ' || p_partkey AS name, p_type AS category, p_type || ' of size ' || p_size AS about FROM part),
+t AS (SELECT user_id, item_id, name, category, about FROM ranked JOIN items USING (item_id) WHERE split_rank = 0),
+h AS (SELECT k.user_id, k.item_id, i.name, i.category, k.rating, l_orderkey || '-' || l_linenumber || '-' || l_suppkey || '-' || l_quantity::INTEGER AS review_id, i.category = t.category AS shared, t.name AS target,
+  row_number() OVER (PARTITION BY k.user_id ORDER BY i.category = t.category DESC, k.rating DESC, split_rank, k.item_id) AS place FROM ranked k JOIN items i ON i.item_id = k.item_id JOIN t ON t.user_id = k.user_id WHERE split_rank >= 2 QUALIFY place <= 6),
+uv AS ({_values_sql("user_id", "SELECT DISTINCT user_id FROM t", 3, 17)}),
+iv AS ({_values_sql("item_id", "SELECT item_id FROM items", 5, 31)}),
+liked AS (SELECT user_id, arg_min({{'fact': 'liked ' || name || ', a ' || category || ' as is ' || target, 'source': 'H' || place || ' and R1'}}, place) AS x FROM h WHERE shared AND rating >= 4 GROUP BY user_id),
+both_ AS (SELECT t.user_id, arg_min({{'fact': 'both lean to ' || i.attribute || ' (' || u.score || ', ' || i.score || ')', 'source': 'attributes'}}, i.place) AS x FROM t JOIN iv i ON i.item_id = t.item_id JOIN uv u ON u.user_id = t.user_id AND u.attribute = i.attribute
+  WHERE abs(u.score - i.score) <= 25 AND ({_LOW}) GROUP BY t.user_id),
+q AS (SELECT item_id, review_id, text, row_number() OVER (PARTITION BY item_id ORDER BY rating DESC, review_id DESC, text DESC) AS place FROM (
+  SELECT s.item_id, s.review_id, s.rating, s.text FROM (SELECT * FROM safe QUALIFY row_number() OVER (PARTITION BY item_id, review_id ORDER BY text, rating) = 1) s JOIN c2 ON c2.item_id = s.item_id AND c2.review_id = s.review_id AND used < 400) QUALIFY place <= 3),
+nodes AS (SELECT user_id, 'R1' AS id, 'metadata' AS kind, name AS entity, 'item' AS entity_type, name || ' is ' || about AS fact, 'items' AS source FROM t
+  UNION ALL SELECT user_id, 'H' || place, 'history', name, 'history item', 'rated ' || name || ' (' || category || ') ' || rating, review_id FROM h
+  UNION ALL SELECT user_id, 'U' || place, 'user attribute', 'the user', 'user', 'leans to ' || attribute || ' ' || score, 'model' FROM uv
+  UNION ALL SELECT user_id, 'A' || place, 'item attribute', name, 'item', name || ' has ' || attribute || ' ' || score, 'model' FROM t JOIN iv USING (item_id)
+  UNION ALL SELECT user_id, 'M1', 'match', 'the user and ' || name, 'relation', coalesce(l.x, b.x).fact, coalesce(l.x, b.x).source FROM t LEFT JOIN liked l USING (user_id) LEFT JOIN both_ b USING (user_id) WHERE l.x IS NOT NULL OR b.x IS NOT NULL
+  UNION ALL SELECT user_id, 'Q' || place, 'excerpt', name, 'item', 'a reviewer of ' || name || ' wrote: ' || substr(text, 1, 350), review_id FROM t JOIN q USING (item_id))"""
+
+
+def bundle_nodes(spark, d):
+    """The nodes of a bundle for every user's test item, and the reviews of held-out pairs."""
+    split = written(S.leave_two_out(visits(spark, d)))
+    review_id = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_suppkey")], F.col("l_quantity").cast("int").cast("string"))
+    history = split.where("split = 'train'").select("user_id", "item_id", "rating", "split_rank", review_id.alias("review_id"))
+    part = table(spark, d, "part")
+    items = part.select(F.col("p_partkey").alias("item_id"), F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("name"), F.col("p_type").alias("category"), F.concat("p_type", F.lit(" of size "), F.col("p_size").cast("string")).alias("about"))
+    safe = S.safe_reviews(reviews(spark, d), split)
+    sources = item_corpora(spark, d, split).select("item_id", F.explode("ids").alias("review_id"))
+    quotes = R.keep_first(safe, ["item_id", "review_id"], [F.col("text").asc(), F.col("rating").asc()]).join(sources, ["item_id", "review_id"], "left_semi").select("item_id", "review_id", "rating", "text")
+    users = values(split.select("user_id").distinct(), "user_id", 3, 17)
+    nodes = bundles.assemble(split.where("split = 'test'"), history, items, users, values(items, "item_id", 5, 31), quotes, HIGH_ONLY, BOTH_WAYS)
+    held_out = split.where("split <> 'train'").select("user_id", review_id.alias("review_id"))
+    return nodes, held_out
+
+
+@query(f"WITH {_BUNDLE_SQL} SELECT user_id, count(*) AS n, md5(string_agg(id || '=' || kind || '=' || entity || '=' || fact || '=' || source, '; ' ORDER BY id)) AS bundle FROM nodes GROUP BY user_id")
+def dm26_evidence_bundles(spark, d):
+    """Each user's bundle of item, history, attributes of both, match and excerpts."""
+    nodes, _ = bundle_nodes(spark, d)
+    b = nodes.groupBy("user_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("id", "kind", "entity", "fact", "source"))).alias("x"))
+    line = lambda x: F.concat_ws("=", x["id"], x["kind"], x["entity"], x["fact"], x["source"])
+    return b.select("user_id", "n", F.md5(F.array_join(F.transform("x", line), "; ").cast("binary")).alias("bundle"))
+
+
+@query(f"""WITH {_BUNDLE_SQL}, held AS (SELECT user_id, l_orderkey || '-' || l_linenumber || '-' || l_suppkey || '-' || l_quantity::INTEGER AS review_id FROM ranked WHERE split_rank < 2),
+bad AS (SELECT * FROM nodes UNION ALL SELECT user_id, 'R1', 'metadata', '', 'item', 'nothing', 'items' FROM t WHERE user_id % 40 = 0
+  UNION ALL SELECT user_id, 'Q9', 'excerpt', name, 'item', 'it was good', 'none' FROM t WHERE user_id % 30 = 0 UNION ALL SELECT user_id, 'Q8', 'excerpt', 'x', 'item', 'x was good', min(review_id) FROM held WHERE user_id % 25 = 0 GROUP BY user_id),
+v AS (SELECT user_id, count(*) - count(DISTINCT id) AS repeated, count(*) FILTER (entity = '' OR entity_type = '') AS nameless, count(*) FILTER (kind = 'excerpt' AND NOT contains(fact, entity)) AS silent, count(*) FILTER (source IN (SELECT review_id FROM held)) AS leaked FROM bad GROUP BY user_id)
+SELECT *, repeated + nameless + silent + leaked = 0 AS valid FROM v""")
 def dm27_bundle_validation(spark, d):
-    """What is wrong with each bundle: ids twice, no entity, facts that do not name theirs."""
-    g = bundle_nodes(spark, d).groupBy("user_id", "id").agg(F.count("*").alias("n"), F.count_if(F.col("entity") == "").alias("e"), F.count_if((F.col("entity") != "") & ~F.contains("fact", "entity")).alias("s"))
-    v = g.groupBy("user_id").agg((F.sum("n") - F.count("*")).alias("repeated"), F.sum("e").alias("nameless"), F.sum("s").alias("silent"))
-    return v.withColumn("valid", F.col("repeated") + F.col("nameless") + F.col("silent") == 0)
+    """What is wrong with bundles into which faults of each kind were put: ids twice, no entity, excerpts that name none, held-out sources."""
+    nodes, held = bundle_nodes(spark, d)
+    of = nodes.where("id = 'R1'").select("user_id", "entity")
+    make = lambda df, id_, kind, entity, fact, source: df.select("user_id", F.lit(id_).alias("id"), F.lit(kind).alias("kind"), entity.alias("entity"), F.lit("item").alias("entity_type"), F.lit("").alias("entity_id"), F.lit(fact).alias("fact"), source.alias("source"))
+    bad = nodes.unionByName(make(of.where("user_id % 40 = 0"), "R1", "metadata", F.lit(""), "nothing", F.lit("items")))
+    bad = bad.unionByName(make(of.where("user_id % 30 = 0"), "Q9", "excerpt", F.col("entity"), "it was good", F.lit("none")))
+    leak = held.where("user_id % 25 = 0").groupBy("user_id").agg(F.min("review_id").alias("review_id"))
+    return bundles.validate(bad.unionByName(make(leak, "Q8", "excerpt", F.lit("x"), "x was good", F.col("review_id"))), held)
 
 
 @query("WITH o AS (SELECT o_custkey AS k FROM orders WHERE o_orderkey % 50 <> 0), c AS (SELECT c_custkey AS k, c_acctbal AS x, c_mktsegment AS s FROM customer), i AS (SELECT 'without_orders' AS issue, k FROM c WHERE k NOT IN (SELECT k FROM o WHERE k IS NOT NULL) UNION ALL SELECT 'unknown_customer', k FROM (SELECT DISTINCT k FROM o) WHERE k NOT IN (SELECT k FROM c) UNION ALL SELECT 'negative', k FROM c WHERE x < 0 UNION ALL SELECT 'no_segment', k FROM c WHERE s IS NULL), n AS (SELECT issue, count(*) AS n, min(k) AS first FROM i GROUP BY issue), a AS (SELECT unnest(['without_orders', 'unknown_customer', 'negative', 'no_segment']) AS issue) SELECT issue, coalesce(n, 0) AS n, first, coalesce(n, 0) = 0 AS ready FROM a LEFT JOIN n USING (issue)")

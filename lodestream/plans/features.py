@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from lodestream.operators import relational as R
 from lodestream.operators import split as S
 from lodestream.plans.registry import query
-from lodestream.sources.tables import TIES, VISITS_SQL, table, visits
+from lodestream.sources.shared import written
+from lodestream.sources.tables import REVIEWS_SQL, TIES, VISITS_SQL, reviews, table, visits
 
 #: The day from which ages are counted.
 DAY = "2030-01-01"
@@ -131,14 +132,6 @@ def prj4_dm34_activity_bands(spark, d):
     return b.crossJoin(F.broadcast(total)).select("band", "users", "reviews", F.round(F.col("users") / F.col("all"), 6).alias("share"), "mean")
 
 
-@query("WITH c AS (SELECT vec_id % 60 AS user_id, embedding[1]::DOUBLE * 10 AS lat, embedding[2]::DOUBLE * 10 AS lng FROM embeddings WHERE vec_id % 7 <> 0) SELECT user_id, round(median(lat), 6) AS lat, round(median(lng), 6) AS lng, count(*) AS n FROM c GROUP BY user_id")
-def dm19_home_points(spark, d):
-    """A user's home: the median of the places in train."""
-    e = F.col("embedding")
-    c = table(spark, d, "embeddings").where("vec_id % 7 <> 0").select((F.col("vec_id") % 60).alias("user_id"), (e[0].cast("double") * 10).alias("lat"), (e[1].cast("double") * 10).alias("lng"))
-    return R.medians(c, ["user_id"], ["lat", "lng"]).select("user_id", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), "n")
-
-
 @query(f"WITH {VISITS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY ts DESC NULLS LAST, {', '.join(TIES)}) AS k FROM visits), r AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, item_id) - 1 AS rank, count(*) OVER (PARTITION BY user_id) AS n FROM o WHERE k = 1) SELECT user_id, item_id, CASE WHEN rank = 0 THEN 'test' ELSE 'train' END AS split FROM r WHERE n >= 3 AND (rank > 0 OR item_id % 2 = 0)")
 def dm2_leave_one_out(spark, d):
     """The older split: three places at least, the newest is test, and test places can be kept to a given set."""
@@ -154,14 +147,51 @@ def dm3_jn20_encoder(spark, d):
     return c.join(e, "id", "left").select("id", "idx", F.when(F.col("idx").isNotNull(), F.col("c_acctbal")).otherwise(0.0).alias("value"))
 
 
-_CLEAN = "trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))"
+SPLIT_SQL = f"""once AS (SELECT * FROM visits QUALIFY row_number() OVER (PARTITION BY user_id, item_id ORDER BY ts DESC NULLS LAST, {", ".join(TIES)}) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, item_id) - 1 AS split_rank FROM once QUALIFY count(*) OVER (PARTITION BY user_id) >= 4)"""
+#: What may be read of an item: no review of a held-out pair; and of a user: reviews of training pairs.
+SAFE_SQL = f"""{REVIEWS_SQL}, {SPLIT_SQL},
+safe AS (SELECT r.* FROM reviews r LEFT JOIN ranked k ON k.user_id = r.user_id AND k.item_id = r.item_id WHERE length(r.text) >= 20 AND coalesce(k.split_rank, 2) >= 2),
+known AS (SELECT r.* FROM reviews r JOIN ranked k ON k.user_id = r.user_id AND k.item_id = r.item_id WHERE length(r.text) >= 20 AND k.split_rank >= 2)"""
+
+
+def corpora_sql(source: str, key: str, first: str) -> str:
+    """Tables of the corpus's pieces (key, review_id, k, t) and of how much of each is in."""
+    return f"""c0 AS (SELECT {key}, review_id, reviewer_reviews, text FROM {source} QUALIFY row_number() OVER (PARTITION BY {key}, review_id ORDER BY text, rating) = 1),
+c1 AS (SELECT {key}, review_id, row_number() OVER (PARTITION BY {key} ORDER BY {first} length(text) DESC, review_id) AS k, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 900) AS t FROM c0),
+c2 AS (SELECT *, coalesce(sum(length(t)) OVER (PARTITION BY {key} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM c1 WHERE k <= 8)"""
+
+
+def _corpus_query(source: str, key: str, first: str, total: int) -> str:
+    return f"""WITH {SAFE_SQL}, {corpora_sql(source, key, first)}
+SELECT {key}, md5(string_agg(substr(t, 1, ({total} - used)::INTEGER), chr(10) || '---' || chr(10) ORDER BY k)) AS corpus, string_agg(review_id, ',' ORDER BY k) AS ids, count(*) AS n FROM c2 WHERE used < {total} GROUP BY {key}"""
+
 
+def _digest(c, key):
+    return c.select(key, F.md5(F.col("corpus").cast("binary")).alias("corpus"), F.array_join("ids", ",").alias("ids"), F.size("ids").cast("bigint").alias("n"))
 
-@query(f"WITH r AS (SELECT source, doc_id, {_CLEAN} AS t, row_number() OVER (PARTITION BY source ORDER BY length({_CLEAN}) DESC, doc_id) AS k FROM documents WHERE text IS NOT NULL AND length(text) >= 20 AND doc_id % 10 <> 0), p AS (SELECT source, doc_id, k, substr(t, 1, 900) AS t FROM r WHERE k <= 8 AND t <> ''), "
-       "u AS (SELECT *, coalesce(sum(length(t)) OVER (PARTITION BY source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM p) SELECT source, md5(string_agg(substr(t, 1, (4000 - used)::INTEGER), chr(10) || '---' || chr(10) ORDER BY k)) AS corpus, string_agg(doc_id::VARCHAR, ',' ORDER BY k) AS ids, count(*) AS n FROM u WHERE used < 4000 GROUP BY source")
-def dm5_dm6_corpora(spark, d):
-    """Bounded corpora: the longest texts first, eight pieces of 900 characters, 4,000 in all (FLT6, SF27, TK1)."""
-    docs = table(spark, d, "documents").where("text IS NOT NULL AND length(text) >= 20 AND doc_id % 10 <> 0")
-    clean = F.trim(F.regexp_replace("text", r"\s+", " "))
-    out = S.corpora(docs.withColumn("_n", F.length(clean)), "source", "doc_id", "text", [F.col("_n").desc_nulls_last(), F.col("doc_id").asc()], pieces=8, each=900, total=4000)
-    return out.select("source", F.md5(F.col("corpus").cast("binary")).alias("corpus"), F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), F.size("ids").cast("bigint").alias("n"))
+
+def item_corpora(spark, d, split):
+    return S.review_corpora(S.safe_reviews(reviews(spark, d), split), "item_id", [F.col("reviewer_reviews").desc()], 8, 900, 400)
+
+
+@query(_corpus_query("safe", "item_id", "reviewer_reviews DESC,", 400))
+def dm5_item_corpora(spark, d):
+    """An item's bounded corpus of training and auxiliary reviews, those of busy reviewers first (FLT6, SF27, TK1)."""
+    return _digest(item_corpora(spark, d, S.leave_two_out(visits(spark, d))), "item_id")
+
+
+@query(_corpus_query("known", "user_id", "", 300))
+def dm6_user_corpora(spark, d):
+    """A user's bounded corpus of training reviews alone, the longest first."""
+    split = S.leave_two_out(visits(spark, d))
+    return _digest(S.review_corpora(S.safe_reviews(reviews(spark, d), split, True), "user_id", [], 8, 900, 300), "user_id")
+
+
+@query(f"""WITH {VISITS_SQL}, {SPLIT_SQL}, spots AS (SELECT s_suppkey, s_acctbal / 100 - 50 AS lat, (s_suppkey * 37 % 360 - 180)::DOUBLE AS lng FROM supplier)
+SELECT user_id, round(median(lat), 6) AS lat, round(median(lng), 6) AS lng, count(*) AS n FROM ranked JOIN spots ON l_suppkey = s_suppkey WHERE split_rank >= 2 GROUP BY user_id""")
+def dm19_home_points(spark, d):
+    """A user's home: the median of the places of training visits."""
+    at = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_acctbal") / 100 - 50).alias("lat"), (F.col("s_suppkey") * 37 % 360 - 180).cast("double").alias("lng"))
+    train = S.leave_two_out(visits(spark, d)).where("split = 'train'").select("user_id", "l_suppkey")
+    return R.medians(written(train.join(at, "l_suppkey")), ["user_id"], ["lat", "lng"]).select("user_id", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), "n")

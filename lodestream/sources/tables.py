@@ -24,3 +24,18 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same as SQL.
 VISITS_SQL = """visits AS (SELECT o_custkey AS user_id, l_partkey AS item_id, o_orderdate AS ts, 1 + CAST(l_quantity AS INTEGER) % 5 AS rating,
   l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visits as reviews: (review_id, text, reviewer_reviews) beside the columns of visits; some have no text or a short one."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), "p_name", "p_brand")
+    v = visits(spark, sf_dir)
+    text = F.when(F.col("l_linenumber") == 7, None).when(F.col("l_linenumber") == 6, "ok").otherwise(F.concat("p_name", F.lit(" of "), "p_brand", F.lit(" came with order "), F.col("l_orderkey").cast("string"), F.repeat(F.lit(" again"), F.col("l_linenumber"))))
+    review_id = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_suppkey")], F.col("l_quantity").cast("int").cast("string"))
+    many = v.groupBy("user_id").agg(F.count("*").alias("reviewer_reviews"))
+    return v.join(part, "item_id").join(many, "user_id").select(*v.columns, review_id.alias("review_id"), text.alias("text"), "reviewer_reviews")
+
+
+REVIEWS_SQL = f"""{VISITS_SQL}, reviews AS (SELECT v.*, l_orderkey || '-' || l_linenumber || '-' || l_suppkey || '-' || l_quantity::INTEGER AS review_id,
+  CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linenumber = 6 THEN 'ok' ELSE p_name || ' of ' || p_brand || ' came with order ' || l_orderkey || repeat(' again', l_linenumber) END AS text,
+  count(*) OVER (PARTITION BY user_id) AS reviewer_reviews FROM visits v JOIN part ON item_id = p_partkey)"""
