@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.functions.expr import EARTH_KM, haversine
+from lodestream.sources.shared import written
 
 #: So many parts a cell's points are dealt into, so that a dense cell is joined by many tasks.
 SALTS = 8
@@ -46,3 +47,23 @@ def near_count(points: DataFrame, km: float, keys: list[str] | None = None) -> D
     """(id, near): the other points within km of each, 0 where there are none."""
     n = near_pairs(points, points, km, keys).groupBy("id").agg(F.count("*").alias("near"))
     return points.select("id").join(n, "id", "left").select("id", F.coalesce("near", F.lit(0)).alias("near"))
+
+
+#: So many points of a key meet so many others in one place.
+PART = 512
+
+
+def pair_spread(points: DataFrame, key: str) -> DataFrame:
+    """(key, n, mean, far) of the distances of the unordered pairs of each key's points (key, id, lat, lng); ids are distinct.
+
+    A key's points are dealt into parts of PART, and each part meets each: a key of n points is (n / PART) squared groups
+    of bounded size, whose pairs are summed where they are made.
+    """
+    points = written(points)
+    parts = written(points.groupBy(key).agg(F.ceil(F.count("*") / PART).alias("_parts")))
+    held = points.join(parts, key).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_parts")))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1))
+    side = lambda n, a, b: held.withColumn("_each", every).select(key, F.col("_own").alias(a), F.col("_each").alias(b), *[F.col(c).alias(f"_{c}{n}") for c in ("id", "lat", "lng")])
+    pairs = side(1, "_a", "_b").join(side(2, "_b", "_a"), [key, "_a", "_b"]).where("_id1 < _id2")
+    km = haversine(F.col("_lat1"), F.col("_lng1"), F.col("_lat2"), F.col("_lng2"))
+    return pairs.groupBy(key).agg(F.count("*").alias("n"), F.avg(km).alias("mean"), F.max(km).alias("far"))

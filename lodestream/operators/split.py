@@ -19,10 +19,10 @@ def newest_visits(visits: DataFrame) -> DataFrame:
 def leave_two_out(visits: DataFrame, least: int = 4) -> DataFrame:
     """Adds split_rank and split: the newest place is test, the next validation, the others train.
 
-    Counting and ranking share the dedupe's hash partitioning by user, so there is one shuffle.
+    Visits without a user (null or empty), an item or a rating are left out. Counting and ranking share the dedupe's hash partitioning by user, so there is one shuffle.
     """
     own = W.partitionBy("user_id")
-    once = newest_visits(visits.where("user_id IS NOT NULL AND item_id IS NOT NULL AND rating IS NOT NULL").repartition("user_id"))
+    once = newest_visits(visits.where("user_id IS NOT NULL AND string(user_id) <> '' AND item_id IS NOT NULL AND rating IS NOT NULL").repartition("user_id"))
     ranked = once.withColumn("_n", F.count("*").over(own)).where(F.col("_n") >= least).withColumn("split_rank", F.row_number().over(own.orderBy(F.col("ts").desc_nulls_last(), "item_id")) - 1)
     return ranked.withColumn("split", F.when(F.col("split_rank") == 0, "test").when(F.col("split_rank") == 1, "validation").otherwise("train")).drop("_n")
 

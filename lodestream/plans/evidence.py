@@ -154,13 +154,13 @@ def dm38_reasons(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.array_join(F.slice(reasons, 1, 3), ",").alias("reasons"))
 
 
-_TRIPLES_SQL = "t AS (SELECT 'part:' || p_partkey AS head, 'type' AS rel, 'type:' || p_type AS tail FROM part UNION ALL SELECT 'part:' || p_partkey, 'price', 'price:' || (p_size // 10) FROM part UNION ALL SELECT 'supplier:' || s_suppkey, 'in', 'nation:' || s_nationkey FROM supplier UNION ALL SELECT 'nation:' || n_nationkey, 'in', 'region:' || n_regionkey FROM nation UNION ALL SELECT DISTINCT 'part:' || l_partkey, 'from', 'supplier:' || l_suppkey FROM lineitem WHERE l_partkey % 10 = 0)"
+_TRIPLES_SQL = "t AS (SELECT 'part:' || p_partkey AS head, 'type' AS rel, 'type:' || p_type AS tail FROM part UNION ALL SELECT 'part:' || p_partkey, 'price', 'price:' || (p_size // 10) FROM part UNION ALL SELECT 'supplier:' || s_suppkey, 'in', 'nation:' || s_nationkey FROM supplier UNION ALL SELECT 'nation:' || n_nationkey, 'in', 'region:' || n_regionkey FROM nation UNION ALL SELECT DISTINCT 'part:' || l_partkey, 'from', 'supplier:' || l_suppkey FROM lineitem)"
 
 
 def triples(spark, d):
     """(head, rel, tail) with typed names; an edge is there only if both its ends are."""
     part, supplier = table(spark, d, "part"), table(spark, d, "supplier")
-    sold = table(spark, d, "lineitem").where("l_partkey % 10 = 0").select("l_partkey", "l_suppkey").distinct()
+    sold = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
     sold = sold.join(part, F.col("l_partkey") == F.col("p_partkey"), "left_semi").join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
     kinds = [part.selectExpr("concat('part:', p_partkey) AS head", "'type' AS rel", "concat('type:', p_type) AS tail"), part.selectExpr("concat('part:', p_partkey)", "'price'", "concat('price:', p_size div 10)"), supplier.selectExpr("concat('supplier:', s_suppkey)", "'in'", "concat('nation:', s_nationkey)"), table(spark, d, "nation").selectExpr("concat('nation:', n_nationkey)", "'in'", "concat('region:', n_regionkey)"), sold.selectExpr("concat('part:', l_partkey)", "'from'", "concat('supplier:', l_suppkey)")]
     out = kinds[0]
@@ -182,11 +182,11 @@ def ag45_graph_counts(spark, d):
     return t.select(F.lit("edge").alias("what"), F.col("rel").alias("kind")).union(nodes).groupBy("what", "kind").agg(F.count("*").alias("n"))
 
 
-_EDGES_SQL = "e0 AS (SELECT DISTINCT c_nationkey AS a, 100 + c_custkey % 40 AS b FROM customer WHERE c_custkey < 300), e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0), g AS (SELECT a, count(*) AS n FROM e GROUP BY a), w AS (SELECT e.a, e.b, 1 / sqrt(x.n * y.n) AS w FROM e JOIN g x ON x.a = e.a JOIN g y ON y.a = e.b), v0 AS (SELECT a AS id, i, (a * 7 + i * 3) % 11 / 11 AS x FROM g, (VALUES (0), (1)) t(i))"
+_EDGES_SQL = "e0 AS (SELECT DISTINCT c_nationkey AS a, 100 + c_custkey % 40 AS b FROM customer), e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0), g AS (SELECT a, count(*) AS n FROM e GROUP BY a), w AS (SELECT e.a, e.b, 1 / sqrt(x.n * y.n) AS w FROM e JOIN g x ON x.a = e.a JOIN g y ON y.a = e.b), v0 AS (SELECT a AS id, i, (a * 7 + i * 3) % 11 / 11 AS x FROM g, (VALUES (0), (1)) t(i))"
 
 
 def edges(spark, d):
-    return G.symmetric(table(spark, d, "customer").where("c_custkey < 300").selectExpr("c_nationkey AS a", "100 + c_custkey % 40 AS b").selectExpr("bigint(a) AS a", "bigint(b) AS b"))
+    return G.symmetric(table(spark, d, "customer").selectExpr("c_nationkey AS a", "100 + c_custkey % 40 AS b").selectExpr("bigint(a) AS a", "bigint(b) AS b"))
 
 
 @query(f"WITH {_EDGES_SQL}, v1 AS (SELECT w.a AS id, i, sum(w * x) AS x FROM w JOIN v0 ON id = b GROUP BY ALL), v2 AS (SELECT w.a AS id, i, sum(w * x) AS x FROM w JOIN v1 ON id = b GROUP BY ALL) SELECT id, i, round(sum(x) / 3, 6) AS x FROM (FROM v0 UNION ALL FROM v1 UNION ALL FROM v2) GROUP BY id, i")
@@ -211,7 +211,7 @@ _DRAW = "('0x' || substr(md5('n:' || user_id || ':' || k), 1, 12))::BIGINT"
 @query(f"WITH {SPLIT_SQL}, pop AS (SELECT item_id, row_number() OVER (ORDER BY count(*) DESC, item_id) - 1 AS r FROM train GROUP BY item_id), m AS (SELECT count(*) AS n, greatest(100, count(*) // 4) AS hard FROM pop), u AS (SELECT DISTINCT user_id FROM train), q AS (SELECT user_id, k, CASE WHEN k % 2 = 0 THEN {_DRAW} % hard ELSE {_DRAW} % n END AS r FROM u, m, (SELECT unnest([0,1,2,3]) AS k) kk) SELECT user_id, k, item_id FROM q JOIN pop USING (r) WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.user_id = q.user_id AND t.item_id = pop.item_id)")
 def dm17_negatives(spark, d):
     """Four draws a user, half of them from the most popular quarter (100 at least), positives rejected; draws hash the user, so they depend on no partitioning."""
-    t = S.leave_two_out(visits(spark, d)).where("split_rank >= 2").select("user_id", "item_id")
+    t = written(S.leave_two_out(visits(spark, d)).where("split_rank >= 2").select("user_id", "item_id"))
     n = t.groupBy("item_id").agg(F.count("*").alias("n"))
 
     pop = numbered(n, [F.col("n").desc(), F.col("item_id").asc()]).select("item_id", (F.col("rank") - 1).alias("r"))

@@ -60,13 +60,15 @@ def jn17_within_any(spark, d):
     return hits.agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
-@query(f"WITH {_FLAT}, pairs AS (SELECT a.label, a.id AS a, b.id AS b, {_KM} AS km FROM points a JOIN points b ON a.label = b.label AND a.id < b.id WHERE a.label < 3) SELECT label, count(*) AS n, round(avg(km), 4) AS mean, round(max(km), 4) AS far FROM pairs GROUP BY label")
+@query(f"""WITH {_FLAT}, v AS (SELECT DISTINCT o_custkey AS u, l_suppkey AS id FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+p AS (SELECT u, id, lat, lng FROM v JOIN points USING (id)), pairs AS (SELECT a.u, {_KM} AS km FROM p a JOIN p b ON a.u = b.u AND a.id < b.id)
+SELECT u AS "user", count(*) AS n, round(avg(km), 4) AS mean, round(max(km), 4) AS far FROM pairs GROUP BY u""")
 def jn7_jn8_pair_distances(spark, d):
-    """Unordered pairs of one label and their distances."""
-    p = points(spark, d).where("label < 3")
-    a, b = (p.select("label", *[F.col(c).alias(f"{c}{k}") for c in ("id", "lat", "lng")]) for k in "ab")
-    pairs = a.join(b, "label").where("ida < idb").withColumn("km", expr.haversine(F.col("lata"), F.col("lnga"), F.col("latb"), F.col("lngb")))
-    return pairs.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("km"), 4).alias("mean"), F.round(F.max("km"), 4).alias("far"))
+    """How far the places of a user lie from one another."""
+    lines, orders = table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("id")), table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user"))
+    visited = lines.join(orders, "l_orderkey").select("user", "id").distinct().join(points(spark, d).select("id", "lat", "lng"), "id")
+    s = geo.pair_spread(visited, "user")
+    return s.select("user", "n", F.round("mean", 4).alias("mean"), F.round("far", 4).alias("far"))
 
 
 @query(f"WITH {_FLAT}, c AS (SELECT label, avg(lat) AS lat, avg(lng) AS lng FROM points GROUP BY label) SELECT a.label, b.label AS other, round({_KM}, 4) AS km FROM c a JOIN c b ON a.label <> b.label QUALIFY row_number() OVER (PARTITION BY a.label ORDER BY {_KM}, b.label) <= 5")
