@@ -115,17 +115,6 @@ def dm27_bundle_validation(spark, d):
     return bundles.validate(bad.unionByName(make(leak, "Q8", "excerpt", F.lit("x"), "x was good", F.col("review_id"))), held)
 
 
-@query("WITH o AS (SELECT o_custkey AS k FROM orders WHERE o_orderkey % 50 <> 0), c AS (SELECT c_custkey AS k, c_acctbal AS x, c_mktsegment AS s FROM customer), i AS (SELECT 'without_orders' AS issue, k FROM c WHERE k NOT IN (SELECT k FROM o WHERE k IS NOT NULL) UNION ALL SELECT 'unknown_customer', k FROM (SELECT DISTINCT k FROM o) WHERE k NOT IN (SELECT k FROM c) UNION ALL SELECT 'negative', k FROM c WHERE x < 0 UNION ALL SELECT 'no_segment', k FROM c WHERE s IS NULL), n AS (SELECT issue, count(*) AS n, min(k) AS first FROM i GROUP BY issue), a AS (SELECT unnest(['without_orders', 'unknown_customer', 'negative', 'no_segment']) AS issue) SELECT issue, coalesce(n, 0) AS n, first, coalesce(n, 0) = 0 AS ready FROM a LEFT JOIN n USING (issue)")
-def dm32_freeze_audit(spark, d):
-    """Issues, how many rows have them and the first, and whether each is clear; issues without rows are listed too."""
-    o = table(spark, d, "orders").where("o_orderkey % 50 <> 0").select(F.col("o_custkey").alias("k")).distinct()
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("x"), F.col("c_mktsegment").alias("s"))
-    found = {"without_orders": c.join(o, "k", "left_anti"), "unknown_customer": o.join(c, "k", "left_anti"), "negative": c.where("x < 0"), "no_segment": c.where("s IS NULL")}
-    rows = R.union_all(*[f.select(F.lit(name).alias("issue"), "k") for name, f in found.items()]).groupBy("issue").agg(F.count("*").alias("n"), F.min("k").alias("first"))
-    names = spark.createDataFrame([(x,) for x in found], "issue string")
-    return F.broadcast(names).join(rows, "issue", "left").select("issue", F.coalesce("n", F.lit(0)).alias("n"), "first", (F.coalesce("n", F.lit(0)) == 0).alias("ready"))
-
-
 @query("WITH l AS (SELECT unnest(['c_custkey', 'c_name', 'c_phone', 'c_acctbal']) AS name), m AS (SELECT 'c_phone' AS name, 'c_mktsegment' AS now) SELECT l.name, CASE WHEN l.name IN ('c_custkey', 'c_name', 'c_acctbal') THEN l.name ELSE m.now END AS now, CASE WHEN l.name IN ('c_custkey', 'c_name', 'c_acctbal') THEN 'kept' WHEN m.now IS NOT NULL THEN 'renamed' ELSE 'gone' END AS status, CASE WHEN l.name = 'c_custkey' THEN (SELECT count(c_custkey) FROM customer) WHEN l.name = 'c_name' THEN (SELECT count(c_name) FROM customer) WHEN l.name = 'c_acctbal' THEN (SELECT count(c_acctbal) FROM customer) ELSE (SELECT count(c_mktsegment) FROM customer) END AS filled FROM l LEFT JOIN m ON l.name = m.name")
 def dm33_column_coverage(spark, d):
     """What became of each older column, and the rows that have it."""

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestream.functions import expr
+from lodestream.operators import audits as A
 from lodestream.operators import geo
 from lodestream.operators import ranges as N
 from lodestream.operators import ranking as K
@@ -111,7 +112,7 @@ def jn18_jn4_repaired_labels(spark, d):
     f = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderpriority").alias("repaired"), F.count("*").alias("n"))
     broken = r.groupBy("c_custkey").count().where("count > 1").agg(F.count("*").alias("broken"))
     label = F.when(F.col("category") != "Other", F.col("category")).otherwise(F.coalesce("repaired", F.lit("Other")))
-    return r.join(f, "c_custkey", "left").crossJoin(F.broadcast(broken)).select("c_custkey", label.alias("label"), F.coalesce("n", F.lit(0)).alias("n"), "broken")
+    return A.one_to_one(r, f, "c_custkey").crossJoin(F.broadcast(broken)).select("c_custkey", label.alias("label"), F.coalesce("n", F.lit(0)).alias("n"), "broken")
 
 
 @query("WITH w AS (SELECT c_custkey AS id, c_custkey % 5 AS v FROM customer), a AS (SELECT c_custkey AS id, c_custkey % 3 AS v FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT c_custkey AS id, c_custkey % 5 AS v FROM customer WHERE c_custkey % 7 = 0) SELECT w.id, CASE WHEN b.v = w.v THEN 'reuse_new' WHEN a.v = w.v THEN 'reuse_old' ELSE 'generate' END AS action, (a.id IS NULL AND b.id IS NULL) AS is_new FROM w LEFT JOIN a USING (id) LEFT JOIN b USING (id)")
