@@ -201,4 +201,4 @@ def so1_union_aligned(spark, d):
 
 
 from lodestream.plans import evaluation, evidence, features, parsing, places, selecting, streams  # noqa: E402, F401
-from lodestream.plans import audits, extensions  # noqa: E402, F401
+from lodestream.plans import audits, extensions, tuning  # noqa: E402, F401

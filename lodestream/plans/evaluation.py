@@ -32,7 +32,7 @@ def candidates(spark, d):
     best = K.best_items(e, q, 40, seen=seen)
     x, y = F.col("embedding")[0].cast("double") * 10, F.col("embedding")[1].cast("double") * 10
     at = e.select("vec_id", x.alias("lat"), y.alias("lng"))
-    both = best.join(at, "vec_id").join(F.broadcast(at.where("vec_id % 100 = 0").toDF("query_id", "ulat", "ulng")), "query_id")
+    both = best.join(at, "vec_id").join(at.where("vec_id % 100 = 0").toDF("query_id", "ulat", "ulng"), "query_id")
     km = F.when(F.col("vec_id") % 11 != 0, expr.haversine(F.col("ulat"), F.col("ulng"), F.col("lat"), F.col("lng")))
     return both.select(F.col("query_id").alias("user"), F.col("vec_id").alias("item"), "score", "rank", km.alias("km"))
 
