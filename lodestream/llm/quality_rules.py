@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lodestream.llm.common import WORD, documents, texts
+from lodestream.llm.common import WORD, cut, documents, texts
 
 #: The bit of each rule.
 RULES = {"too_short": 1, "repeated_words": 2, "symbols": 4, "repeated_lines": 8, "word_length": 16}
@@ -83,9 +83,21 @@ def ablations(entries: DataFrame, policy: str = "v1") -> DataFrame:
     return total.select(F.inline(each))
 
 
+def stored_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger of docs (doc_id, text) without the texts, written: policies and ablations read this table alone."""
+    return cut(ledger(docs.select("doc_id", "text")).drop("text"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verdicts = apply_policy(ledger(documents(spark, sf_dir).select("doc_id", "text")))
-    return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    entries = stored_ledger(documents(spark, sf_dir))
+    return apply_policy(entries).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bits")
+
+
+def rules_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(policy, rule, failed, alone) of each policy: what each rule rejects, and what it alone does, all from one ledger."""
+    entries = stored_ledger(documents(spark, sf_dir))
+    parts = [ablations(entries, p).withColumn("policy", F.lit(p)) for p in POLICIES]
+    return parts[0].unionByName(parts[1])
 
 
 #: Shared with the pipeline's oracle. The words are split once; the windows are counted within each document.
@@ -101,6 +113,10 @@ m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transf
   coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines FROM w JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 """
-SQL = f"""WITH {MEASURES_SQL}
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept FROM v"""
+_BITS_SQL = """b AS (SELECT *, (n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT + 8 * (10 * n_dup_lines > 3 * n_lines)::INT
+  + 16 * (word_chars < 2 * n_words OR word_chars > 20 * n_words)::INT AS bits FROM v)"""
+SQL = f"""WITH {MEASURES_SQL}, {_BITS_SQL}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, bits = 0 AS kept, bits FROM b"""
+ABLATIONS_SQL = f"""WITH {MEASURES_SQL}, {_BITS_SQL},
+masks(policy, mask, rule, bit) AS (VALUES {", ".join(f"('{p}', {mask}, '{r}', {bit})" for p, mask in POLICIES.items() for r, bit in RULES.items() if bit & mask)})
+SELECT policy, rule, count(*) FILTER (bits & bit <> 0) AS failed, count(*) FILTER (bits & mask = bit) AS alone FROM masks, b GROUP BY policy, rule"""

@@ -20,6 +20,7 @@ QUERIES = {
         conversations.op11_conversation_repair,
         importance.op12_importance_resampling,
         url_filters.op13_url_filters,
+        quality_rules.rules_ablations,
     )
 }
 SQL = {
@@ -30,4 +31,5 @@ SQL = {
     "op10_mix_sources": mixing.SQL,
     "op11_conversation_repair": conversations.SQL,
     "op13_url_filters": url_filters.SQL,
+    "rules_ablations": quality_rules.ABLATIONS_SQL,
 }
