@@ -56,7 +56,8 @@ def dm20_proximity_rerank(spark, d):
     return reranked(spark, d).select("user", "depth", "bandwidth", "alpha", "item", "place")
 
 
-@query(f"WITH {_BLEND_SQL}, h AS (SELECT depth, bandwidth, alpha, sum(1 / log2(place + 1)) AS gain, count(*) AS hits FROM best JOIN truth USING (u, item) GROUP BY ALL), m AS (SELECT g.*, (SELECT count(*) FROM truth) AS users, coalesce(hits, 0) AS hits, coalesce(gain, 0) AS gain FROM grid g LEFT JOIN h USING (depth, bandwidth, alpha)), "
+@query(f"""WITH {_BLEND_SQL}, h AS (SELECT depth, bandwidth, alpha, sum(1 / log2(place + 1)) AS gain, count(*) AS hits FROM best JOIN truth USING (u, item) GROUP BY ALL),
+m AS (SELECT g.*, (SELECT count(*) FROM truth) AS users, coalesce(hits, 0) AS hits, coalesce(gain, 0) AS gain FROM grid g LEFT JOIN h USING (depth, bandwidth, alpha)), """
        "o AS (SELECT *, round(hits / users, 6) AS hit, round(gain / users, 6) AS ndcg FROM m) SELECT depth, bandwidth, alpha, users, hit, ndcg, hit AS recall, round(hits / users / 10, 6) AS precision, row_number() OVER (ORDER BY ndcg DESC, hit DESC, depth, bandwidth, alpha) = 1 AS chosen FROM o WHERE NOT (depth = 20 AND alpha = 0.3)")
 def dm21_grid_selection(spark, d):
     """Metrics of each setting not done before (DM22), and the best: by NDCG, hits, the least depth (DM18, DM39)."""
@@ -83,7 +84,10 @@ def predictions(spark, d):
     return g.select("u", F.col("t.i").alias("target"), F.col("t.rating").alias("rating"), F.nullif(F.array_position("top", F.col("t.i")), F.lit(0)).alias("rank"), "segment")
 
 
-@query(f"WITH {_PRED_SQL}, x AS (SELECT *, rank IS NOT NULL AS hit, rating >= 4 AS liked, rating <= 2 AS disliked, coalesce(1 / log2(rank + 1), 0) AS gain FROM f) SELECT count(*) AS users, round(avg(hit::INTEGER), 6) AS hit, round(avg((hit AND liked)::INTEGER), 6) AS positive_hit, round(avg((hit AND NOT liked AND NOT disliked)::INTEGER), 6) AS neutral_hit, round(avg((hit AND disliked)::INTEGER), 6) AS disliked_hit, round(avg(gain * liked::INTEGER), 6) AS positive_dcg, "
+@query(f"""WITH {_PRED_SQL}, x AS (SELECT *, rank IS NOT NULL AS hit, rating >= 4 AS liked, rating <= 2 AS disliked, coalesce(1 / log2(rank + 1), 0) AS gain FROM f)
+SELECT count(*) AS users, round(avg(hit::INTEGER), 6) AS hit, round(avg((hit AND liked)::INTEGER), 6) AS positive_hit,
+  round(avg((hit AND NOT liked AND NOT disliked)::INTEGER), 6) AS neutral_hit, round(avg((hit AND disliked)::INTEGER), 6) AS disliked_hit,
+  round(avg(gain * liked::INTEGER), 6) AS positive_dcg, """
        "round(avg(gain * CASE WHEN liked THEN 1 WHEN disliked THEN -1 ELSE 0 END), 6) AS signed_utility, round(avg(liked::INTEGER), 6) AS liked_share, round(avg(liked::INTEGER) FILTER (hit), 6) AS liked_among_hits, round(avg(disliked::INTEGER) FILTER (hit), 6) AS disliked_among_hits, round(avg(rating) FILTER (hit), 6) AS rating_among_hits FROM x")
 def dm23_rating_aware(spark, d):
     """Hits by what the user thought of the target, signed gain, shares among hits (PRJ5, AG29)."""
@@ -99,7 +103,9 @@ def dm24_hits_by_rating(spark, d):
     return predictions(spark, d).groupBy("rating").agg(F.count("*").alias("targets"), F.count("rank").alias("hits"), F.round(F.count("rank") / F.count("*"), 6).alias("hit"))
 
 
-@query(f"WITH {_PRED_SQL}, s AS (SELECT unnest([0, 1, 2]) AS seed, segment, u, rank FROM f), a AS (SELECT seed, segment, count(*) AS users, avg((rank <= 10 - seed AND rank IS NOT NULL)::INTEGER) AS hit FROM s GROUP BY ALL) SELECT segment, max(users) AS users, round(avg(hit), 6) AS mean, round(coalesce(stddev_samp(hit), 0), 6) AS sd, count(*) AS seeds FROM a GROUP BY segment")
+@query(f"""WITH {_PRED_SQL}, s AS (SELECT unnest([0, 1, 2]) AS seed, segment, u, rank FROM f),
+a AS (SELECT seed, segment, count(*) AS users, avg((rank <= 10 - seed AND rank IS NOT NULL)::INTEGER) AS hit FROM s GROUP BY ALL)
+SELECT segment, max(users) AS users, round(avg(hit), 6) AS mean, round(coalesce(stddev_samp(hit), 0), 6) AS sd, count(*) AS seeds FROM a GROUP BY segment""")
 def dm25_segments(spark, d):
     """By seed and segment, then mean and spread over the seeds (AG25, AG26)."""
     s = predictions(spark, d).select(F.explode(F.array(*map(F.lit, range(3)))).alias("seed"), "segment", "rank")
@@ -107,7 +113,11 @@ def dm25_segments(spark, d):
     return a.groupBy("segment").agg(F.max("users").alias("users"), F.round(F.avg("hit"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("hit"), F.lit(0.0)), 6).alias("sd"), F.count("*").alias("seeds"))
 
 
-@query("WITH t AS (SELECT o_orderpriority AS row, o_orderstatus AS col FROM orders), r AS (SELECT row FROM t GROUP BY row ORDER BY count(*) DESC, row LIMIT 3), c AS (SELECT col FROM t GROUP BY col ORDER BY count(*) DESC, col LIMIT 2), n AS (SELECT r.row, c.col, count(t.row) AS n FROM r CROSS JOIN c LEFT JOIN t ON t.row = r.row AND t.col = c.col GROUP BY ALL) SELECT row, col, n, round(n / nullif(sum(n) OVER (PARTITION BY row), 0), 6) AS share FROM n")
+@query("""WITH t AS (SELECT o_orderpriority AS row, o_orderstatus AS col FROM orders),
+r AS (SELECT row FROM t GROUP BY row ORDER BY count(*) DESC, row LIMIT 3),
+c AS (SELECT col FROM t GROUP BY col ORDER BY count(*) DESC, col LIMIT 2),
+n AS (SELECT r.row, c.col, count(t.row) AS n FROM r CROSS JOIN c LEFT JOIN t ON t.row = r.row AND t.col = c.col GROUP BY ALL)
+SELECT row, col, n, round(n / nullif(sum(n) OVER (PARTITION BY row), 0), 6) AS share FROM n""")
 def ag27_crosstab(spark, d):
     """The most common rows against the most common columns, with shares of a row; cells without rows count 0 (TK11)."""
     t = table(spark, d, "orders").select(F.col("o_orderpriority").alias("row"), F.col("o_orderstatus").alias("col"))
@@ -120,7 +130,10 @@ def ag27_crosstab(spark, d):
 _MASK = "CASE WHEN n_chars % 4 = 0 THEN NULL ELSE n_chars % 11 / 10.0 END"
 
 
-@query(f"WITH m AS (SELECT source, ({_MASK})::DOUBLE AS x FROM documents) SELECT source, round(count(x) / count(*), 6) AS known, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS sd, round(quantile_cont(x, 0.05), 6) AS p05, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.95), 6) AS p95, round(avg((x = 0)::INTEGER), 6) AS at_0, round(avg((x = 0.5)::INTEGER), 6) AS at_half, round(avg((x = 1)::INTEGER), 6) AS at_1 FROM m GROUP BY source")
+@query(f"""WITH m AS (SELECT source, ({_MASK})::DOUBLE AS x FROM documents)
+SELECT source, round(count(x) / count(*), 6) AS known, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS sd, round(quantile_cont(x, 0.05), 6) AS p05,
+  round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.95), 6) AS p95, round(avg((x = 0)::INTEGER), 6) AS at_0, round(avg((x = 0.5)::INTEGER), 6) AS at_half,
+  round(avg((x = 1)::INTEGER), 6) AS at_1 FROM m GROUP BY source""")
 def ag31_ag34_masked_audit(spark, d):
     """Of a value that is not always known: the known share, moments, quantiles, and the shares at its ends and middle."""
     m = table(spark, d, "documents").select("source", F.expr(_MASK).cast("double").alias("x"))
@@ -131,7 +144,10 @@ def ag31_ag34_masked_audit(spark, d):
     return sums.join(q, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
 
 
-@query("WITH c AS (SELECT c_nationkey AS region, c_mktsegment = 'BUILDING' AS tagged, c_acctbal > 0 AS known FROM customer), g AS (SELECT region, count(*) AS n, sum(known::INTEGER) AS known, sum((tagged AND known)::INTEGER) AS tags FROM c GROUP BY region) SELECT region, round((known / sum(known) OVER ()) / (n / sum(n) OVER ()), 6) AS representation, round(tags / nullif(known, 0), 6) AS rate, round(tags / nullif(known, 0) / nullif(sum(tags) OVER () / sum(known) OVER (), 0), 6) AS lift FROM g")
+@query("""WITH c AS (SELECT c_nationkey AS region, c_mktsegment = 'BUILDING' AS tagged, c_acctbal > 0 AS known FROM customer),
+g AS (SELECT region, count(*) AS n, sum(known::INTEGER) AS known, sum((tagged AND known)::INTEGER) AS tags FROM c GROUP BY region)
+SELECT region, round((known / sum(known) OVER ()) / (n / sum(n) OVER ()), 6) AS representation, round(tags / nullif(known, 0), 6) AS rate,
+  round(tags / nullif(known, 0) / nullif(sum(tags) OVER () / sum(known) OVER (), 0), 6) AS lift FROM g""")
 def ag32_ag33_regions(spark, d):
     """Each region's share of what is known over its share of all, and its rate of a tag against the global rate."""
     c = table(spark, d, "customer").select(F.col("c_nationkey").alias("region"), (F.col("c_mktsegment") == "BUILDING").alias("t"), (F.col("c_acctbal") > 0).alias("k"))
@@ -143,7 +159,13 @@ def ag32_ag33_regions(spark, d):
 _JUDGED = "SELECT doc_id, n_chars % 5 + 1 AS a, CASE WHEN doc_id % 3 = 0 THEN n_chars % 5 + 1 ELSE doc_id % 5 + 1 END AS b FROM documents"
 
 
-@query(f"WITH j AS ({_JUDGED}), n AS (SELECT count(*) AS n FROM j), o AS (SELECT a, b, count(*) AS c FROM j GROUP BY ALL), ra AS (SELECT a AS v, sum(c) AS c FROM o GROUP BY a), rb AS (SELECT b AS v, sum(c) AS c FROM o GROUP BY b), num AS (SELECT sum(((a - b) / 4) ** 2 * c) AS x FROM o), den AS (SELECT sum(((ra.v - rb.v) / 4) ** 2 * ra.c * rb.c / n) AS x FROM ra, rb, n), "
+@query(f"""WITH j AS ({_JUDGED}),
+n AS (SELECT count(*) AS n FROM j),
+o AS (SELECT a, b, count(*) AS c FROM j GROUP BY ALL),
+ra AS (SELECT a AS v, sum(c) AS c FROM o GROUP BY a),
+rb AS (SELECT b AS v, sum(c) AS c FROM o GROUP BY b),
+num AS (SELECT sum(((a - b) / 4) ** 2 * c) AS x FROM o),
+den AS (SELECT sum(((ra.v - rb.v) / 4) ** 2 * ra.c * rb.c / n) AS x FROM ra, rb, n), """
        "k AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS ka, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS kb, a = b AS same FROM j) SELECT count(*) AS n, round(avg(same::INTEGER), 6) AS agreement, round(1 - avg(same::INTEGER), 6) AS disagreement, round(any_value(1 - num.x / den.x), 6) AS kappa, round(corr(ka, kb), 6) AS spearman FROM k, num, den")
 def ag36_ag38_agreement(spark, d):
     """Exact agreement, quadratic-weighted kappa and rank correlation of two judges, all from the table of their 25 pairs of marks."""
@@ -162,7 +184,11 @@ def ag36_ag38_agreement(spark, d):
 _RUNS = "SELECT doc_id % 7 AS seed, ['base', 'full'][doc_id % 2 + 1] AS cond, n_chars AS value FROM documents"
 
 
-@query(f"WITH r AS ({_RUNS}), g AS (SELECT seed, cond, avg(value) AS v FROM r WHERE NOT (seed = 3 AND cond = 'full') GROUP BY ALL), p AS (SELECT seed, max(v) FILTER (cond = 'base') AS base, max(v) FILTER (cond = 'full') AS complete FROM g GROUP BY seed) SELECT round(avg(complete - base), 4) AS mean_delta, round(stddev_samp(complete - base), 4) AS sd_delta, count(complete - base) AS pairs, (SELECT count(*) FROM (SELECT DISTINCT seed FROM r) CROSS JOIN (SELECT DISTINCT cond FROM r)) - (SELECT count(*) FROM g) AS missing FROM p")
+@query(f"""WITH r AS ({_RUNS}),
+g AS (SELECT seed, cond, avg(value) AS v FROM r WHERE NOT (seed = 3 AND cond = 'full') GROUP BY ALL),
+p AS (SELECT seed, max(v) FILTER (cond = 'base') AS base, max(v) FILTER (cond = 'full') AS complete FROM g GROUP BY seed)
+SELECT round(avg(complete - base), 4) AS mean_delta, round(stddev_samp(complete - base), 4) AS sd_delta, count(complete - base) AS pairs, (SELECT count(*) FROM (SELECT DISTINCT seed
+  FROM r) CROSS JOIN (SELECT DISTINCT cond FROM r)) - (SELECT count(*) FROM g) AS missing FROM p""")
 def ag40_ag41_paired_design(spark, d):
     """Differences of paired runs, and the cells of the design that have no run (JN22)."""
     r = table(spark, d, "documents").select((F.col("doc_id") % 7).alias("seed"), F.when(F.col("doc_id") % 2 == 0, "base").otherwise("full").alias("cond"), F.col("n_chars").alias("value"))
@@ -174,7 +200,10 @@ def ag40_ag41_paired_design(spark, d):
     return p.agg(F.round(F.avg(delta), 4).alias("mean_delta"), F.round(F.stddev_samp(delta), 4).alias("sd_delta"), F.count(delta).alias("pairs")).crossJoin(F.broadcast(missing))
 
 
-@query("WITH k AS (SELECT l_suppkey AS u, count(*) AS requests FROM lineitem GROUP BY l_suppkey), t(low, high, rate) AS (VALUES (100, 300, 32.0), (300, 600, 25.6), (600, 1000000000, 19.2)) SELECT u, round(sum(greatest(0, least(requests, high) - low) * rate / 1000)::DOUBLE, 6) AS cost, round(least(1.0, greatest(0.0, max(requests) - 100) / max(requests))::DOUBLE, 6) AS paid FROM k CROSS JOIN t GROUP BY u")
+@query("""WITH k AS (SELECT l_suppkey AS u, count(*) AS requests FROM lineitem GROUP BY l_suppkey),
+t(low, high, rate) AS (VALUES (100, 300, 32.0), (300, 600, 25.6), (600, 1000000000, 19.2))
+SELECT u, round(sum(greatest(0, least(requests, high) - low) * rate / 1000)::DOUBLE, 6) AS cost, round(least(1.0, greatest(0.0,
+  max(requests) - 100) / max(requests))::DOUBLE, 6) AS paid FROM k CROSS JOIN t GROUP BY u""")
 def ag42_ag43_tiered_cost(spark, d):
     """Requests beyond a free allowance, priced by tier; and the paid share, clipped."""
     tiers = spark.createDataFrame([(100, 300, 32.0), (300, 600, 25.6), (600, 10**9, 19.2)], "low int, high int, rate double")
@@ -182,7 +211,9 @@ def ag42_ag43_tiered_cost(spark, d):
     return k.groupBy("u").agg(F.round(F.sum(F.greatest(F.lit(0), F.least("n", "high") - F.col("low")) * F.col("rate") / 1000), 6).alias("cost"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.max("n") - F.lit(100.0)) / F.max("n")), 6).alias("paid"))
 
 
-@query("WITH c AS (SELECT o_custkey, list_sort(list_distinct(list(o_orderstatus))) AS s, count(*) AS n FROM orders GROUP BY o_custkey) SELECT o_custkey, CASE WHEN s = ['F', 'O'] THEN 'no_pending' WHEN s = ['F', 'O', 'P'] THEN 'full' WHEN len(s) = 1 THEN 'only_' || s[1] ELSE 'other' END AS label, round(ln(1 + n), 6) AS weight FROM c")
+@query("""WITH c AS (SELECT o_custkey, list_sort(list_distinct(list(o_orderstatus))) AS s, count(*) AS n FROM orders GROUP BY o_custkey)
+SELECT o_custkey, CASE WHEN s = ['F', 'O'] THEN 'no_pending' WHEN s = ['F', 'O', 'P'] THEN 'full' WHEN len(s) = 1 THEN 'only_' || s[1] ELSE 'other' END AS label,
+  round(ln(1 + n), 6) AS weight FROM c""")
 def dm40_ag44_condition_labels(spark, d):
     """A set of names to the label of its condition, whatever their order; and ln(1 + n) as a weight."""
     s = F.array_sort(F.collect_set("o_orderstatus"))

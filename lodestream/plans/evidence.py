@@ -26,7 +26,8 @@ train AS (SELECT * FROM ranked WHERE split_rank >= 2)"""
 _WORDS = {"patio": "the", "vegan": "der", "quiet": "que"}
 
 
-@query("WITH t AS (SELECT doc_id, source, lower(coalesce(text, '')) AS t, doc_id % 3 <> 0 AS known FROM documents), e AS (SELECT source, known, unnest(['patio', 'vegan', 'quiet']) AS tag, unnest([regexp_matches(t, '(^|[^a-z])the([^a-z]|$)'), regexp_matches(t, '(^|[^a-z])der([^a-z]|$)'), regexp_matches(t, '(^|[^a-z])que([^a-z]|$)')]) AS found FROM t) "
+@query("""WITH t AS (SELECT doc_id, source, lower(coalesce(text, '')) AS t, doc_id % 3 <> 0 AS known FROM documents),
+e AS (SELECT source, known, unnest(['patio', 'vegan', 'quiet']) AS tag, unnest([regexp_matches(t, '(^|[^a-z])the([^a-z]|$)'), regexp_matches(t, '(^|[^a-z])der([^a-z]|$)'), regexp_matches(t, '(^|[^a-z])que([^a-z]|$)')]) AS found FROM t) """
        "SELECT source, tag, round(avg(known::INTEGER), 6) AS before, round(avg((known AND found)::INTEGER), 6) AS after, count(*) FILTER (found) AS positives FROM e GROUP BY source, tag")
 def dm28_dm29_evidence_gate(spark, d):
     """Known only where the text says so: shares before and after; and indicators that only positive evidence sets (FLT5)."""
@@ -115,7 +116,12 @@ def dm27_bundle_validation(spark, d):
     return bundles.validate(bad.unionByName(make(leak, "Q8", "excerpt", F.lit("x"), "x was good", F.col("review_id"))), held)
 
 
-@query("WITH l AS (SELECT unnest(['c_custkey', 'c_name', 'c_phone', 'c_acctbal']) AS name), m AS (SELECT 'c_phone' AS name, 'c_mktsegment' AS now) SELECT l.name, CASE WHEN l.name IN ('c_custkey', 'c_name', 'c_acctbal') THEN l.name ELSE m.now END AS now, CASE WHEN l.name IN ('c_custkey', 'c_name', 'c_acctbal') THEN 'kept' WHEN m.now IS NOT NULL THEN 'renamed' ELSE 'gone' END AS status, CASE WHEN l.name = 'c_custkey' THEN (SELECT count(c_custkey) FROM customer) WHEN l.name = 'c_name' THEN (SELECT count(c_name) FROM customer) WHEN l.name = 'c_acctbal' THEN (SELECT count(c_acctbal) FROM customer) ELSE (SELECT count(c_mktsegment) FROM customer) END AS filled FROM l LEFT JOIN m ON l.name = m.name")
+@query("""WITH l AS (SELECT unnest(['c_custkey', 'c_name', 'c_phone', 'c_acctbal']) AS name),
+m AS (SELECT 'c_phone' AS name, 'c_mktsegment' AS now)
+SELECT l.name, CASE WHEN l.name IN ('c_custkey', 'c_name', 'c_acctbal') THEN l.name ELSE m.now END AS now,
+  CASE WHEN l.name IN ('c_custkey', 'c_name', 'c_acctbal') THEN 'kept' WHEN m.now IS NOT NULL THEN 'renamed' ELSE 'gone' END AS status,
+  CASE WHEN l.name = 'c_custkey' THEN (SELECT count(c_custkey) FROM customer) WHEN l.name = 'c_name' THEN (SELECT count(c_name)
+  FROM customer) WHEN l.name = 'c_acctbal' THEN (SELECT count(c_acctbal) FROM customer) ELSE (SELECT count(c_mktsegment) FROM customer) END AS filled FROM l LEFT JOIN m ON l.name = m.name""")
 def dm33_column_coverage(spark, d):
     """What became of each older column, and the rows that have it."""
     c, renamed = table(spark, d, "customer"), {"c_phone": "c_mktsegment"}
@@ -125,7 +131,9 @@ def dm33_column_coverage(spark, d):
     return counts.select(F.inline(F.array(*rows)))
 
 
-@query(f"WITH {VISITS_SQL}, a AS (SELECT user_id, count(*) AS n, avg(rating) AS m FROM visits GROUP BY user_id) SELECT 'all' AS grp, count(*) AS users, round(avg(n), 6) AS visits, round(avg(m), 6) AS mean FROM a UNION ALL SELECT 'active', count(*), round(avg(n), 6), round(avg(m), 6) FROM a WHERE n >= 40")
+@query(f"""WITH {VISITS_SQL}, a AS (SELECT user_id, count(*) AS n, avg(rating) AS m FROM visits GROUP BY user_id)
+SELECT 'all' AS grp, count(*) AS users, round(avg(n), 6) AS visits, round(avg(m), 6) AS mean FROM a
+  UNION ALL SELECT 'active', count(*), round(avg(n), 6), round(avg(m), 6) FROM a WHERE n >= 40""")
 def dm35_active_profile(spark, d):
     """Active users against all, from one aggregate."""
     a = visits(spark, d).groupBy("user_id").agg(F.count("*").alias("n"), F.avg("rating").alias("m"))
@@ -133,7 +141,9 @@ def dm35_active_profile(spark, d):
     return each.groupBy("grp").agg(F.count("*").alias("users"), F.round(F.avg("n"), 6).alias("visits"), F.round(F.avg("m"), 6).alias("mean"))
 
 
-@query("WITH x AS (SELECT vec_id, abs(embedding[1]::DOUBLE) * 100 AS km, label, abs(embedding[2]::DOUBLE) * 5 AS u, abs(embedding[3]::DOUBLE) * 5 AS i, 3.5 + label % 4 / 2 AS rating, vec_id AS n FROM embeddings) SELECT vec_id, array_to_string(list_filter([CASE WHEN km <= 10 THEN 'near' END, CASE WHEN label < 4 THEN 'cuisine ' || label END, CASE WHEN u > 0.6 AND i > 0.6 THEN 'taste' END, CASE WHEN rating >= 4.3 AND n >= 100 THEN 'quality' END], lambda r: r IS NOT NULL)[1:3], ',') AS reasons FROM x")
+@query("""WITH x AS (SELECT vec_id, abs(embedding[1]::DOUBLE) * 100 AS km, label, abs(embedding[2]::DOUBLE) * 5 AS u, abs(embedding[3]::DOUBLE) * 5 AS i, 3.5 + label % 4 / 2 AS rating, vec_id AS n FROM embeddings)
+SELECT vec_id, array_to_string(list_filter([CASE WHEN km <= 10 THEN 'near' END, CASE WHEN label < 4 THEN 'cuisine ' || label END, CASE WHEN u > 0.6 AND i > 0.6 THEN 'taste' END,
+  CASE WHEN rating >= 4.3 AND n >= 100 THEN 'quality' END], lambda r: r IS NOT NULL)[1:3], ',') AS reasons FROM x""")
 def dm38_reasons(spark, d):
     """Why a place is shown: near, cuisine, taste, quality; the first three that hold."""
     e = F.col("embedding")
@@ -143,7 +153,11 @@ def dm38_reasons(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.array_join(F.slice(reasons, 1, 3), ",").alias("reasons"))
 
 
-_TRIPLES_SQL = "t AS (SELECT 'part:' || p_partkey AS head, 'type' AS rel, 'type:' || p_type AS tail FROM part UNION ALL SELECT 'part:' || p_partkey, 'price', 'price:' || (p_size // 10) FROM part UNION ALL SELECT 'supplier:' || s_suppkey, 'in', 'nation:' || s_nationkey FROM supplier UNION ALL SELECT 'nation:' || n_nationkey, 'in', 'region:' || n_regionkey FROM nation UNION ALL SELECT DISTINCT 'part:' || l_partkey, 'from', 'supplier:' || l_suppkey FROM lineitem)"
+_TRIPLES_SQL = """t AS (SELECT 'part:' || p_partkey AS head, 'type' AS rel, 'type:' || p_type AS tail FROM part
+  UNION ALL SELECT 'part:' || p_partkey, 'price', 'price:' || (p_size // 10) FROM part
+  UNION ALL SELECT 'supplier:' || s_suppkey, 'in', 'nation:' || s_nationkey FROM supplier
+  UNION ALL SELECT 'nation:' || n_nationkey, 'in', 'region:' || n_regionkey FROM nation
+  UNION ALL SELECT DISTINCT 'part:' || l_partkey, 'from', 'supplier:' || l_suppkey FROM lineitem)"""
 
 
 def triples(spark, d):
@@ -163,7 +177,9 @@ def dm11_dm12_triples(spark, d):
     return triples(spark, d)
 
 
-@query(f"WITH {_TRIPLES_SQL}, k AS (SELECT 'edge' AS what, rel AS kind FROM t UNION ALL SELECT 'node', string_split(x, ':')[1] FROM (SELECT head AS x FROM t UNION SELECT tail FROM t)) SELECT what, kind, count(*) AS n FROM k GROUP BY ALL")
+@query(f"""WITH {_TRIPLES_SQL}, k AS (SELECT 'edge' AS what, rel AS kind FROM t
+  UNION ALL SELECT 'node', string_split(x, ':')[1] FROM (SELECT head AS x FROM t UNION SELECT tail FROM t))
+SELECT what, kind, count(*) AS n FROM k GROUP BY ALL""")
 def ag45_graph_counts(spark, d):
     """Nodes and edges by kind."""
     t = triples(spark, d)
@@ -171,14 +187,22 @@ def ag45_graph_counts(spark, d):
     return t.select(F.lit("edge").alias("what"), F.col("rel").alias("kind")).union(nodes).groupBy("what", "kind").agg(F.count("*").alias("n"))
 
 
-_EDGES_SQL = "e0 AS (SELECT DISTINCT c_nationkey AS a, 100 + c_custkey % 40 AS b FROM customer), e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0), g AS (SELECT a, count(*) AS n FROM e GROUP BY a), w AS (SELECT e.a, e.b, 1 / sqrt(x.n * y.n) AS w FROM e JOIN g x ON x.a = e.a JOIN g y ON y.a = e.b), v0 AS (SELECT a AS id, i, (a * 7 + i * 3) % 11 / 11 AS x FROM g, (VALUES (0), (1)) t(i))"
+_EDGES_SQL = """e0 AS (SELECT DISTINCT c_nationkey AS a, 100 + c_custkey % 40 AS b FROM customer),
+e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0),
+g AS (SELECT a, count(*) AS n FROM e GROUP BY a),
+w AS (SELECT e.a, e.b, 1 / sqrt(x.n * y.n) AS w FROM e JOIN g x ON x.a = e.a JOIN g y ON y.a = e.b),
+v0 AS (SELECT a AS id, i, (a * 7 + i * 3) % 11 / 11 AS x FROM g, (VALUES (0), (1)) t(i))"""
 
 
 def edges(spark, d):
     return G.symmetric(table(spark, d, "customer").selectExpr("c_nationkey AS a", "100 + c_custkey % 40 AS b").selectExpr("bigint(a) AS a", "bigint(b) AS b"))
 
 
-@query(f"WITH {_EDGES_SQL}, v1 AS (SELECT w.a AS id, i, sum(w * x) AS x FROM w JOIN v0 ON id = b GROUP BY ALL), v2 AS (SELECT w.a AS id, i, sum(w * x) AS x FROM w JOIN v1 ON id = b GROUP BY ALL) SELECT id, i, round(sum(x) / 3, 6) AS x FROM (FROM v0 UNION ALL FROM v1 UNION ALL FROM v2) GROUP BY id, i")
+@query(f"""WITH {_EDGES_SQL}, v1 AS (SELECT w.a AS id, i, sum(w * x) AS x FROM w JOIN v0 ON id = b GROUP BY ALL),
+v2 AS (SELECT w.a AS id, i, sum(w * x) AS x FROM w JOIN v1 ON id = b GROUP BY ALL)
+SELECT id, i, round(sum(x) / 3, 6) AS x FROM (FROM v0
+  UNION ALL FROM v1
+  UNION ALL FROM v2) GROUP BY id, i""")
 def dm14_propagation(spark, d):
     """Mean of the vectors after none, one and two steps over a symmetric graph (SO4, DM13)."""
     e = edges(spark, d)
@@ -186,7 +210,11 @@ def dm14_propagation(spark, d):
     return G.propagate(G.weights(e), v, 2).select("id", "i", F.round("x", 6).alias("x"))
 
 
-@query(f"WITH {_EDGES_SQL}, s AS (SELECT a, b, (a * 5 + b * 3) % 13 / 4 AS score FROM e), t AS (SELECT *, exp(score - max(score) OVER (PARTITION BY a)) AS e FROM s), p AS (SELECT a, b, e / (sum(e) OVER (PARTITION BY a) + 1e-9) AS p FROM t), o AS (SELECT a, sum(p * ((b % 7) - 3)) AS x FROM p GROUP BY a) SELECT a, round(CASE WHEN x >= 0 THEN x ELSE 0.2 * x END, 6) AS x FROM o")
+@query(f"""WITH {_EDGES_SQL}, s AS (SELECT a, b, (a * 5 + b * 3) % 13 / 4 AS score FROM e),
+t AS (SELECT *, exp(score - max(score) OVER (PARTITION BY a)) AS e FROM s),
+p AS (SELECT a, b, e / (sum(e) OVER (PARTITION BY a) + 1e-9) AS p FROM t),
+o AS (SELECT a, sum(p * ((b % 7) - 3)) AS x FROM p GROUP BY a)
+SELECT a, round(CASE WHEN x >= 0 THEN x ELSE 0.2 * x END, 6) AS x FROM o""")
 def dm15_wn16_attention(spark, d):
     """Softmax over what a node points to, the weighted sum, and a leaky rectifier."""
     s = edges(spark, d).withColumn("score", (F.col("a") * 5 + F.col("b") * 3) % 13 / 4)
@@ -197,7 +225,11 @@ def dm15_wn16_attention(spark, d):
 _DRAW = "('0x' || substr(md5('n:' || user_id || ':' || k), 1, 12))::BIGINT"
 
 
-@query(f"WITH {SPLIT_SQL}, pop AS (SELECT item_id, row_number() OVER (ORDER BY count(*) DESC, item_id) - 1 AS r FROM train GROUP BY item_id), m AS (SELECT count(*) AS n, greatest(100, count(*) // 4) AS hard FROM pop), u AS (SELECT DISTINCT user_id FROM train), q AS (SELECT user_id, k, CASE WHEN k % 2 = 0 THEN {_DRAW} % hard ELSE {_DRAW} % n END AS r FROM u, m, (SELECT unnest([0,1,2,3]) AS k) kk) SELECT user_id, k, item_id FROM q JOIN pop USING (r) WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.user_id = q.user_id AND t.item_id = pop.item_id)")
+@query(f"""WITH {SPLIT_SQL}, pop AS (SELECT item_id, row_number() OVER (ORDER BY count(*) DESC, item_id) - 1 AS r FROM train GROUP BY item_id),
+m AS (SELECT count(*) AS n, greatest(100, count(*) // 4) AS hard FROM pop),
+u AS (SELECT DISTINCT user_id FROM train),
+q AS (SELECT user_id, k, CASE WHEN k % 2 = 0 THEN {_DRAW} % hard ELSE {_DRAW} % n END AS r FROM u, m, (SELECT unnest([0,1,2,3]) AS k) kk)
+SELECT user_id, k, item_id FROM q JOIN pop USING (r) WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.user_id = q.user_id AND t.item_id = pop.item_id)""")
 def dm17_negatives(spark, d):
     """Four draws a user, half of them from the most popular quarter (100 at least), positives rejected; draws hash the user, so they depend on no partitioning."""
     t = written(S.leave_two_out(visits(spark, d)).where("split_rank >= 2").select("user_id", "item_id"))
@@ -227,7 +259,12 @@ def jn12_neighbour_index(spark, d):
     return neighbours.neighbours(table(spark, d, "embeddings"), 50)
 
 
-@query("WITH d AS (SELECT doc_id, source, n_chars FROM documents), s AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY source ORDER BY substr(sha256('s:' || doc_id), 1, 16), doc_id) <= 5), t AS (SELECT doc_id, 'long' AS side FROM (FROM d ORDER BY n_chars DESC, doc_id LIMIT 3) UNION ALL SELECT doc_id, 'short' FROM (FROM d ORDER BY n_chars, doc_id LIMIT 3)) SELECT doc_id, 'sample' AS side FROM s UNION ALL FROM t")
+@query("""WITH d AS (SELECT doc_id, source, n_chars FROM documents),
+s AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY source ORDER BY substr(sha256('s:' || doc_id), 1, 16), doc_id) <= 5),
+t AS (SELECT doc_id, 'long' AS side FROM (FROM d ORDER BY n_chars DESC, doc_id LIMIT 3)
+  UNION ALL SELECT doc_id, 'short' FROM (FROM d ORDER BY n_chars, doc_id LIMIT 3))
+SELECT doc_id, 'sample' AS side FROM s
+  UNION ALL FROM t""")
 def tk12_tk14_samples(spark, d):
     """Five of each group in the order of a seeded hash (TK13, TK14), and the three longest and shortest (TK12)."""
     docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
@@ -260,7 +297,9 @@ def src7_nested_json(spark, d):
     return files.nested_documents(spark, f"{top}/docs/*", "place string, reviews array<struct<turn: bigint, who: string, n: int>>", "reviews", {"who": F.lit("none")}).select("place", "turn", "who", "n")
 
 
-@query("WITH l AS (SELECT o_custkey AS id, o_orderkey AS seq, CASE WHEN o_orderkey % 7 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 2 END AS version FROM orders WHERE o_orderkey % 13 <> 0) SELECT id, seq FROM l WHERE status = 'ok' AND version = 2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1")
+@query("""WITH l AS (SELECT o_custkey AS id, o_orderkey AS seq, CASE WHEN o_orderkey % 7 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 2 END AS version
+  FROM orders WHERE o_orderkey % 13 <> 0)
+SELECT id, seq FROM l WHERE status = 'ok' AND version = 2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1""")
 def src8_checkpoint(spark, d):
     """A log of JSON lines, broken ones among them: done, of this version, the last of each key (SNK3)."""
     path = f"{shared_dir(spark)}/log"

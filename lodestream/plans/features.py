@@ -37,7 +37,9 @@ def dm7_user_sequence(spark, d):
     return g.select("user_id", F.round(scaled(F.col("last")), 6).alias("last_rating"), F.round(scaled(F.col("last3")), 6).alias("last3_rating_mean"), F.round("rating_variance", 6).alias("rating_variance"), F.round("days_since_last", 6).alias("days_since_last"))
 
 
-@query(f"WITH {AGED_SQL}, b AS (SELECT max(age) AS newest FROM aged), a AS (SELECT item_id, rating, age - (SELECT min(age) FROM aged) AS age, {', '.join(TIES)} FROM aged), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY age, {', '.join(TIES)}) AS k FROM a), "
+@query(f"""WITH {AGED_SQL}, b AS (SELECT max(age) AS newest FROM aged),
+a AS (SELECT item_id, rating, age - (SELECT min(age) FROM aged) AS age, {', '.join(TIES)} FROM aged),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY age, {', '.join(TIES)}) AS k FROM a), """
        "g AS (SELECT item_id, count(*) AS n, avg(rating) AS mean, avg(CASE WHEN k <= 20 THEN rating END) AS recent, count(CASE WHEN age <= 180 THEN 1 END) AS new, count(CASE WHEN age > 180 AND age <= 360 THEN 1 END) AS old FROM r GROUP BY item_id) "
        "SELECT item_id, round(CASE WHEN n >= 5 THEN recent - mean ELSE 0 END, 6) + 0.0 AS recent_shift, round(new / (old + 1), 6) AS velocity FROM g")
 def dm8_item_momentum(spark, d):
@@ -49,7 +51,10 @@ def dm8_item_momentum(spark, d):
     return g.select("item_id", (F.round(F.when(F.col("n") >= 5, F.col("recent") - F.col("mean")).otherwise(0.0), 6) + 0.0).alias("recent_shift"), F.round(F.col("new") / (F.col("old") + 1), 6).alias("velocity"))
 
 
-@query(f"WITH {VISITS_SQL}, c AS (SELECT user_id, p_type, count(*) AS n FROM visits JOIN part ON item_id = p_partkey GROUP BY ALL), k AS (SELECT count(DISTINCT p_type) AS kinds FROM part), s AS (SELECT user_id, p_type, n / sum(n) OVER (PARTITION BY user_id) AS p FROM c), t AS (SELECT user_id, sum((p + 1e-9) / (1 + kinds * 1e-9) * ln((p + 1e-9) / (1 + kinds * 1e-9))) AS x, count(*) AS own, any_value(kinds) AS kinds FROM s, k GROUP BY user_id) "
+@query(f"""WITH {VISITS_SQL}, c AS (SELECT user_id, p_type, count(*) AS n FROM visits JOIN part ON item_id = p_partkey GROUP BY ALL),
+k AS (SELECT count(DISTINCT p_type) AS kinds FROM part),
+s AS (SELECT user_id, p_type, n / sum(n) OVER (PARTITION BY user_id) AS p FROM c),
+t AS (SELECT user_id, sum((p + 1e-9) / (1 + kinds * 1e-9) * ln((p + 1e-9) / (1 + kinds * 1e-9))) AS x, count(*) AS own, any_value(kinds) AS kinds FROM s, k GROUP BY user_id) """
        "SELECT user_id, round(greatest(0.0, least(1.0, -(x + (kinds - own) * (1e-9 / (1 + kinds * 1e-9)) * ln(1e-9 / (1 + kinds * 1e-9))) / ln(kinds))), 6) + 0.0 AS diversity, own AS breadth FROM t")
 def ag11_ag15_diversity(spark, d):
     """Entropy of a user's category shares, each raised by 1e-9, over that of equal shares; and the categories with any visit."""
@@ -62,7 +67,10 @@ def ag11_ag15_diversity(spark, d):
     return t.select("user_id", (F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), whole)), 6) + 0.0).alias("diversity"), F.col("own").alias("breadth"))
 
 
-@query("WITH e AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), n AS (SELECT vec_id, sqrt(sum(x * x)) AS norm FROM e GROUP BY vec_id), s AS (SELECT label, i, stddev_pop(x / CASE WHEN norm = 0 THEN 1 ELSE norm END) AS sd, count(*) AS n, sum(x) > 0 AS positive FROM e JOIN n USING (vec_id) GROUP BY label, i) SELECT label, round(CASE WHEN max(n) < 2 THEN 0 ELSE avg(sd) END, 6) AS diversity, count(*) FILTER (positive) AS breadth FROM s GROUP BY label")
+@query("""WITH e AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+n AS (SELECT vec_id, sqrt(sum(x * x)) AS norm FROM e GROUP BY vec_id),
+s AS (SELECT label, i, stddev_pop(x / CASE WHEN norm = 0 THEN 1 ELSE norm END) AS sd, count(*) AS n, sum(x) > 0 AS positive FROM e JOIN n USING (vec_id) GROUP BY label, i)
+SELECT label, round(CASE WHEN max(n) < 2 THEN 0 ELSE avg(sd) END, 6) AS diversity, count(*) FILTER (positive) AS breadth FROM s GROUP BY label""")
 def ag14_flavour_diversity(spark, d):
     """Spread of unit vectors in each dimension, averaged; and the dimensions with a positive sum."""
     e, v = F.col("embedding"), F.col("x").cast("double")
@@ -72,7 +80,10 @@ def ag14_flavour_diversity(spark, d):
     return s.groupBy("label").agg(F.round(F.when(F.max("n") < 2, 0.0).otherwise(F.avg("sd")), 6).alias("diversity"), F.count_if("positive").alias("breadth"))
 
 
-@query(f"WITH {VISITS_SQL}, s AS (SELECT item_id, c_mktsegment, avg(rating) AS m FROM visits JOIN customer ON user_id = c_custkey GROUP BY ALL), r AS (SELECT item_id, coalesce(stddev_samp(m), 0) AS spread FROM s GROUP BY item_id) SELECT item_id, round(spread, 6) AS spread, round(CASE WHEN max(spread) OVER () > 0 THEN spread / max(spread) OVER () ELSE 0 END, 6) AS of_max, round((spread - min(spread) OVER ()) / (max(spread) OVER () - min(spread) OVER () + 1e-8), 6) AS scaled FROM r")
+@query(f"""WITH {VISITS_SQL}, s AS (SELECT item_id, c_mktsegment, avg(rating) AS m FROM visits JOIN customer ON user_id = c_custkey GROUP BY ALL),
+r AS (SELECT item_id, coalesce(stddev_samp(m), 0) AS spread FROM s GROUP BY item_id)
+SELECT item_id, round(spread, 6) AS spread, round(CASE WHEN max(spread) OVER () > 0 THEN spread / max(spread) OVER () ELSE 0 END, 6) AS of_max,
+  round((spread - min(spread) OVER ()) / (max(spread) OVER () - min(spread) OVER () + 1e-8), 6) AS scaled FROM r""")
 def ag20_segment_spread(spark, d):
     """Spread of the segments' mean ratings of an item, over the largest (WN12) and with 1e-8 in the range (WN11)."""
     s = visits(spark, d).join(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), F.col("user_id") == F.col("c_custkey")).groupBy("item_id", "c_mktsegment").agg(F.avg("rating").alias("m"))
@@ -84,7 +95,9 @@ def ag20_segment_spread(spark, d):
 _SCORES = "CASE WHEN {0} % 7 = 0 THEN NULL ELSE {0} % 5 + 1 END AS food, l_linenumber % 5 + 1 AS service, CAST(l_quantity AS INTEGER) % 5 + 1 AS mood"
 
 
-@query(f"WITH {VISITS_SQL}, s AS (SELECT user_id, {_SCORES.format('l_suppkey')} FROM visits), m AS (SELECT *, (food + service + mood) / 3 AS mean FROM s WHERE food IS NOT NULL AND service IS NOT NULL AND mood IS NOT NULL) SELECT user_id, round(avg(food - mean), 6) + 0.0 AS food, round(avg(service - mean), 6) + 0.0 AS service, round(avg(mood - mean), 6) + 0.0 AS mood FROM m GROUP BY user_id")
+@query(f"""WITH {VISITS_SQL}, s AS (SELECT user_id, {_SCORES.format('l_suppkey')} FROM visits),
+m AS (SELECT *, (food + service + mood) / 3 AS mean FROM s WHERE food IS NOT NULL AND service IS NOT NULL AND mood IS NOT NULL)
+SELECT user_id, round(avg(food - mean), 6) + 0.0 AS food, round(avg(service - mean), 6) + 0.0 AS service, round(avg(mood - mean), 6) + 0.0 AS mood FROM m GROUP BY user_id""")
 def ag22_score_deviation(spark, d):
     """How far each of three scores lies from their mean, averaged over complete rows."""
     s = visits(spark, d).selectExpr("user_id", *[x.strip() for x in _SCORES.format("l_suppkey").replace("AS INTEGER", "AS INT").split(", ")]).dropna(subset=["food", "service", "mood"])
@@ -92,7 +105,9 @@ def ag22_score_deviation(spark, d):
     return s.groupBy("user_id").agg(*[(F.round(F.avg(F.col(c) - mean), 6) + 0.0).alias(c) for c in ("food", "service", "mood")])
 
 
-@query("WITH e AS (SELECT user_id, CASE WHEN value > 20 THEN event_type END AS kind, value, ts, event_id FROM events) SELECT user_id, arg_min(kind, (ts, event_id)) FILTER (kind IS NOT NULL) AS first_kind, coalesce(bool_or(kind = 'click'), false) AS ever_click, count(*) FILTER (kind IS NOT NULL) AS n FROM e GROUP BY user_id")
+@query("""WITH e AS (SELECT user_id, CASE WHEN value > 20 THEN event_type END AS kind, value, ts, event_id FROM events)
+SELECT user_id, arg_min(kind, (ts, event_id)) FILTER (kind IS NOT NULL) AS first_kind, coalesce(bool_or(kind = 'click'), false) AS ever_click, count(*) FILTER (kind IS NOT NULL) AS n
+  FROM e GROUP BY user_id""")
 def ag23_ag24_first_any(spark, d):
     """The first kind of event that is known, in order of time, and whether any was a click."""
     e = table(spark, d, "events").withColumn("kind", F.when(F.col("value") > 20, F.col("event_type")))
@@ -100,7 +115,7 @@ def ag23_ag24_first_any(spark, d):
     return e.groupBy("user_id").agg(F.min_by("kind", known).alias("first_kind"), F.coalesce(F.bool_or(F.col("kind") == "click"), F.lit(False)).alias("ever_click"), F.count("kind").alias("n"))
 
 
-@query("SELECT p_partkey, (CASE p_size % 6 WHEN 1 THEN 1 WHEN 3 THEN 3 WHEN 4 THEN 4 ELSE 2 END)::DOUBLE AS price_level, (CASE p_size % 6 WHEN 1 THEN 12.5 WHEN 2 THEN 25 WHEN 3 THEN 45 END)::DOUBLE AS midpoint, round((greatest(1.0, least(4.0, p_size / 10)) - 1) / 3, 6)::DOUBLE AS tier, (p_brand = 'Brand#11')::INTEGER::DOUBLE AS brand_11, (p_brand = 'Brand#12')::INTEGER::DOUBLE AS brand_12, coalesce(nullif(p_size % 3, 0), 0)::DOUBLE AS meal_known, coalesce(nullif(p_size % 3, 0), 0.5)::DOUBLE AS spice, greatest(p_size % 7, p_size % 5)::DOUBLE AS best FROM part")
+@query("""SELECT p_partkey, (CASE p_size % 6 WHEN 1 THEN 1 WHEN 3 THEN 3 WHEN 4 THEN 4 ELSE 2 END)::DOUBLE AS price_level, (CASE p_size % 6 WHEN 1 THEN 12.5 WHEN 2 THEN 25 WHEN 3 THEN 45 END)::DOUBLE AS midpoint, round((greatest(1.0, least(4.0, p_size / 10)) - 1) / 3, 6)::DOUBLE AS tier, (p_brand = 'Brand#11')::INTEGER::DOUBLE AS brand_11, (p_brand = 'Brand#12')::INTEGER::DOUBLE AS brand_12, coalesce(nullif(p_size % 3, 0), 0)::DOUBLE AS meal_known, coalesce(nullif(p_size % 3, 0), 0.5)::DOUBLE AS spice, greatest(p_size % 7, p_size % 5)::DOUBLE AS best FROM part""")
 def prj_item_columns(spark, d):
     """Constant maps with and without a default, clip and rescale, one-hot columns, fills by column name, and a maximum of columns (PRJ2, 3, 6, 8, 9, 12)."""
     size = F.col("p_size")
@@ -123,7 +138,9 @@ def prj1_contract(spark, d):
 _BANDS = "CASE WHEN n = 1 THEN '1' WHEN n = 2 THEN '2' WHEN n = 3 THEN '3' WHEN n <= 5 THEN '4-5' WHEN n <= 10 THEN '6-10' WHEN n <= 25 THEN '11-25' ELSE '26+' END"
 
 
-@query(f"WITH {VISITS_SQL}, a AS (SELECT user_id, count(*) AS n, avg(rating) AS m FROM visits WHERE TRY_CAST(rating AS DOUBLE) BETWEEN 1 AND 5 GROUP BY user_id), b AS (SELECT {_BANDS} AS band, n, m FROM a) SELECT band, count(*) AS users, sum(n)::BIGINT AS reviews, round(count(*) / sum(count(*)) OVER (), 6) AS share, round(avg(m), 6) AS mean FROM b GROUP BY band")
+@query(f"""WITH {VISITS_SQL}, a AS (SELECT user_id, count(*) AS n, avg(rating) AS m FROM visits WHERE TRY_CAST(rating AS DOUBLE) BETWEEN 1 AND 5 GROUP BY user_id),
+b AS (SELECT {_BANDS} AS band, n, m FROM a)
+SELECT band, count(*) AS users, sum(n)::BIGINT AS reviews, round(count(*) / sum(count(*)) OVER (), 6) AS share, round(avg(m), 6) AS mean FROM b GROUP BY band""")
 def prj4_dm34_activity_bands(spark, d):
     """The seven bands of activity: users, reviews, share of users and mean rating of each (FLT2, AG28)."""
     a = visits(spark, d).where(F.col("rating").cast("double").between(1, 5)).groupBy("user_id").agg(F.count("*").alias("n"), F.avg("rating").alias("m"))
@@ -132,14 +149,18 @@ def prj4_dm34_activity_bands(spark, d):
     return b.crossJoin(F.broadcast(total)).select("band", "users", "reviews", F.round(F.col("users") / F.col("all"), 6).alias("share"), "mean")
 
 
-@query(f"WITH {VISITS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY ts DESC NULLS LAST, {', '.join(TIES)}) AS k FROM visits), r AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, item_id) - 1 AS rank, count(*) OVER (PARTITION BY user_id) AS n FROM o WHERE k = 1) SELECT user_id, item_id, CASE WHEN rank = 0 THEN 'test' ELSE 'train' END AS split FROM r WHERE n >= 3 AND (rank > 0 OR item_id % 2 = 0)")
+@query(f"""WITH {VISITS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY ts DESC NULLS LAST, {', '.join(TIES)}) AS k FROM visits),
+r AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, item_id) - 1 AS rank, count(*) OVER (PARTITION BY user_id) AS n FROM o WHERE k = 1)
+SELECT user_id, item_id, CASE WHEN rank = 0 THEN 'test' ELSE 'train' END AS split FROM r WHERE n >= 3 AND (rank > 0 OR item_id % 2 = 0)""")
 def dm2_leave_one_out(spark, d):
     """The older split: three places at least, the newest is test, and test places can be kept to a given set."""
     allowed = table(spark, d, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("item_id"))
     return S.leave_one_out(visits(spark, d), allowed=allowed).select("user_id", "item_id", "split")
 
 
-@query("WITH d AS (SELECT DISTINCT o_custkey AS id FROM orders), e AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM d) SELECT c_custkey AS id, idx, coalesce(c_acctbal * (idx IS NOT NULL)::INTEGER, 0) AS value FROM customer LEFT JOIN e ON c_custkey = id")
+@query("""WITH d AS (SELECT DISTINCT o_custkey AS id FROM orders),
+e AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM d)
+SELECT c_custkey AS id, idx, coalesce(c_acctbal * (idx IS NOT NULL)::INTEGER, 0) AS value FROM customer LEFT JOIN e ON c_custkey = id""")
 def dm3_jn20_encoder(spark, d):
     """Dense numbers of ids in order, by ranges; other tables aligned to them, with 0 where an id has none."""
     e = R.dense_encoder(table(spark, d, "orders").select(F.col("o_custkey").alias("id")), "id")

@@ -43,7 +43,8 @@ TYPES = {"BRASS": "metal", "TIN": "metal", "STEEL": "metal", "COPPER": "metal",
 NOISE = ["STANDARD", "ANODIZED", "PROMO"]
 
 
-@query("WITH t AS (SELECT p_partkey, replace(p_type, ' ', ', ') AS types, p_name FROM part), x AS (SELECT *, list_filter(list_transform(string_split(types, ','), lambda v: trim(v)), lambda v: list_contains(" + str(list(TYPES)) + ", v) AND NOT list_contains(" + str(NOISE) + ", v)) AS hits FROM t) "
+@query(f"""WITH t AS (SELECT p_partkey, replace(p_type, ' ', ', ') AS types, p_name FROM part),
+x AS (SELECT *, list_filter(list_transform(string_split(types, ','), lambda v: trim(v)), lambda v: list_contains({list(TYPES)}, v) AND NOT list_contains({NOISE}, v)) AS hits FROM t) """
        "SELECT p_partkey, CASE WHEN len(hits) > 0 THEN 'metal' ELSE 'Other' END AS category, CASE WHEN len(hits) > 0 THEN 'metal' WHEN regexp_matches(lower(p_name), '\\b(part|item)\\b') THEN 'named' WHEN regexp_matches(lower(p_name), '[0-9]$') THEN 'numbered' ELSE 'unresolved' END AS label FROM x")
 def sf11_sf12_labels(spark, d):
     """The first mapped type, skipping noise; then a cascade: type, name, unresolved."""
@@ -53,7 +54,8 @@ def sf11_sf12_labels(spark, d):
     return t.select("p_partkey", category.alias("category"), label.alias("label"))
 
 
-@query("WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS t, lang FROM documents), e AS (SELECT doc_id, lang, list_filter(['and', 'der', 'que', 'les'], lambda w: regexp_matches(t, '(^|[^a-z])' || w || '([^a-z]|$)')) AS hits FROM t) "
+@query("""WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS t, lang FROM documents),
+e AS (SELECT doc_id, lang, list_filter(['and', 'der', 'que', 'les'], lambda w: regexp_matches(t, '(^|[^a-z])' || w || '([^a-z]|$)')) AS hits FROM t) """
        "SELECT doc_id, array_to_string(hits, ',') AS evidence, CASE len(hits) WHEN 0 THEN 'none' WHEN 1 THEN 'one' ELSE 'many' END AS triage, CASE WHEN len(hits) = 1 THEN hits[1] ELSE 'unknown' END AS label, CASE WHEN len(hits) = 1 THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence FROM e")
 def sf13_sf14_evidence(spark, d):
     """Labels with the words that speak for them: none, one or many; a label needs evidence, else it is unknown and at most half sure."""
@@ -106,7 +108,9 @@ def sf23_sf26_tokens_citations(spark, d):
     return c.select("conv_id", "turn", F.arrays_overlap(words, F.array(*map(F.lit, ("what", "this", "have", "from", "there", "where")))).alias("overlap"), F.array_join(cites, ",").alias("cites"), (F.size(F.array_except(cites, allowed)) == 0).alias("supported"))
 
 
-@query("WITH v AS (SELECT vec_id, unnest(['value', 'noise', 'wait', 'spice', 'quiet', 'price']) AS name, unnest([round(abs(embedding[1]::DOUBLE) * 3 % 1, 3), round(abs(embedding[2]::DOUBLE) * 3 % 1, 3), round(abs(embedding[3]::DOUBLE) * 3 % 1, 3), round(abs(embedding[4]::DOUBLE) * 3 % 1, 3), round(abs(embedding[5]::DOUBLE) * 3 % 1, 3), NULL]) AS x FROM embeddings), "
+@query("""WITH v AS (SELECT vec_id, unnest(['value', 'noise', 'wait', 'spice', 'quiet', 'price']) AS name, unnest([round(abs(embedding[1]::DOUBLE) * 3 % 1, 3),
+  round(abs(embedding[2]::DOUBLE) * 3 % 1, 3), round(abs(embedding[3]::DOUBLE) * 3 % 1, 3), round(abs(embedding[4]::DOUBLE) * 3 % 1, 3),
+  round(abs(embedding[5]::DOUBLE) * 3 % 1, 3), NULL]) AS x FROM embeddings), """
        "r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(abs(x - 0.5), 3) DESC, name DESC) AS n FROM v WHERE x IS NOT NULL) SELECT vec_id, string_agg(name, ',' ORDER BY n) AS top FROM r WHERE n <= 4 GROUP BY vec_id")
 def sf24_top_attributes(spark, d):
     """The four known attributes farthest from the middle; ties by name, the last first."""
@@ -117,7 +121,8 @@ def sf24_top_attributes(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.array_join(F.transform(best, lambda p: p["name"]), ",").alias("top"))
 
 
-@query("WITH p AS (SELECT vec_id, ['value', 'noise', 'wait'][vec_id % 3 + 1] AS a, round(abs(embedding[1]::DOUBLE) * 3 % 1, 3) AS u, round(abs(embedding[2]::DOUBLE) * 3 % 1, 3) AS i, vec_id % 5 + 1 AS rating FROM embeddings) "
+@query("""WITH p AS (SELECT vec_id, ['value', 'noise', 'wait'][vec_id % 3 + 1] AS a, round(abs(embedding[1]::DOUBLE) * 3 % 1, 3) AS u,
+  round(abs(embedding[2]::DOUBLE) * 3 % 1, 3) AS i, vec_id % 5 + 1 AS rating FROM embeddings) """
        "SELECT vec_id, (abs(u - i) <= 0.25 AND ((a = 'value' AND u >= 0.65 AND i >= 0.65) OR (a = 'noise' AND ((u >= 0.65 AND i >= 0.65) OR (u <= 0.35 AND i <= 0.35))))) AS strict, ((u >= 0.6 AND i >= 0.6) OR (u <= 0.4 AND i <= 0.4)) AS legacy, (vec_id % 2 = 0 AND rating >= 4) AS history FROM p")
 def sf25_alignment(spark, d):
     """Strict and legacy agreement of attributes, and shared history that counts only after a liked visit."""
@@ -128,7 +133,9 @@ def sf25_alignment(spark, d):
     return table(spark, d, "embeddings").select("vec_id", *held, ((F.col("vec_id") % 2 == 0) & (F.col("vec_id") % 5 + 1 >= 4)).alias("history"))
 
 
-@query("WITH m AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT vec_id, round(sqrt(list_sum([x * x for x in e])), 5) AS norm, round(list_sum([e[i] for i in range(1, 65, 2)]), 5) AS odd, round(list_sum([e[i] * CASE WHEN i % 4 < 2 THEN 1 ELSE -1 END for i in range(1, 65)]), 5) AS signed FROM m")
+@query("""WITH m AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
+SELECT vec_id, round(sqrt(list_sum([x * x for x in e])), 5) AS norm, round(list_sum([e[i] for i in range(1, 65, 2)]), 5) AS odd,
+  round(list_sum([e[i] * CASE WHEN i % 4 < 2 THEN 1 ELSE -1 END for i in range(1, 65)]), 5) AS signed FROM m""")
 def sf29_projection(spark, d):
     """Norm and projection onto the rows of a fixed matrix."""
     fixed = {"odd": [1.0 if i % 2 else 0.0 for i in range(1, 65)], "signed": [1.0 if i % 4 < 2 else -1.0 for i in range(1, 65)]}
@@ -139,7 +146,9 @@ def sf29_projection(spark, d):
 META = "concat('Food: ', c_custkey % 5, '; Service : good;Food: ', c_mktsegment, ';odd')"
 
 
-@query(f"WITH p AS (SELECT c_custkey, unnest(string_split({META}, ';')) AS part, generate_subscripts(string_split({META}, ';'), 1) AS i FROM customer), k AS (SELECT c_custkey, i, trim(string_split(part, ':')[1]) AS key, trim(string_split(part, ':')[2]) AS value FROM p WHERE contains(part, ':')) SELECT c_custkey, key, string_agg(value, '|' ORDER BY i) AS vals, count(*) AS n FROM k GROUP BY ALL")
+@query(f"""WITH p AS (SELECT c_custkey, unnest(string_split({META}, ';')) AS part, generate_subscripts(string_split({META}, ';'), 1) AS i FROM customer),
+k AS (SELECT c_custkey, i, trim(string_split(part, ':')[1]) AS key, trim(string_split(part, ':')[2]) AS value FROM p WHERE contains(part, ':'))
+SELECT c_custkey, key, string_agg(value, '|' ORDER BY i) AS vals, count(*) AS n FROM k GROUP BY ALL""")
 def sf30_key_values(spark, d):
     """key: value pairs of a text; a key that repeats holds a list, in order."""
     p = table(spark, d, "customer").selectExpr("c_custkey", f"posexplode(split({META}, ';')) AS (i, part)").where(F.contains("part", F.lit(":")))
@@ -147,7 +156,9 @@ def sf30_key_values(spark, d):
     return kv.groupBy("c_custkey", "key").agg(F.array_join(F.transform(F.sort_array(F.collect_list("iv")), lambda x: x.v), "|").alias("vals"), F.count("*").alias("n"))
 
 
-@query("WITH n AS (SELECT n_nationkey, n_name, n_regionkey, count(c_custkey) AS people FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL) SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 'South Coast' WHEN 1 THEN 'North Hills' ELSE 'Other Parts' END AS label, round(people / nullif(n_nationkey % 4, 0), 6) AS density, sha256(n_name) AS sha, substr(lpad(n_nationkey::VARCHAR, 5, '0'), 1, 4) AS area, regexp_replace(concat(n_regionkey, '.0'), '\\.0$', '') AS code FROM n")
+@query("""WITH n AS (SELECT n_nationkey, n_name, n_regionkey, count(c_custkey) AS people FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL)
+SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 'South Coast' WHEN 1 THEN 'North Hills' ELSE 'Other Parts' END AS label,
+  round(people / nullif(n_nationkey % 4, 0), 6) AS density, sha256(n_name) AS sha, substr(lpad(n_nationkey::VARCHAR, 5, '0'), 1, 4) AS area, regexp_replace(concat(n_regionkey, '.0'), '\\.0$', '') AS code FROM n""")
 def sf32_sf33_labels_density(spark, d):
     """Codes to titles, density with no area as null, content hash, padded prefix, codes without ``.0``."""
     n = table(spark, d, "nation").join(table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("people")), "n_nationkey", "left")

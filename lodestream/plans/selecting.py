@@ -72,7 +72,8 @@ def jn7_jn8_pair_distances(spark, d):
     return s.select("user", "n", F.round("mean", 4).alias("mean"), F.round("far", 4).alias("far"))
 
 
-@query(f"WITH {_FLAT}, c AS (SELECT label, avg(lat) AS lat, avg(lng) AS lng FROM points GROUP BY label) SELECT a.label, b.label AS other, round({_KM}, 4) AS km FROM c a JOIN c b ON a.label <> b.label QUALIFY row_number() OVER (PARTITION BY a.label ORDER BY {_KM}, b.label) <= 5")
+@query(f"""WITH {_FLAT}, c AS (SELECT label, avg(lat) AS lat, avg(lng) AS lng FROM points GROUP BY label)
+SELECT a.label, b.label AS other, round({_KM}, 4) AS km FROM c a JOIN c b ON a.label <> b.label QUALIFY row_number() OVER (PARTITION BY a.label ORDER BY {_KM}, b.label) <= 5""")
 def jn11_centroid_neighbours(spark, d):
     """The five nearest centroids of each: a row for each label, so the small table goes out whole."""
     c = points(spark, d).groupBy("label").agg(F.avg("lat").alias("lat"), F.avg("lng").alias("lng"))
@@ -84,14 +85,17 @@ def jn11_centroid_neighbours(spark, d):
 _COS = "list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[]))"
 
 
-@query(f"SELECT q.vec_id AS query_id, c.vec_id, round({_COS}, 5) AS score FROM embeddings q JOIN embeddings c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, c.vec_id) <= 50")
+@query(f"""SELECT q.vec_id AS query_id, c.vec_id, round({_COS}, 5) AS score FROM embeddings q JOIN embeddings c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+  QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, c.vec_id) <= 50""")
 def jn12_cosine_neighbours(spark, d):
     """The 50 nearest by cosine of the stated query set, exact."""
     e = table(spark, d, "embeddings")
     return K.best_items(e, e.where("vec_id % 100 = 0"), 50, normalise=True).select("query_id", "vec_id", F.round("score", 5).alias("score"))
 
 
-@query("SELECT q.vec_id AS query_id, c.vec_id, round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 5) AS score FROM embeddings q JOIN embeddings c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) DESC, c.vec_id) <= 10")
+@query("""SELECT q.vec_id AS query_id, c.vec_id, round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 5) AS score FROM embeddings q
+  JOIN embeddings c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+  QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) DESC, c.vec_id) <= 10""")
 def jn13_full_ranking(spark, d):
     """Ten best items for the stated query set: every row whose id is divisible by 100."""
     e = table(spark, d, "embeddings")
@@ -105,7 +109,10 @@ def jn6_anti(spark, d):
     return table(spark, d, "customer").join(large, "c_custkey", "left_anti").select("c_custkey", "c_nationkey")
 
 
-@query("WITH r AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'Other' ELSE c_mktsegment END AS category FROM customer), f AS (SELECT o_custkey, min(o_orderpriority) AS repaired, count(*) AS n FROM orders GROUP BY o_custkey) SELECT c_custkey, CASE WHEN category <> 'Other' THEN category ELSE coalesce(repaired, 'Other') END AS label, coalesce(n, 0) AS n, (SELECT count(*) FROM (SELECT c_custkey FROM r GROUP BY 1 HAVING count(*) > 1)) AS broken FROM r LEFT JOIN f ON c_custkey = o_custkey")
+@query("""WITH r AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'Other' ELSE c_mktsegment END AS category FROM customer),
+f AS (SELECT o_custkey, min(o_orderpriority) AS repaired, count(*) AS n FROM orders GROUP BY o_custkey)
+SELECT c_custkey, CASE WHEN category <> 'Other' THEN category ELSE coalesce(repaired, 'Other') END AS label, coalesce(n, 0) AS n, (SELECT count(*) FROM (SELECT c_custkey FROM r
+  GROUP BY 1 HAVING count(*) > 1)) AS broken FROM r LEFT JOIN f ON c_custkey = o_custkey""")
 def jn18_jn4_repaired_labels(spark, d):
     """A label unless it says nothing, then the repaired one; the join is one to one, and rows that break that are counted."""
     r = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, "Other").otherwise(F.col("c_mktsegment")).alias("category"))
@@ -115,7 +122,11 @@ def jn18_jn4_repaired_labels(spark, d):
     return A.one_to_one(r, f, "c_custkey").crossJoin(F.broadcast(broken)).select("c_custkey", label.alias("label"), F.coalesce("n", F.lit(0)).alias("n"), "broken")
 
 
-@query("WITH w AS (SELECT c_custkey AS id, c_custkey % 5 AS v FROM customer), a AS (SELECT c_custkey AS id, c_custkey % 3 AS v FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT c_custkey AS id, c_custkey % 5 AS v FROM customer WHERE c_custkey % 7 = 0) SELECT w.id, CASE WHEN b.v = w.v THEN 'reuse_new' WHEN a.v = w.v THEN 'reuse_old' ELSE 'generate' END AS action, (a.id IS NULL AND b.id IS NULL) AS is_new FROM w LEFT JOIN a USING (id) LEFT JOIN b USING (id)")
+@query("""WITH w AS (SELECT c_custkey AS id, c_custkey % 5 AS v FROM customer),
+a AS (SELECT c_custkey AS id, c_custkey % 3 AS v FROM customer WHERE c_custkey % 2 = 0),
+b AS (SELECT c_custkey AS id, c_custkey % 5 AS v FROM customer WHERE c_custkey % 7 = 0)
+SELECT w.id, CASE WHEN b.v = w.v THEN 'reuse_new' WHEN a.v = w.v THEN 'reuse_old' ELSE 'generate' END AS action, (a.id IS NULL AND b.id IS NULL) AS is_new FROM w LEFT
+  JOIN a USING (id) LEFT JOIN b USING (id)""")
 def dm30_jn19_worklist(spark, d):
     """What can be reused as its sources are exactly the same, the later batch first, and what is new (DM31, SO2)."""
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
@@ -124,7 +135,8 @@ def dm30_jn19_worklist(spark, d):
     return j.select("id", F.when(F.col("vb") == F.col("v"), "reuse_new").when(F.col("va") == F.col("v"), "reuse_old").otherwise("generate").alias("action"), (F.col("va").isNull() & F.col("vb").isNull()).alias("is_new"))
 
 
-@query("WITH k AS (SELECT c_custkey, c_nationkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank, count(*) OVER () AS n FROM customer) SELECT c_custkey, rank, greatest(1, ceil((rank - 1) * 4 / greatest(n - 1, 1)))::INTEGER AS bin FROM k")
+@query("""WITH k AS (SELECT c_custkey, c_nationkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank, count(*) OVER () AS n FROM customer)
+SELECT c_custkey, rank, greatest(1, ceil((rank - 1) * 4 / greatest(n - 1, 1)))::INTEGER AS bin FROM k""")
 def wn8_wn9_global_rank(spark, d):
     """A rank over all rows, and four bins by linear quantile edges, which are not those of ntile."""
     c = table(spark, d, "customer").select("c_custkey", "c_acctbal")
@@ -132,7 +144,10 @@ def wn8_wn9_global_rank(spark, d):
     return X.quantile_cut(r, 4, F.col("n")).select("c_custkey", "rank", "bin")
 
 
-@query("WITH f AS (SELECT c_custkey, c_nationkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 8), need AS (SELECT greatest(0, 12 - count(DISTINCT c_nationkey)) AS k FROM f), b AS (SELECT * FROM customer WHERE c_nationkey NOT IN (SELECT c_nationkey FROM f) QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) = 1), p AS (SELECT * FROM b QUALIFY row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) <= (SELECT k FROM need)) "
+@query("""WITH f AS (SELECT c_custkey, c_nationkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 8),
+need AS (SELECT greatest(0, 12 - count(DISTINCT c_nationkey)) AS k FROM f),
+b AS (SELECT * FROM customer WHERE c_nationkey NOT IN (SELECT c_nationkey FROM f) QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) = 1),
+p AS (SELECT * FROM b QUALIFY row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) <= (SELECT k FROM need)) """
        "SELECT c_custkey, c_nationkey, true AS champion FROM p UNION ALL (SELECT c_custkey, c_nationkey, false FROM f QUALIFY row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) <= 8 - (SELECT count(*) FROM p))")
 def tk8_champions(spark, d):
     """The best eight, but with so many champions that twelve nations would be there: groups not among the best are protected."""
@@ -140,7 +155,11 @@ def tk8_champions(spark, d):
     return X.top_with_champions(table(spark, d, "customer"), "c_nationkey", order, 8, 12).select("c_custkey", "c_nationkey", "champion")
 
 
-@query("WITH n AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1), q AS (SELECT c_nationkey, round_even(greatest(1.0::DOUBLE, n / sum(n) OVER () * 90), 0)::INTEGER AS quota FROM n), k AS (SELECT *, row_number() OVER (ORDER BY quota <= 1, quota, c_nationkey) AS k, sum(quota) OVER () - 90 AS excess FROM q), f AS (SELECT c_nationkey, quota - CASE WHEN k <= excess AND quota > 1 THEN 1 ELSE 0 END AS quota FROM k) SELECT c_custkey, c_nationkey, quota FROM customer JOIN f USING (c_nationkey) QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) <= quota")
+@query("""WITH n AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1),
+q AS (SELECT c_nationkey, round_even(greatest(1.0::DOUBLE, n / sum(n) OVER () * 90), 0)::INTEGER AS quota FROM n),
+k AS (SELECT *, row_number() OVER (ORDER BY quota <= 1, quota, c_nationkey) AS k, sum(quota) OVER () - 90 AS excess FROM q),
+f AS (SELECT c_nationkey, quota - CASE WHEN k <= excess AND quota > 1 THEN 1 ELSE 0 END AS quota FROM k)
+SELECT c_custkey, c_nationkey, quota FROM customer JOIN f USING (c_nationkey) QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) <= quota""")
 def tk9_quotas(spark, d):
     """90 places dealt out by share, one each at least, trimmed after rounding; the best of each group first."""
     c = table(spark, d, "customer")
@@ -166,7 +185,10 @@ def wn17_wn18_budget_fill(spark, d):
     return X.budget_fill(c.where("c_nationkey % 2 = 0"), c.where("c_nationkey % 2 = 1"), "c_nationkey", order, "cost", 4, 700).select("c_custkey", "slot", "before")
 
 
-@query("WITH e AS (SELECT user_id, event_id, value < 8 AS empty, row_number() OVER (PARTITION BY user_id ORDER BY abs(value - 10), event_id) AS k FROM events), l AS (SELECT *, k - coalesce(max(CASE WHEN NOT empty THEN k END) OVER (PARTITION BY user_id ORDER BY k), 0) AS run FROM e), s AS (SELECT *, min(CASE WHEN run >= 3 THEN k END) OVER (PARTITION BY user_id) AS stop FROM l) SELECT user_id, event_id FROM s WHERE stop IS NULL OR k <= stop")
+@query("""WITH e AS (SELECT user_id, event_id, value < 8 AS empty, row_number() OVER (PARTITION BY user_id ORDER BY abs(value - 10), event_id) AS k FROM events),
+l AS (SELECT *, k - coalesce(max(CASE WHEN NOT empty THEN k END) OVER (PARTITION BY user_id ORDER BY k), 0) AS run FROM e),
+s AS (SELECT *, min(CASE WHEN run >= 3 THEN k END) OVER (PARTITION BY user_id) AS stop FROM l)
+SELECT user_id, event_id FROM s WHERE stop IS NULL OR k <= stop""")
 def dm37_stop_after_empties(spark, d):
     """From the centre outwards, until three in a row are empty."""
     e = table(spark, d, "events")
@@ -205,13 +227,17 @@ def tk10_lowest_coverage_first(spark, d):
     return X.coverage_fill(rows, groups, "id", "g", [F.col("c_acctbal").desc(), F.col("id").asc()], "cost", budget).select("id", "g", "cost", "slot")
 
 
-@query("WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM orders), l AS (SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last FROM o GROUP BY o_custkey) SELECT o_custkey, last FROM l")
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM orders),
+l AS (SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last FROM o GROUP BY o_custkey)
+SELECT o_custkey, last FROM l""")
 def tk3_keep_last(spark, d):
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
     return R.keep_last(o, ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")]).select("o_custkey", F.col("o_orderkey").alias("last"))
 
 
-@query("WITH e AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 7 = 0 THEN NULL ELSE (event_id % 300)::VARCHAR END AS rid FROM events), k AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY event_id) AS k FROM e) SELECT event_id, rid FROM k WHERE k = 1 OR coalesce(rid, '') = ''")
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 7 = 0 THEN NULL ELSE (event_id % 300)::VARCHAR END AS rid FROM events),
+k AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY event_id) AS k FROM e)
+SELECT event_id, rid FROM k WHERE k = 1 OR coalesce(rid, '') = ''""")
 def tk4_dedupe_nonempty(spark, d):
     """One row for each id; rows without an id all stay, and go to many tasks."""
     e = table(spark, d, "events").selectExpr("event_id", "CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 7 = 0 THEN NULL ELSE string(event_id % 300) END AS rid")
@@ -219,7 +245,10 @@ def tk4_dedupe_nonempty(spark, d):
     return R.keep_first(e.where(~blank), ["rid"], [F.col("event_id").asc()]).unionByName(e.where(blank)).select("event_id", "rid")
 
 
-@query("WITH e AS (SELECT event_id, value, ntile, CASE WHEN value <= q1 THEN 'old' WHEN value <= q2 THEN 'mid' ELSE 'new' END AS band FROM (SELECT event_id, value, 0 AS ntile, (SELECT quantile_cont(value, 0.333) FROM events WHERE event_id % 9 <> 0) AS q1, (SELECT quantile_cont(value, 0.667) FROM events WHERE event_id % 9 <> 0) AS q2 FROM events WHERE event_id % 9 <> 0)) SELECT band, count(*) AS n, round(avg(value), 4) AS mean FROM e GROUP BY band")
+@query("""WITH e AS (SELECT event_id, value, ntile, CASE WHEN value <= q1 THEN 'old' WHEN value <= q2 THEN 'mid' ELSE 'new' END AS band
+  FROM (SELECT event_id, value, 0 AS ntile, (SELECT quantile_cont(value, 0.333) FROM events WHERE event_id % 9 <> 0) AS q1, (SELECT quantile_cont(value, 0.667) FROM events
+  WHERE event_id % 9 <> 0) AS q2 FROM events WHERE event_id % 9 <> 0))
+SELECT band, count(*) AS n, round(avg(value), 4) AS mean FROM e GROUP BY band""")
 def wn15_quantile_bands(spark, d):
     """Bands by quantiles over all rows; unknown ages belong to none (DM16)."""
     e = table(spark, d, "events").where("event_id % 9 <> 0").withColumn("g", F.lit(1))
@@ -229,14 +258,19 @@ def wn15_quantile_bands(spark, d):
     return e.crossJoin(F.broadcast(q)).groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
 
 
-@query("WITH c AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'), p AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P') SELECT (SELECT count(*) FROM (SELECT k FROM c UNION SELECT k FROM p)) AS either, (SELECT count(*) FROM (SELECT k FROM c INTERSECT SELECT k FROM p)) AS both, (SELECT count(*) FROM (SELECT k FROM c EXCEPT SELECT k FROM p)) AS only_f")
+@query("""WITH c AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'),
+p AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P')
+SELECT (SELECT count(*) FROM (SELECT k FROM c UNION SELECT k FROM p)) AS either, (SELECT count(*) FROM (SELECT k FROM c INTERSECT SELECT k FROM p)) AS both, (SELECT count(*)
+  FROM (SELECT k FROM c EXCEPT SELECT k FROM p)) AS only_f""")
 def so3_set_sizes(spark, d):
     """Sizes of union, intersection and difference, from one pass that marks each key."""
     o = table(spark, d, "orders").groupBy("o_custkey").agg(F.bool_or(F.col("o_orderstatus") == "F").alias("f"), F.bool_or(F.col("o_orderstatus") == "P").alias("p"))
     return o.agg(F.count_if(F.col("f") | F.col("p")).alias("either"), F.count_if(F.col("f") & F.col("p")).alias("both"), F.count_if(F.col("f") & ~F.col("p")).alias("only_f"))
 
 
-@query("SELECT c_custkey, TRY_CAST(CASE c_custkey % 5 WHEN 0 THEN '0' WHEN 1 THEN 'x' WHEN 2 THEN '3' END AS DOUBLE) IS DISTINCT FROM 0 AS eligible, lower(CASE c_custkey % 3 WHEN 0 THEN 'TRUE' WHEN 1 THEN 'no' ELSE '1' END) IN ('true', '1', 'yes') AS flagged, CASE WHEN c_custkey % 4 = 0 THEN true WHEN c_custkey % 4 = 1 THEN c_acctbal < 500 ELSE false END AS again FROM customer")
+@query("""SELECT c_custkey, TRY_CAST(CASE c_custkey % 5 WHEN 0 THEN '0' WHEN 1 THEN 'x' WHEN 2 THEN '3' END AS DOUBLE) IS DISTINCT
+  FROM 0 AS eligible, lower(CASE c_custkey % 3 WHEN 0 THEN 'TRUE' WHEN 1 THEN 'no' ELSE '1' END) IN ('true', '1', 'yes') AS flagged,
+  CASE WHEN c_custkey % 4 = 0 THEN true WHEN c_custkey % 4 = 1 THEN c_acctbal < 500 ELSE false END AS again FROM customer""")
 def flt7_flt9_predicates(spark, d):
     """Only an explicit zero is skipped; truthy texts; and what is tried again, by outcome and message."""
     k = F.col("c_custkey")

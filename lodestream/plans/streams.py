@@ -29,7 +29,11 @@ def ext_stream_dedupe(spark, d):
     return rows.groupBy("user_id", "event_type").agg((F.count("*") == 1).alias("seen"))
 
 
-@query("SELECT user_id, event_id, round(avg(value) OVER w, 6) AS mean3, rank() OVER r AS rnk, dense_rank() OVER r AS dense, lag(event_id) OVER o AS prev, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS last_hour FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id), w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), r AS (PARTITION BY user_id ORDER BY event_type)")
+@query("""SELECT user_id, event_id, round(avg(value) OVER w, 6) AS mean3, rank() OVER r AS rnk, dense_rank() OVER r AS dense, lag(event_id) OVER o AS prev,
+  count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS last_hour FROM events
+  WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id),
+w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW),
+r AS (PARTITION BY user_id ORDER BY event_type)""")
 def ext_moving_frames(spark, d):
     """Moving means, ranks, lags, and a range frame of an hour."""
     from pyspark.sql import Window as W
@@ -46,7 +50,8 @@ def ext_cube(spark, d):
     return j.groupingSets([["c_mktsegment", "o_orderstatus", "o_orderpriority"], ["c_mktsegment", "o_orderpriority"], ["o_orderstatus", "o_orderpriority"], ["o_orderpriority"]], "c_mktsegment", "o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
 
 
-@query("SELECT c.k AS ck, o.k AS ok, c.n AS cn, o.n AS n FROM (SELECT CASE WHEN c_nationkey % 6 = 0 THEN NULL ELSE c_nationkey END AS k, count(*) AS n FROM customer GROUP BY 1) c FULL OUTER JOIN (SELECT CASE WHEN s_nationkey % 4 = 0 THEN NULL ELSE s_nationkey + 3 END AS k, count(*) AS n FROM supplier GROUP BY 1) o ON c.k IS NOT DISTINCT FROM o.k")
+@query("""SELECT c.k AS ck, o.k AS ok, c.n AS cn, o.n AS n FROM (SELECT CASE WHEN c_nationkey % 6 = 0 THEN NULL ELSE c_nationkey END AS k, count(*) AS n FROM customer GROUP BY 1) c FULL OUTER
+  JOIN (SELECT CASE WHEN s_nationkey % 4 = 0 THEN NULL ELSE s_nationkey + 3 END AS k, count(*) AS n FROM supplier GROUP BY 1) o ON c.k IS NOT DISTINCT FROM o.k""")
 def ext_full_null_safe(spark, d):
     """A full outer join on keys that may be null."""
     c = spark.read.parquet(f"{d}/customer.parquet").groupBy(F.expr("CASE WHEN c_nationkey % 6 = 0 THEN NULL ELSE c_nationkey END").alias("ck")).agg(F.count("*").alias("cn"))
