@@ -102,11 +102,6 @@ def plain(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(text)), r"\s+", " ")
 
 
-def clip(x: Column, low: float, high: float) -> Column:
-    """Null stays null."""
-    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
-
-
 def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     dlat, dlng = F.radians(lat2 - lat1) / 2, F.radians(lng2 - lng1) / 2
     a = F.sin(dlat) ** 2 + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(dlng) ** 2
@@ -128,5 +123,6 @@ def zero_pad(text: Column, width: int) -> Column:
 
 def retry(message: Column, outcome_asked: Column, old_enough: Column) -> Column:
     """Whether to try again: only outcomes that are asked for; lost resources always, others when long enough ago."""
+    # Messages of attempts that never reached the other side.
     lost = F.lower(message).rlike("too many open files|cannot allocate memory")
     return F.when(~outcome_asked, F.lit(False)).when(lost, F.lit(True)).otherwise(F.coalesce(old_enough, F.lit(True)))

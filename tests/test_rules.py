@@ -10,6 +10,7 @@ from lodestream.operators import geo, ranges, ranking, relational, selection, sp
 
 
 def test_alignment_policy(spark):
+    # The policy's truth table.
     cases = [("value", 0.9, 0.8, "strict", True), ("value", 0.2, 0.2, "strict", False), ("noise", 0.2, 0.3, "strict", True), ("wait", 0.8, 0.8, "strict", False), ("value", 1.0, 0.6, "strict", False), ("value", 1.0, 0.6, "legacy", True)]
     for attribute, u, i, policy, wanted in cases:
         got = spark.range(1).select(expr.aligned(F.lit(attribute), F.lit(u), F.lit(i), ["value"], ["noise"], policy)).first()[0]
