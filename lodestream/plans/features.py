@@ -13,26 +13,27 @@ from lodestream.operators import relational as R
 from lodestream.operators import split as S
 from lodestream.plans.registry import query
 from lodestream.sources.shared import written
-from lodestream.sources.tables import REVIEWS_SQL, TIES, VISITS_SQL, reviews, table, visits
+from lodestream.sources.tables import REVIEWS_SQL, TIES, VISITS_SQL, reviews, table, visits, with_counts
 
 #: The day from which ages are counted.
 DAY = "2030-01-01"
 AGED_SQL = f"{VISITS_SQL}, aged AS (SELECT *, date_diff('day', ts::DATE, DATE '{DAY}') AS age FROM visits)"
 
 
-def aged(spark, d):
-    return visits(spark, d).withColumn("age", F.datediff(F.lit(DAY).cast("date"), F.col("ts")))
+def aged(spark, d, v=None):
+    return (visits(spark, d) if v is None else v).withColumn("age", F.datediff(F.lit(DAY).cast("date"), F.col("ts")))
 
 
 @query(f"WITH {AGED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY age NULLS FIRST, {', '.join(TIES)}) AS k FROM aged WHERE rating IS NOT NULL), "
        "g AS (SELECT user_id, (max(CASE WHEN k = 1 THEN rating END) - 1) / 4.0 AS last_rating, (avg(CASE WHEN k <= 3 THEN rating END) - 1) / 4.0 AS last3, coalesce(stddev_samp(rating), 0) AS sd, ln(1 + min(age)) AS days FROM r GROUP BY user_id) "
        "SELECT user_id, round(greatest(0.0, least(1.0, last_rating)), 6)::DOUBLE AS last_rating, round(greatest(0.0, least(1.0, last3)), 6)::DOUBLE AS last3_rating_mean, round(CASE WHEN max(sd) OVER () = min(sd) OVER () THEN 0.5 ELSE (sd - min(sd) OVER ()) / (max(sd) OVER () - min(sd) OVER ()) END, 6) AS rating_variance, round(CASE WHEN max(days) OVER () = min(days) OVER () THEN 0.5 ELSE (days - min(days) OVER ()) / (max(days) OVER () - min(days) OVER ()) END, 6) AS days_since_last FROM g")
-def dm7_user_sequence(spark, d):
+def dm7_user_sequence(spark, d, v=None):
     """Latest rating, mean of the latest three, spread and recency of each user, scaled (WN5, WN6, AG7, PRJ6, WN10)."""
     w = W.partitionBy("user_id").orderBy(F.col("age").asc_nulls_first(), *TIES)
-    r = aged(spark, d).where("rating IS NOT NULL").withColumn("k", F.row_number().over(w))
+    r = aged(spark, d, v).where("rating IS NOT NULL").withColumn("k", F.row_number().over(w))
     scaled = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - 1) / 4))
     g = r.groupBy("user_id").agg(F.max(F.when(F.col("k") == 1, F.col("rating"))).alias("last"), F.avg(F.when(F.col("k") <= 3, F.col("rating"))).alias("last3"), F.coalesce(F.stddev_samp("rating"), F.lit(0.0)).alias("sd"), F.log1p(F.min("age")).alias("days"))
+    g = written(g)
     g = R.minmax(R.minmax(g, "sd", "rating_variance"), "days", "days_since_last")
     return g.select("user_id", F.round(scaled(F.col("last")), 6).alias("last_rating"), F.round(scaled(F.col("last3")), 6).alias("last3_rating_mean"), F.round("rating_variance", 6).alias("rating_variance"), F.round("days_since_last", 6).alias("days_since_last"))
 
@@ -188,25 +189,35 @@ def _corpus_query(source: str, key: str, first: str, total: int) -> str:
 SELECT {key}, md5(string_agg(substr(t, 1, ({total} - used)::INTEGER), chr(10) || '---' || chr(10) ORDER BY k)) AS corpus, string_agg(review_id, ',' ORDER BY k) AS ids, count(*) AS n FROM c2 WHERE used < {total} GROUP BY {key}"""
 
 
+#: An item's corpus: so many reviews, characters of each and in all, those of busy reviewers first.
+ITEM_BOUNDS = 8, 900, 400
+
+
+def busy_first():
+    return [F.col("reviewer_reviews").desc()]
+
+
 def _digest(c, key):
     return c.select(key, F.md5(F.col("corpus").cast("binary")).alias("corpus"), F.array_join("ids", ",").alias("ids"), F.size("ids").cast("bigint").alias("n"))
 
 
-def item_corpora(spark, d, split):
-    return S.review_corpora(S.safe_reviews(reviews(spark, d), split), "item_id", [F.col("reviewer_reviews").desc()], 8, 900, 400)
+def split_visits(spark, d):
+    """All visits with the split of their pair and how many their user has; dealt out by user once."""
+    return with_counts(S.with_split(visits(spark, d)))
 
 
 @query(_corpus_query("safe", "item_id", "reviewer_reviews DESC,", 400))
 def dm5_item_corpora(spark, d):
     """An item's bounded corpus of training and auxiliary reviews, those of busy reviewers first (FLT6, SF27, TK1)."""
-    return _digest(item_corpora(spark, d, S.leave_two_out(visits(spark, d))), "item_id")
+    safe = S.safe_reviews(reviews(spark, d, split_visits(spark, d)))
+    return _digest(S.review_corpora(safe, "item_id", busy_first(), *ITEM_BOUNDS), "item_id")
 
 
 @query(_corpus_query("known", "user_id", "", 300))
 def dm6_user_corpora(spark, d):
     """A user's bounded corpus of training reviews alone, the longest first."""
-    split = S.leave_two_out(visits(spark, d))
-    return _digest(S.review_corpora(S.safe_reviews(reviews(spark, d), split, True), "user_id", [], 8, 900, 300), "user_id")
+    known = S.safe_reviews(reviews(spark, d, split_visits(spark, d), "user_id"), train=True)
+    return _digest(S.review_corpora(known, "user_id", [], 8, 900, 300), "user_id")
 
 
 @query(f"""WITH {VISITS_SQL}, {SPLIT_SQL}, spots AS (SELECT s_suppkey, s_acctbal / 100 - 50 AS lat, (s_suppkey * 37 % 360 - 180)::DOUBLE AS lng FROM supplier)

@@ -68,3 +68,34 @@ def test_pairs_of_a_key_in_parts(spark, monkeypatch):
     monkeypatch.setattr(geo, "PART", 512)
     whole = {r["u"]: r for r in geo.pair_spread(df, "u").collect()}
     assert set(parts) == set(whole) == {0, 1, 2} and all(parts[u]["n"] == whole[u]["n"] == 780 and abs(parts[u]["mean"] - whole[u]["mean"]) < 1e-6 and parts[u]["far"] == whole[u]["far"] for u in parts)
+
+
+def test_split_of_every_visit_without_a_join(spark):
+    """Repeats, visits without a rating, a time or a user, against the split itself; and the plan has one shuffle."""
+    draw = random.Random(5)
+    rows = [(draw.choice([None, "", *"abcdefgh"]), draw.choice([None, *"pqrstuvw"]), draw.choice([None, DAY, DAY + dt.timedelta(days=draw.randint(1, 5))]), draw.choice([None, 1, 5, 5]), "", "", 0, *(draw.randint(0, 2) for _ in TIES)) for _ in range(400)]
+    r = spark.createDataFrame(rows, SCHEMA).drop("review_id", "text", "reviewer_reviews")
+    made = split.with_split(r)
+    columns = [*r.columns, "split_rank", "split"]
+    assert sorted(map(str, made.where("newest AND split IS NOT NULL").select(columns).collect())) == sorted(map(str, split.leave_two_out(r).select(columns).collect()))
+    pairs = {(x["user_id"], x["item_id"]): x["split"] for x in split.leave_two_out(r).collect()}
+    every = made.collect()
+    assert len(every) == sum(x[0] is not None and x[1] is not None for x in rows)
+    assert all(x["split"] == pairs.get((x["user_id"], x["item_id"])) for x in every)
+    assert split.with_split(r)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_bundles_send_no_table_through_the_driver(spark):
+    """Small files of many rows would go out whole: only the joins of a key's few rows are left to Spark."""
+    from lodestream.plans import evidence, features
+
+    seen = []
+    keep = bundles.written
+    try:
+        bundles.written = lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df)
+        nodes, held = evidence.bundle_nodes(spark, "/root/testdata/sf0.001")
+    finally:
+        bundles.written = keep
+    seen.append(features.split_visits(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString())
+    assert len(seen) >= 5 and not any("BroadcastHashJoin" in x or "CartesianProduct" in x for x in seen[:1] + seen[-1:])
+    assert all(x.count("BroadcastExchange") == 0 for x in seen)
