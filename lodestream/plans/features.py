@@ -43,9 +43,9 @@ a AS (SELECT item_id, rating, age - (SELECT min(age) FROM aged) AS age, {', '.jo
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY age, {', '.join(TIES)}) AS k FROM a), """
        "g AS (SELECT item_id, count(*) AS n, avg(rating) AS mean, avg(CASE WHEN k <= 20 THEN rating END) AS recent, count(CASE WHEN age <= 180 THEN 1 END) AS new, count(CASE WHEN age > 180 AND age <= 360 THEN 1 END) AS old FROM r GROUP BY item_id) "
        "SELECT item_id, round(CASE WHEN n >= 5 THEN recent - mean ELSE 0 END, 6) + 0.0 AS recent_shift, round(new / (old + 1), 6) AS velocity FROM g")
-def dm8_item_momentum(spark, d):
+def dm8_item_momentum(spark, d, v=None):
     """Mean of the latest 20 ratings against all, from five on, and visits of the last half year over those of the one before (AG16, AG17)."""
-    a = aged(spark, d)
+    a = aged(spark, d, v)
     a = a.crossJoin(F.broadcast(a.agg(F.min("age").alias("_low")))).withColumn("age", F.col("age") - F.col("_low"))
     r = a.withColumn("k", F.row_number().over(W.partitionBy("item_id").orderBy("age", *TIES)))
     g = r.groupBy("item_id").agg(F.count("*").alias("n"), F.avg("rating").alias("mean"), F.avg(F.when(F.col("k") <= 20, F.col("rating"))).alias("recent"), F.count_if(F.col("age") <= 180).alias("new"), F.count_if((F.col("age") > 180) & (F.col("age") <= 360)).alias("old"))
@@ -57,9 +57,9 @@ k AS (SELECT count(DISTINCT p_type) AS kinds FROM part),
 s AS (SELECT user_id, p_type, n / sum(n) OVER (PARTITION BY user_id) AS p FROM c),
 t AS (SELECT user_id, sum((p + 1e-9) / (1 + kinds * 1e-9) * ln((p + 1e-9) / (1 + kinds * 1e-9))) AS x, count(*) AS own, any_value(kinds) AS kinds FROM s, k GROUP BY user_id) """
        "SELECT user_id, round(greatest(0.0, least(1.0, -(x + (kinds - own) * (1e-9 / (1 + kinds * 1e-9)) * ln(1e-9 / (1 + kinds * 1e-9))) / ln(kinds))), 6) + 0.0 AS diversity, own AS breadth FROM t")
-def ag11_ag15_diversity(spark, d):
+def ag11_ag15_diversity(spark, d, v=None):
     """Entropy of a user's category shares, each raised by 1e-9, over that of equal shares; and the categories with any visit."""
-    typed = visits(spark, d).join(table(spark, d, "part").select("p_partkey", "p_type"), F.col("item_id") == F.col("p_partkey"))
+    typed = (visits(spark, d) if v is None else v).join(table(spark, d, "part").select("p_partkey", "p_type").hint("merge"), F.col("item_id") == F.col("p_partkey"))
     kinds = table(spark, d, "part").agg(F.count_distinct("p_type").alias("kinds"))
     s = R.share(typed, ["user_id"], "p_type").crossJoin(F.broadcast(kinds))
     p, none = (F.col("share") + 1e-9) / (1 + F.col("kinds") * 1e-9), F.lit(1e-9) / (1 + F.col("kinds") * 1e-9)
