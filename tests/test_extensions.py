@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from lodestream.functions.tables import Sentences, trimmed_mean
-from lodestream.operators import contract, resampling
+from lodestream.operators import contract, intervals, resampling
 from lodestream.operators.calls import answered
 from lodestream.operators.intervals import interval_join
 from lodestream.plans import extensions
@@ -91,3 +91,21 @@ def test_late_rows_are_left_out(spark):
     n = spark.read.parquet(f"{sf}/events.parquet").count()
     kept = sum(r["n"] for r in QUERIES["ext_stream_late"](spark, sf).collect())
     assert 1.5 * n < kept < 2 * n
+
+
+def test_counts_in_intervals_make_no_pairs(spark, monkeypatch):
+    """Cells of three moments: intervals within one, over many, without points, with one key twice, and many at a moment."""
+    monkeypatch.setattr(intervals, "CELL", 3)
+    draw = random.Random(8)
+    at = [(draw.choice([None, *range(60)]), k) for k in range(150)] + [(30, 1000 + k) for k in range(200)]
+    held = [(k % 90, a := draw.randint(-5, 70), draw.choice([None, a - 1, a, a + 2, a + 30, 1 << 40])) for k in range(120)]
+    wanted = {}
+    for key, a, b in held:
+        inside = [(t, p) for t, p in at if t is not None and b is not None and a <= t <= b]
+        if inside:
+            n, first, far = wanted.get(key, (0, 1 << 40, -1))
+            wanted[key] = n + len(inside), min(first, *(p for _, p in inside)), max(far, *(t - a for t, _ in inside))
+    df, rows = spark.createDataFrame(at, "t bigint, p bigint"), spark.createDataFrame(held, "i bigint, a bigint, b bigint")
+    got = {r["i"]: (r["n"], r["first"], r["far"]) for r in intervals.interval_counts(df, rows, "t", "p", "i", "a", "b").collect()}
+    assert got == wanted
+    assert intervals.interval_counts(df.limit(0), rows, "t", "p", "i", "a", "b").count() == 0
