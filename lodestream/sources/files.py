@@ -23,9 +23,10 @@ def coded_counts(spark: SparkSession, path: str, columns: list[str], prefix: str
     return raw.select(F.substring(columns[0], len(prefix) + 1, 2**31 - 1).alias(columns[0]), *[F.col(c).try_cast("double").alias(c) for c in columns[1:]])
 
 
-def nested_documents(spark: SparkSession, path: str, schema: str, array: str, defaults: dict[str, Column]) -> DataFrame:
-    """A folder of JSON documents, a row for each member of an array of theirs; broken files are skipped, missing fields get their defaults."""
-    docs = spark.read.schema(f"{schema}, _corrupt string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+def nested_documents(spark: SparkSession, path: str, schema: str, array: str, defaults: dict[str, Column], lines: bool = False) -> DataFrame:
+    """A folder of JSON documents, a row for each member of an array of theirs; broken ones are skipped, missing fields get
+    their defaults. A file has one document, or with ``lines`` one in each line."""
+    docs = spark.read.schema(f"{schema}, _corrupt string").option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
     rows = docs.where("_corrupt IS NULL").select("*", F.explode(array).alias("_x")).select(*[c for c in docs.columns if c not in ("_corrupt", array)], "_x.*")
     return rows.withColumns({c: F.coalesce(F.col(c), v) for c, v in defaults.items()})
 
