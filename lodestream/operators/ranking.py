@@ -15,9 +15,10 @@ from lodestream.operators.relational import top_k
 from lodestream.sources.shared import written
 
 #: So many bytes of query vectors are sent at once; more of them take further passes over the items. And so many scores
-#: are held at once by a task.
-BLOCK_BYTES = 64 << 20
-SCORES = 1 << 22
+#: are held at once by a task, some eight times over while the best are taken; and so many queries' best are given back at once.
+BLOCK_BYTES = 16 << 20
+SCORES = 1 << 19
+GIVEN = 1 << 12
 
 
 def matrix(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,17 +46,19 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np
     return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
 
-def best_items(items: DataFrame, queries: DataFrame, k: int, item: str = "vec_id", vector: str = "embedding", skip_self: bool = True, normalise: bool = False, seen: DataFrame | None = None) -> DataFrame:
+def best_items(items: DataFrame, queries: DataFrame, k: int, item: str = "vec_id", vector: str = "embedding", skip_self: bool = True, normalise: bool = False, seen: DataFrame | None = None, group: str | None = None) -> DataFrame:
     """(query_id, item, score, rank): the k best items of each query by inner product, ties by item; exact.
 
     Queries go out in blocks of a fixed size, one after the other. A task multiplies its items with a block and keeps the k
     best of each query, so only k rows a query and task are shuffled, whatever the number of items. ``seen`` (query_id,
-    item) is left out before the best are kept: each item carries those queries of the block that have seen it. Null
+    item) is left out before the best are kept: each item carries those queries of the block that have seen it. Where a
+    query has seen all items of its ``group``, a column of whole numbers that both sides have, no pairs are made for it:
+    items of a query's group are left out, and null is in none. Null
     vectors, and those of another length than the queries' or with a number that is not finite, are passed over.
     """
     spark, size = items.sparkSession, max(1, queries.agg(F.max(F.size(vector))).first()[0] or 1)
     step = max(1, BLOCK_BYTES // (8 * size))
-    ids = queries.where(F.col(vector).isNotNull()).select(F.col(item).alias("query_id"), F.col(vector).alias("q"))
+    ids = queries.where(F.col(vector).isNotNull()).select(F.col(item).alias("query_id"), F.col(vector).alias("q"), *([F.col(group).cast("bigint").alias("_group")] if group else []))
     n_blocks = max(1, -(-ids.count() // step))
 
     masked = seen is not None
@@ -70,10 +73,14 @@ def best_items(items: DataFrame, queries: DataFrame, k: int, item: str = "vec_id
         q, kept = matrix(held.column("q").combine_chunks(), size)
         names = held.column("query_id").to_numpy()[kept].astype(np.int64)
         order = np.argsort(names)
-        sent = spark.sparkContext.broadcast((names[order], unit(q[order])))
+        groups = held.column("_group").combine_chunks().take(pa.array(kept[order])) if group else None
+        # A number for each group of the block's queries, so that null, and what no query has, is none.
+        known_groups = np.unique(groups.drop_null().to_numpy()) if group else None
+        own_group = np.where(groups.is_valid().to_numpy(zero_copy_only=False), np.searchsorted(known_groups, groups.fill_null(0).to_numpy()), -1) if group else None
+        sent = spark.sparkContext.broadcast((names[order], unit(q[order]), known_groups, own_group))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            names, q = sent.value
+            names, q, known_groups, own_group = sent.value
             best_score, best_id = np.full((len(q), 0), -np.inf), np.zeros((len(q), 0), np.int64)
             width = max(1, SCORES // max(1, len(q)))
             for batch in batches:
@@ -83,6 +90,12 @@ def best_items(items: DataFrame, queries: DataFrame, k: int, item: str = "vec_id
                 own_ids = batch.column(item).to_numpy(zero_copy_only=False)[kept].astype(np.int64)
                 x = unit(x)
                 known = batch.column("_seen").take(pa.array(kept)) if masked else None
+                if group:
+                    asked_group = batch.column("_group").take(pa.array(kept))
+                    place = np.searchsorted(known_groups, asked_group.fill_null(0).to_numpy())
+                    same = asked_group.is_valid().to_numpy(zero_copy_only=False) & (place < len(known_groups))
+                    same[same] = known_groups[place[same]] == asked_group.fill_null(0).to_numpy()[same]
+                    place = np.where(same, place, -2)
                 for at in range(0, len(x), width):
                     s = q @ x[at : at + width].T
                     i = np.broadcast_to(own_ids[at : at + width], s.shape)
@@ -92,11 +105,15 @@ def best_items(items: DataFrame, queries: DataFrame, k: int, item: str = "vec_id
                         part = known.slice(at, width)
                         by = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                         s[np.searchsorted(names, by), np.repeat(np.arange(len(part)), part.value_lengths().fill_null(0).to_numpy())] = -np.inf
+                    if group:
+                        s[own_group[:, None] == place[at : at + width]] = -np.inf
                     best_score, best_id = best_of(np.hstack([best_score, s]), np.hstack([best_id, i]), k)
-            ok = np.isfinite(best_score)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, ok.sum(axis=1)), pa.int64()), pa.array(best_id[ok], pa.int64()), pa.array(best_score[ok])], ["query_id", item, "score"])
+            for at in range(0, len(names), GIVEN):
+                own_score, own_id = best_score[at : at + GIVEN], best_id[at : at + GIVEN]
+                ok = np.isfinite(own_score)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[at : at + GIVEN], ok.sum(axis=1)), pa.int64()), pa.array(own_id[ok], pa.int64()), pa.array(own_score[ok])], ["query_id", item, "score"])
 
-        asked = items.select(item, vector)
+        asked = items.select(item, vector, *([F.col(group).cast("bigint").alias("_group")] if group else []))
         if seen is not None:
             by = seen.join(F.broadcast(spark.createDataFrame(pa.table({"query_id": names}))), "query_id").groupBy(item).agg(F.collect_set("query_id").alias("_seen"))
             asked = asked.join(by, item, "left")

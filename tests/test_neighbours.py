@@ -48,3 +48,19 @@ def test_copies_parts_and_odd_vectors(spark, monkeypatch):
     for k in range(240):
         wanted = sorted((i for i in range(240) if i != k), key=lambda i: (-cosine(rows[k][1], rows[i][1]), i))[:5]
         assert [i for _, i in sorted(got[k])] == wanted, k
+
+
+def test_items_of_a_querys_group_are_left_out(spark, monkeypatch):
+    """As if all its pairs were in ``seen``; null and groups that no query has are none."""
+    draw = random.Random(6)
+    rows = [(k, [float(draw.randint(-3, 3)) for _ in range(3)], draw.choice([None, 3, 7, 11, 1 << 40])) for k in range(150)]
+    items = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, g bigint").repartition(3)
+    asked = items.where("vec_id % 10 = 0 AND (g IS NULL OR g <> 11)")
+    pairs = spark.createDataFrame([(q[0], i[0]) for q in rows for i in rows if q[2] is not None and q[2] == i[2]], "query_id bigint, vec_id bigint")
+    for size in (1 << 24, 8 * 3 * 4):
+        monkeypatch.setattr(ranking, "BLOCK_BYTES", size)
+        monkeypatch.setattr(ranking, "GIVEN", 4)
+        monkeypatch.setattr(ranking, "SCORES", 64)
+        a = ranking.best_items(items, asked, 6, group="g")
+        b = ranking.best_items(items, asked, 6, seen=pairs)
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and a.count() > 50
