@@ -29,6 +29,8 @@ SIDE, WIDTH, SHINGLE = 12, 3, 5
 PERCENT = 85
 STRETCH = 1 << 21
 LONG = 256
+#: Documents that a task hashes at once: numpy holds some hundred bytes for each of their letters, and a worker keeps them.
+SLICE = 128
 #: What parts words, the space and the ASCII controls from tab to carriage return.
 _GAP = np.isin(np.arange(256), [32, *range(9, 14)])
 _rng = np.random.default_rng(20240601)
@@ -128,7 +130,7 @@ def band_keys(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in rows(batches):
+    for b in rows(batches, SLICE):
         found = shingle_hashes(*utf8(b))
         some = [x for x in found if len(x)]
         left, right = band_keys(some) if some else (np.empty((0, SIDE), np.int64),) * 2
@@ -142,7 +144,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in rows(batches):
+    for b in rows(batches, SLICE):
         found = shingle_hashes(*utf8(b))
         ends = np.cumsum([0, *map(len, found)])
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lodestream.llm.common import WORD, cut, documents, texts
+from lodestream.llm.common import WORD, cut, documents, rows, texts
 
 #: The bit of each rule.
 RULES = {"too_short": 1, "repeated_words": 2, "symbols": 4, "repeated_lines": 8, "word_length": 16}
@@ -45,7 +45,7 @@ def measure(text: str) -> tuple[int, int, int, int, int, int]:
 
 
 def _measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in rows(batches):
         found = list(zip(*map(measure, texts(b)))) or [()] * 6
         yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.int64()) for c in found)], [*b.schema.names, *_MEASURES])
 
